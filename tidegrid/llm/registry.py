@@ -5,9 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ogg, pieces, token_files
-from .common import table
+from . import labels, language, ogg, pieces, quality, secret_scan, token_files, toxic_spans
+from .common import fold, table
+
+#: Most labelled texts of each label (and of each language) that a classifier is fitted on.
+LABELLED = 1500
+PER_LANGUAGE = 600
+#: n-grams in a language's or document's profile.
+PROFILE = 400
+#: Score from which a document counts as label 1.
+CUT = 0.3
 
 
 def vocabulary(name: str) -> str:
@@ -16,6 +25,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _folded(scores: DataFrame, modulus: int, held: int) -> DataFrame:
+    return scores.withColumn("held_out", fold("doc_id", modulus) == held)
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -24,10 +41,31 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language.fit(docs, fold("doc_id", 4) != 2, PER_LANGUAGE, PROFILE)
+    return _folded(language.identify(docs, profiles), 4, 2).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows, share = labels.sample(docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 4) != 2, LABELLED)
+    found = toxic_spans.tag(docs, toxic_spans.fit(rows, share))
+    told = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string")))
+    return _folded(found, 4, 2).select("doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), F.array_join(told, ",").alias("spans"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows, share = labels.sample(docs, table(spark, sf_dir, "labels"), "quality", fold("doc_id", 5) != 0, LABELLED)
+    found = quality.rank(docs, quality.fit(rows, share))
+    return _folded(found, 5, 0).select("doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
 def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_pieces, op4_token_files, op9_ogg)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op3_pieces, op4_token_files, op5_language, op6_toxicity, op8_quality, op9_ogg)}
 
 ORACLE_SQL: dict[str, str] = {}
