@@ -100,25 +100,23 @@ def grouped(batches: Iterable[pa.RecordBatch], key: str, rows: int = 20_000) ->
     import numpy as np
 
     held: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    n, least = 0, rows
+    for batch in (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)):
         held.append(batch)
         n += batch.num_rows
-        if n < rows:
+        if n < least:
             continue
         whole = pa.Table.from_batches(held).combine_chunks()
         keys = whole.column(key).to_numpy()
         change = np.flatnonzero(keys[1:] != keys[:-1])
         if not len(change):
             held = whole.to_batches()
-            rows = max(rows, 2 * n)  # a large group: look again when it has doubled
+            least = 2 * n  # a large group: look again when it has doubled
             continue
         cut = int(change[-1]) + 1
         yield whole.slice(0, cut)
         held = whole.slice(cut).to_batches()
-        n -= cut
+        n, least = n - cut, rows
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import labels, language, ogg, pieces, quality, secret_scan, token_files, toxic_spans
+from . import labels, language, ogg, pieces, quality, repeats, secret_scan, token_files, toxic_spans
 from .common import fold, table
 
 #: Most labelled texts of each label (and of each language) that a classifier is fitted on.
@@ -33,6 +33,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"), 400)
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -66,6 +70,6 @@ def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op3_pieces, op4_token_files, op5_language, op6_toxicity, op8_quality, op9_ogg)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_repeats, op3_pieces, op4_token_files, op5_language, op6_toxicity, op8_quality, op9_ogg)}
 
 ORACLE_SQL: dict[str, str] = {}
