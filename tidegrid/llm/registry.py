@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import labels, language, ogg, pieces, quality, repeats, secret_scan, token_files, toxic_spans
+from . import labels, language, ogg, pieces, quality, repeats, secret_scan, set_join, token_files, toxic_spans
 from .common import fold, table
 
 #: Most labelled texts of each label (and of each language) that a classifier is fitted on.
@@ -59,6 +59,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folded(found, 4, 2).select("doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), F.array_join(told, ",").alias("spans"))
 
 
+def op7_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.classes(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows, share = labels.sample(docs, table(spark, sf_dir, "labels"), "quality", fold("doc_id", 5) != 0, LABELLED)
@@ -70,6 +74,6 @@ def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_repeats, op3_pieces, op4_token_files, op5_language, op6_toxicity, op8_quality, op9_ogg)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_repeats, op3_pieces, op4_token_files, op5_language, op6_toxicity, op7_set_join, op8_quality, op9_ogg)}
 
 ORACLE_SQL: dict[str, str] = {}
