@@ -10,15 +10,15 @@ A null payload gives null media; null media gives null fields. Damaged media rai
 in `fault`, and its other fields are null. Rows are independent; ties, repeated rows and empty tables need no care.
 """
 
-from __future__ import annotations
-
 import hashlib
 import struct
 import zlib
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_batches
 
@@ -156,12 +156,10 @@ def decode(media: bytes) -> tuple[bytes, dict]:
 
 def write_column(df: DataFrame, payload: str = "payload", media: str = "media") -> DataFrame:
     """`df` with a binary column `media`; a column of that name is replaced."""
-    from pyspark.sql import functions as F
-
-    def run(column):
+    def run(column: pd.Series) -> pd.Series:
         return column.map(lambda x: None if x is None else encode(bytes(x)))
 
-    return df.withColumn(media, F.pandas_udf(run, "binary", F.PandasUDFType.SCALAR)(F.col(payload)))
+    return df.withColumn(media, F.pandas_udf(run, "binary")(F.col(payload)))
 
 
 FIELDS = "payload binary, pages int, streams int, packets int, seconds double, times array<double>, fault string"
@@ -169,9 +167,6 @@ FIELDS = "payload binary, pages int, streams int, packets int, seconds double, t
 
 def read_column(df: DataFrame, media: str = "media", info: str = "info") -> DataFrame:
     """`df` with a struct column `info` of FIELDS, read from the stored form."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     def one(x):
         if x is None:
             return (None,) * 7
@@ -181,10 +176,10 @@ def read_column(df: DataFrame, media: str = "media", info: str = "info") -> Data
             return (None,) * 6 + (str(e),)
         return payload, told["pages"], told["streams"], told["packets"], told["seconds"], told["times"], None
 
-    def run(column):
+    def run(column: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(x) for x in column], columns=[x.split()[0] for x in FIELDS.split(", ")], dtype=object)
 
-    return df.withColumn(info, F.pandas_udf(run, FIELDS, F.PandasUDFType.SCALAR)(F.col(media)))
+    return df.withColumn(info, F.pandas_udf(run, FIELDS)(F.col(media)))
 
 
 def padded(text: str | None, unit: int = 192) -> tuple[int, bytes]:
