@@ -24,3 +24,17 @@ def test_bronze_survives_a_restart(spark, tmp_path):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     spark.streams.removeListener(gauges)
     assert gauges.rows.get("restart", 0) == 2
+
+
+def test_bronze_table_takes_a_message_once(spark, tmp_path):
+    from tidegrid.operators.tables import Table
+    from tidegrid.plans import jobs
+
+    table = Table(spark, f"{tmp_path}/bronze", ("ingest_date",), ("kafka_partition", "kafka_offset"))
+    rows = [(b"1", b"{}", "t", 0, k, datetime(2026, 1, 1)) for k in (1, 2)]
+    spark.createDataFrame(rows, MESSAGE).write.parquet(f"{tmp_path}/in")
+    for k in range(2):  # a new checkpoint reads everything again
+        ingest.write_bronze_table(ingest.source(spark, "files", f"{tmp_path}/in"), table, f"{tmp_path}/checkpoint{k}", {"availableNow": True}, f"again{k}").awaitTermination()
+    assert sorted(r["kafka_offset"] for r in table.read().collect()) == [1, 2]
+    assert jobs.maintain({"bronze": table, "none": Table(spark, f"{tmp_path}/none")}, 0).keys() == {"bronze"}
+    assert table.read().count() == 2

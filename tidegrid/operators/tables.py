@@ -22,8 +22,10 @@ class Conflict(RuntimeError):
 
 
 class Table:
-    def __init__(self, spark: SparkSession, path: str, partition_by: tuple[str, ...] = ()):
-        self.spark, self.path, self.partition_by = spark, path.rstrip("/"), tuple(partition_by)
+    """sort_by (K17): files are sorted by these columns, so that row groups' statistics serve look-ups by them."""
+
+    def __init__(self, spark: SparkSession, path: str, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ()):
+        self.spark, self.path, self.partition_by, self.sort_by = spark, path.rstrip("/"), tuple(partition_by), tuple(sort_by)
         jvm = spark._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -66,7 +68,7 @@ class Table:
 
     def _write(self, df: DataFrame) -> list[str]:
         batch = f"batch={uuid.uuid4().hex}"
-        writer = df.write
+        writer = (df.sortWithinPartitions(*self.partition_by, *self.sort_by) if self.sort_by else df).write
         (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{batch}")
         found = [batch]
         for _ in self.partition_by:

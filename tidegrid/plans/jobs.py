@@ -71,6 +71,11 @@ def drift_run(hours: DataFrame, stations: DataFrame, reference: DataFrame, as_of
     return features.drift(reference, features.long_form(current), threshold)
 
 
+def maintain(tables: dict[str, object], hours: float = 168.0, files: int = 1) -> dict[str, dict[str, int]]:
+    """Compact and vacuum each table that exists; how many files and folders came and went."""
+    return {name: {**t.compact(files), "vacuumed": t.vacuum(hours)} for name, t in tables.items() if t.exists()}
+
+
 def run_in_order(steps: dict[str, tuple[tuple[str, ...], Callable[[], object]]]) -> dict[str, object]:
     """Q-15: each step after those it names; a step is skipped if one of those was, or returned SKIPPED or False."""
     done: dict[str, object] = {}

@@ -30,6 +30,15 @@ def write_bronze(messages: DataFrame, path: str, checkpoint: str, trigger: dict
     return writer.trigger(**(trigger or {"processingTime": "60 seconds"})).start(path)
 
 
+def write_bronze_table(messages: DataFrame, table, checkpoint: str, trigger: dict | None = None, name: str = "bronze_table") -> StreamingQuery:
+    """K2 into a table of operators.tables, which can be compacted: a batch that comes again adds nothing, by broker position."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        table.insert_absent(to_bronze(batch), ("kafka_partition", "kafka_offset"))
+
+    return messages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).queryName(name).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
+
+
 class _LastSeen(StatefulProcessor):
     """Keeps each station's last time; a row goes on if its time differs from it (no state yet counts as null)."""
 
