@@ -59,28 +59,25 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 ROWS_AT_ONCE = 1024
 
 
-class Memo:
-    """A mapping of at most two generations of `limit` keys; forgetting costs time and never changes a result."""
-
-    def __init__(self, make: Callable[[list], list], limit: int):
-        self.make, self.limit, self.new, self.old = make, limit, {}, {}
+class Memo(dict):
+    """A mapping made on demand, of at most two generations of `limit` keys; forgetting costs time and never changes a result."""
+
+    def __init__(self, make: Callable[[str], object], limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: str) -> object:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
     def all(self, keys: list) -> list:
-        found = list(map(self.new.get, keys))
-        if None in found:
-            new, old = self.new, self.old
-            missing = []
-            for k in {k for k, v in zip(keys, found) if v is None}:
-                if (v := old.get(k)) is None:
-                    missing.append(k)
-                else:
-                    new[k] = v
-            if missing:
-                new.update(zip(missing, self.make(missing)))
-            found = list(map(new.get, keys))
-            if len(new) > self.limit:
-                self.old, self.new = new, {}
-        return found
+        return list(map(self.__getitem__, keys))
 
 
 _kept: dict = {}

@@ -11,14 +11,14 @@ Nulls count as empty texts: no ids, decoded to the empty text. Rows are independ
 repeated rows, empty tables and extra columns need no care.
 """
 
-from __future__ import annotations
-
 import hashlib
 import re
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import Memo, file_of, map_batches, once
 
@@ -60,8 +60,8 @@ class PieceCodec:
         self.plain = frozenset(self.ids.values())
         self.pairs: dict[tuple[str, str], bool] = {}
         self.prefix: dict[str, str] = {}
-        self.memo = Memo(lambda parts: list(map(self._part, parts)), MEMO_PARTS)
-        self.words = Memo(lambda words: list(map(self._word, words)), MEMO_PARTS // 2)
+        self.memo = Memo(self._part, MEMO_PARTS)
+        self.words = Memo(self._word, MEMO_PARTS // 2)
 
     def merged(self, text: str) -> list[str]:
         """Plain merging: of the adjacent pairs whose joined text is a piece, the best (then leftmost) is joined."""
@@ -220,32 +220,24 @@ def codec(path: str) -> PieceCodec:
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """`df` with a column `ids` (array of int) of the encoded text; a column of that name is replaced."""
-    from pyspark.sql import functions as F
-
     file_of(path)
 
-    def make():
+    def run(column: pd.Series) -> pd.Series:
         it = codec(path)
-        return lambda column: column.map(lambda s: it.encode(s or ""))
+        return column.map(lambda s: it.encode(s or ""))
 
-    def run(column):
-        return make()(column)
-
-    run.__annotations__ = {"column": "pd.Series", "return": "pd.Series"}
-    return df.withColumn(ids, F.pandas_udf(run, "array<int>", F.PandasUDFType.SCALAR)(F.col(text)))
+    return df.withColumn(ids, F.pandas_udf(run, "array<int>")(F.col(text)))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """`df` with a column `text` decoded from `ids`; a column of that name is replaced, null ids give an empty text."""
-    from pyspark.sql import functions as F
-
     file_of(path)
 
-    def run(column):
+    def run(column: pd.Series) -> pd.Series:
         it = codec(path)
         return column.map(lambda x: "" if x is None else it.decode([int(i) for i in x]))
 
-    return df.withColumn(text, F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(F.col(ids)))
+    return df.withColumn(text, F.pandas_udf(run, "string")(F.col(ids)))
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:

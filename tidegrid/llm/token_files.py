@@ -23,7 +23,7 @@ from .common import ROWS_AT_ONCE, Memo, file_of, once, shared_dir
 
 SCHEMA = "doc_id long, part int, before long, n_tokens int, tokens array<int>"
 #: Memoised pieces of text in each of two generations, in each Python worker.
-MEMO_PARTS = 400_000
+MEMO_PARTS = 600_000
 #: White space as the pre-tokeniser sees it, and a part: white space and what follows it up to the next.
 SPACE = r"[^\S\x1c-\x1f]"
 PARTS = re.compile(rf"{SPACE}*(?:\S|[\x1c-\x1f])+|{SPACE}+")
@@ -47,28 +47,25 @@ class ByteBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo = Memo(self._encode, MEMO_PARTS)
-        self.words = Memo(lambda words: list(map(self._word, words)), MEMO_PARTS // 2)
+        self.words = Memo(self._word, MEMO_PARTS // 2)
         self.signs = Memo(self._whole, 10_000)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
-    def _whole(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def _whole(self, part: str) -> bytes:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
         found = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
         return b"".join([x.id.to_bytes(4, "little") for x in found])
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        shapes = list(map(SHAPE.fullmatch, parts))
-        usual = [m.groups() for m in shapes if m]
-        words = iter(self.words.all([w for _, w, _ in usual]))
-        signs = iter(self.signs.all([x for a, _, b in usual for x in (a, b) if x]))
-        told = iter([(next(signs) if a else b"") + next(words) + (next(signs) if b else b"") for a, _, b in usual])
-        rest = iter(self._whole([p for p, m in zip(parts, shapes) if not m]))
-        return [next(told if m else rest) for m in shapes]
+    def _encode(self, part: str) -> bytes:
+        m = SHAPE.fullmatch(part)
+        if m is None:
+            return self._whole(part)
+        line, word, signs = m.groups()
+        return (self.signs[line] if line else b"") + self.words[word] + (self.signs[signs] if signs else b"")
 
     def parts(self, text: str) -> list[str]:
         if RUNS.search(text):
