@@ -23,7 +23,7 @@ from .common import ROWS_AT_ONCE, Memo, file_of, once, shared_dir
 
 SCHEMA = "doc_id long, part int, before long, n_tokens int, tokens array<int>"
 #: Memoised pieces of text in each of two generations, in each Python worker.
-MEMO_PARTS = 600_000
+MEMO_PARTS = 500_000
 #: White space as the pre-tokeniser sees it, and a part: white space and what follows it up to the next.
 SPACE = r"[^\S\x1c-\x1f]"
 PARTS = re.compile(rf"{SPACE}*(?:\S|[\x1c-\x1f])+|{SPACE}+")
