@@ -69,7 +69,7 @@ def brute_classes(texts, words, percent):
     return [(len(s), find(k)) for k, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("hot", "block"), [(512, 4096), (2, 2)])
+@pytest.mark.parametrize(("hot", "block"), [(512, 1_000_000), (2, 90)])
 def test_join_equals_brute_force(spark, hot, block, monkeypatch):
     monkeypatch.setattr(set_join, "HOT", hot)
     monkeypatch.setattr(set_join, "BLOCK", block)
@@ -95,6 +95,20 @@ def test_join_of_odd_rows(odd, none):
     assert kept.columns == odd.columns and sorted(x["doc_id"] for x in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 12]
 
 
+def test_repeated_rows_and_rows_without_id(spark):
+    r = random.Random(4)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c = text(60), text(60), text(60)
+    rows = [(1, a), (1, a), (2, a + " more"), (3, b), (None, b), (None, c), (4, c + " x y")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    key = lambda x: (x is None, x)
+    told = sorted(((x["doc_id"], x["component_id"]) for x in set_join.classes(df, 4, 85).collect()), key=lambda x: (key(x[0]), key(x[1])))
+    assert told == [(1, 1), (1, 1), (2, 1), (3, 3), (4, 4), (None, 3), (None, None)]
+    assert sorted((x["doc_id"] for x in set_join.one_of_each(df).collect()), key=key) == [1, 1, 3, 4, None, None]
+    gone = sorted(((x["doc_id"], x["n_removed"] == x["n_bytes"], x["n_removed"] > 0) for x in repeats.digests(df, 50).collect()), key=lambda x: key(x[0]))
+    assert gone == [(1, True, True), (1, True, True), (2, False, True), (3, False, False), (4, False, False), (None, False, False), (None, False, False)]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (7, 4), (3, 1), (None, 1)]
     assert sorted(map(tuple, graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (7, 4), (8, 4), (9, 4)]

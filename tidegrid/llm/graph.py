@@ -10,8 +10,8 @@ from .common import stage
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for every node of `edges` (a, b: long). Edges with nulls count for nothing; repeated ones and loops do no harm."""
-    both = edges.filter("a is not null and b is not null and a <> b")
-    both = stage(both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = stage(edges.filter("a is not null and b is not null and a <> b").select(F.inline(F.array(way("a", "b"), way("b", "a")))).distinct(), "edges")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))

@@ -11,13 +11,15 @@ two documents link when 100 * |intersection| >= percent * |union|. Nothing is ap
 3. Each index list is walked by size; two sets of a list go together unless their sizes or their parity sketches
    (a bit flips for each shingle, so bits that differ are at most the shingles that differ) exclude a link. Lists over
    HOT sets are walked only for sets whose shared shingles may all be in such lists.
-4. The connected sets of all lists meet in one task each (those of more than BLOCK sets in pairs of blocks), and there
+   Components that come out large are narrowed once more by wider sketches.
+4. The connected sets of all lists meet in one task each (those of more than BLOCK shingles in pairs of blocks), and there
    the links are found exactly, with set relations used twice: an index list's entries are skipped by position where
    sizes exclude them, and a set's overlaps are derived from those of a very similar set that is done, by adding and
    taking away the lists of the shingles in which the two differ.
 
-A null or blank text has an empty set and links with nothing, not even its copies. doc_id must not be null; repeated
-rows are copies. Empty tables give empty results.
+A null or blank text has an empty set and links with nothing, not even its copies. Repeated rows are copies of each
+other under one id. A row without doc_id gets the class of its text's copies, null if there are none with an id, and
+links no others. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from .common import grouped, map_batches, stage
 from .graph import components
 
 HOT = 512
-#: Sets of a candidate component that meet in one task.
-BLOCK = 4096
+#: Shingles of a candidate component's sets that meet in one task; a larger one is dealt in blocks of about so many.
+BLOCK = 1_000_000
 _P = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -71,9 +73,13 @@ def needed(n: int, percent: int) -> int:
     return min(indexed(k, percent) - slack(k, percent) for k in {n, -(-n * percent // 100)})
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Parity bits of the hashes; about half as many as there are hashes, 64 to 1024."""
-    bits = 1 << min(10, max(6, int(len(hashes)).bit_length() - 2))
+#: Powers of two of the most bits in the sketches that lists carry, and in those that large components are narrowed by.
+LIST_BITS, WIDE_BITS = 10, 14
+
+
+def sketch(hashes: np.ndarray, most: int = LIST_BITS) -> bytes:
+    """Parity bits of the hashes; about half as many as there are hashes, 64 to 2 ** most."""
+    bits = 1 << min(most, max(6, int(len(hashes)).bit_length() - 2))
     flips = np.bincount((hashes >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
@@ -132,6 +138,7 @@ def exact_roots(ids: list[int], sets: list[np.ndarray], percent: int) -> list[in
     owner = np.repeat(np.arange(n), sizes)
     _, token, count = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True, return_counts=True)
     shared = count[token] > 1
+    del count
     at = np.concatenate(([0], np.cumsum(sizes)))
     kept = np.concatenate(([0], np.cumsum(shared)))
     token, owner = token[shared], owner[shared]
@@ -182,18 +189,18 @@ def exact_roots(ids: list[int], sets: list[np.ndarray], percent: int) -> list[in
     return [ids[root(k)] for k in range(n)]
 
 
-SETS = "doc_id long, n long, key_a long, key_b long, first array<long>, sketch binary"
+SETS = "doc_id long, n long, key_a long, key_b long, first array<long>, sketch binary, wide binary"
 
 
 def find_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, a, b, first, bits = [], [], [], [], []
+            n, a, b, first, bits, wide = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, words)
                 n.append(len(s))
                 if not len(s):
-                    for c in (a, b, first, bits):
+                    for c in (a, b, first, bits, wide):
                         c.append(None)
                     continue
                 x = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -201,7 +208,8 @@ def find_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 b.append((x & (1 << 64) - 1) - (1 << 63))
                 first.append(s[: indexed(len(s), percent)].view(np.int64))
                 bits.append(sketch(s))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "key_a", "key_b", "first", "sketch"])
+                wide.append(sketch(s, WIDE_BITS) if len(s) > 2 << LIST_BITS else None)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())], ["doc_id", "n", "key_a", "key_b", "first", "sketch", "wide"])
 
         return work
 
@@ -244,10 +252,34 @@ def _needed_column(n, percent: int):
     return F.least(least(n), least(part))
 
 
-def linked_roots(docs: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame:
-    """node, label by exact links. labels: the candidate component of each set that has one; docs: their texts."""
-    sizes = labels.groupBy("label").count()
-    members = labels.join(sizes, "label").select(F.col("node").alias("doc_id"), "label", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+def narrowed(labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, label, n: components of over BLOCK shingles are taken apart once more, by size and the wide sketches of their sets (at most 2 KB each, a component's in one task)."""
+    told = stage(labels.join(sets.select(F.col("doc_id").alias("node"), "n", F.coalesce("wide", "sketch").alias("wide")), "node"), "members")
+    large = told.groupBy("label").agg(F.sum("n").alias("n_all")).filter(F.col("n_all") > BLOCK).select("label")
+    if large.isEmpty():
+        return told.select("node", "label", "n")
+
+    def walk(batches):
+        for t in grouped(batches, "label", 2000):
+            label = t.column("label").to_numpy()
+            edge = [0, *(np.flatnonzero(label[1:] != label[:-1]) + 1).tolist(), len(label)]
+            node, n, bits = t.column("node").to_pylist(), t.column("n").to_pylist(), t.column("wide").to_pylist()
+            found = []
+            for a, b in zip(edge[:-1], edge[1:]):
+                found += list_edges([(node[k], n[k], int.from_bytes(bits[k], "little"), 8 * len(bits[k])) for k in range(a, b)], percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    inside = told.join(large, "label").select("label", "node", "n", "wide")
+    edges = stage(inside.repartition("label").sortWithinPartitions("label").mapInArrow(walk, "a long, b long"), "narrowed")
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("end"))  # stars: one row a set
+    parts = told.join(large.withColumn("large", F.lit(True)), "label", "left").join(ends, "node", "left")
+    return stage(parts.select("node", F.when(F.col("large"), F.coalesce("end", "node")).otherwise(F.col("label")).alias("label"), "n"), "parts")
+
+
+def linked_roots(docs: DataFrame, told: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, label by exact links. told: node, label of its candidate component, n of each set that has one; docs: their texts."""
+    sizes = told.groupBy("label").agg(F.sum("n").alias("n_all"))
+    members = told.join(sizes, "label").select(F.col("node").alias("doc_id"), "label", F.ceil(F.col("n_all") / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("label", F.least(k, mine), F.greatest(k, mine)))
     texts = docs.select("doc_id", "text").join(members, "doc_id").select("doc_id", "text", tasks.alias("tasks"))
@@ -261,18 +293,18 @@ def linked_roots(docs: DataFrame, labels: DataFrame, words: int, percent: int) -
     dealt = texts.mapInArrow(read, "doc_id long, tokens binary, tasks array<long>").select(F.explode("tasks").alias("task"), "doc_id", "tokens")
 
     def join(batches):
-        for t in grouped(batches, "task", 2000):
+        for t in grouped(batches, "task", 500):
             task = t.column("task").to_numpy()
             edge = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
-            doc, sets = t.column("doc_id").to_pylist(), t.column("tokens").to_pylist()
+            doc = t.column("doc_id").to_pylist()
             roots: list[int] = []
             for a, b in zip(edge[:-1], edge[1:]):
-                roots += exact_roots(doc[a:b], [np.frombuffer(x, np.uint64) for x in sets[a:b]], percent)
+                roots += exact_roots(doc[a:b], [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens").slice(a, b - a)], percent)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(roots, pa.int64())], ["a", "b"])
 
     edges = stage(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(join, "a long, b long"), "links")
-    if sizes.filter(F.col("count") > BLOCK).isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    if sizes.filter(F.col("n_all") > BLOCK).isEmpty():
+        return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))  # an id that is repeated comes once
     return components(edges)
 
 
@@ -284,12 +316,12 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     firsts = found.filter("n > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("doc_id"))
     sets = found.join(firsts.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     edges = candidate_edges(sets, percent)
-    roots = linked_roots(docs, components(edges), words, percent)
+    roots = linked_roots(docs, narrowed(components(edges), sets, percent), words, percent)
     ends = firsts.join(roots, firsts.doc_id == roots.node, "left").select("key_a", "key_b", F.coalesce("label", "doc_id").alias("component_id"))
     return found.select("doc_id", "n", "key_a", "key_b").join(ends, ["key_a", "key_b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose doc_id is the least of its component; all columns stay."""
-    kept = classes(docs, words, percent).filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of `docs` but those of a component with a lesser doc_id; all columns stay. Rows that share the least id all stay, and so do rows without an id."""
+    gone = classes(docs, words, percent).filter("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
