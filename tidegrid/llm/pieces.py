@@ -15,16 +15,19 @@ import hashlib
 import re
 
 import ahocorasick
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Memo, file_of, map_batches, once
 
 MARK = "▁"
 #: Memoised parts in each of two generations, in each Python worker.
 MEMO_PARTS = 300_000
+#: Rows whose ids are held at one time.
+ROWS = 256
 #: Ranges of Latin letters.
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: A run of Latin letters, with marks before it, or a run without them.
@@ -218,26 +221,47 @@ def codec(path: str) -> PieceCodec:
     return once(("pieces", path), lambda: PieceCodec(path))
 
 
+def _with_column(df: DataFrame, name: str, kind: str, source: str, make) -> DataFrame:
+    """`df` with column `name`, made by make()(array of `source`) from slices of ROWS rows; other columns go through."""
+    kept = [f for f in df.schema.fields if f.name != name]
+    rows = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{source}`").alias("_source_"))
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], work(part.columns[-1])], [*part.schema.names[:-1], name])
+
+    return rows.mapInArrow(run, T.StructType([*kept, *T._parse_datatype_string(f"`{name}` {kind}").fields]))
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """`df` with a column `ids` (array of int) of the encoded text; a column of that name is replaced."""
     file_of(path)
 
-    def run(column: pd.Series) -> pd.Series:
+    def make():
         it = codec(path)
-        return column.map(lambda s: it.encode(s or ""))
 
-    return df.withColumn(ids, F.pandas_udf(run, "array<int>")(F.col(text)))
+        def work(column: pa.Array) -> pa.Array:
+            found = [np.fromstring(it.both(s)[0], np.int32, sep=",") if s else np.zeros(0, np.int32) for s in column.to_pylist()]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+
+        return work
+
+    return _with_column(df, ids, "array<int>", text, make)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """`df` with a column `text` decoded from `ids`; a column of that name is replaced, null ids give an empty text."""
     file_of(path)
 
-    def run(column: pd.Series) -> pd.Series:
+    def make():
         it = codec(path)
-        return column.map(lambda x: "" if x is None else it.decode([int(i) for i in x]))
+        return lambda column: pa.array(["" if x is None else it.decode(x) for x in column.to_pylist()], pa.string())
 
-    return df.withColumn(text, F.pandas_udf(run, "string")(F.col(ids)))
+    return _with_column(df, text, "string", ids, make)
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:

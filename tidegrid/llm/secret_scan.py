@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stage
+from .common import ROWS_AT_ONCE, map_batches, stage
 
 #: Kinds in the order in which findings at one place are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -190,25 +190,35 @@ def digests(docs: DataFrame, level: float = 0.01) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def _is_discovery(p: float, length: int, least: dict[int, int]) -> bool:
+    cell = min(GRID - 1, math.floor(-math.log2(max(p, 1e-300)) * 4))
+    return cell >= least.get(sum(length >= x for x in LENGTHS), GRID)
+
+
+def redacted(text: str, least: dict[int, int]) -> str:
+    """`text` with each base finding and discovery replaced by <kind>; of overlapping ones the first (then longest) names the place."""
+    at, parts = 0, []
+    for kind, start, stop, _ in sorted((s for s in spans(text) if s[0] != "random" or _is_discovery(s[3], s[2] - s[1], least)), key=lambda s: (s[1], -s[2])):
+        if start >= at:
+            parts += [text[at:start], f"<{kind}>"]
+        at = max(at, stop)
+    return "".join([*parts, text[at:]]) if parts else text
+
+
 def redact(docs: DataFrame, level: float = 0.01) -> DataFrame:
-    """`docs` with each finding in `text` replaced by <kind>, n_chars counted anew; other columns stay, null texts stay null."""
-    found = scan(docs, level).filter(F.size("spans") > 0).select("doc_id", F.col("spans").alias("_spans"))
-
-    def run(it):
-        for pdf in it:
-            out = []
-            for text, marks in zip(pdf["text"], pdf["_spans"]):
-                if text is None or marks is None:
-                    out.append(text)
-                    continue
-                at, parts = 0, []
-                for m in marks:
-                    if m["stop"] > at:
-                        parts += [text[at : m["start"]], f"<{m['kind']}>"] if m["start"] >= at else []
-                        at = m["stop"]
-                out.append("".join([*parts, text[at:]]))
-            yield pdf.assign(text=out)[names]
-
-    names = docs.columns
-    new = docs.join(found, "doc_id", "left").mapInPandas(run, docs.schema)
-    return new.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else new
+    """`docs` with findings in `text` replaced, n_chars counted anew; other columns stay, null texts stay null.
+
+    The thresholds come from a first pass over all texts; the second changes each row where it is, whatever its id.
+    """
+    least = thresholds(stage(candidates(docs), "secrets"), level)
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(k, ROWS_AT_ONCE)
+                texts = pa.array([redacted(s, least) if s else s for s in part.column(at).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([texts if j == at else c for j, c in enumerate(part.columns)], part.schema.names)
+
+    new = docs.mapInArrow(run, docs.schema)
+    return new.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else new
