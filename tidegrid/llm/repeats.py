@@ -14,7 +14,7 @@ member need no more rounds. A class that holds two starts or more, counted with
 An anchor with more than HOT different segments isn't gathered in one task: its starts become rows of their strings'
 hashes (128 bits) and are counted where they lie.
 
-Nulls count as empty texts. Texts shorter than `length` have no starts. Copies of a document remove each other wholly
+Nulls count as empty texts; rows without doc_id stay whole and make nothing a repeat. Texts shorter than `length` have no starts. Copies of a document remove each other wholly
 (from `length` bytes on). Empty tables give empty results.
 """
 
@@ -100,7 +100,7 @@ def refine(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
             size = np.bincount(bucket)
             active = np.flatnonzero(size[bucket] > 1)
         key = bucket[active] * np.int64(n + 1) + after[active] if n < 3_000_000_000 else None
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
         group = np.cumsum(new) - 1
@@ -124,7 +124,7 @@ def refine(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 
 
 def _numbers(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     told = keys[order]
     out = np.empty(len(keys), np.int64)
     out[order] = np.cumsum(np.concatenate(([False], told[1:] != told[:-1])))
@@ -155,7 +155,7 @@ def find_runs(docs: DataFrame, length: int) -> DataFrame:
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), make, RUNS)
+    return map_batches(docs.select("doc_id", "text").filter("doc_id is not null"), make, RUNS)
 
 
 def repeated(docs: DataFrame, length: int) -> DataFrame:
