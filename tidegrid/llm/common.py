@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to Python at one time while a table is staged; its rows may be some kilobytes each.
+STAGED_ROWS = 2000
 _own_dir: list[str] = []
 
 
@@ -39,7 +42,12 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stages/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    rows = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(rows), STAGED_ROWS) if int(rows) > 0 else STAGED_ROWS))
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 

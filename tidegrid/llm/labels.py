@@ -18,5 +18,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, teaches: Column, per_
     for y, n in counts.items():
         chosen = chosen | (F.col("y") == y) & (place < per_class / n)
     ids = known.filter(chosen).limit(int(2.2 * per_class))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y").toLocalIterator()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y").collect()
     return [(r["text"] or "", r["y"]) for r in rows], counts.get(1, 0) / max(1, sum(counts.values()))

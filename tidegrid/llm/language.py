@@ -109,7 +109,7 @@ def fit(docs: DataFrame, teaches: Column, per_language: int, top: int) -> Profil
     for lang, n in sorted(sizes.items()):
         chosen = chosen | (F.col("lang") == lang) & (place < per_language / n)
     texts: dict[str, list[str]] = {}
-    for r in taught.filter(chosen).select("lang", "text").toLocalIterator():
+    for r in taught.filter(chosen).select("lang", "text").collect():
         texts.setdefault(r["lang"], []).append(r["text"])
     return Profiles(texts, top)
 

@@ -6,7 +6,7 @@ ids before a part are a sum over the parts' totals. A reader of lengths and plac
 ids, and a reader of a few documents skips row groups and pages by the statistics of doc_id.
 
 Nulls count as empty texts and get the end id alone. doc_id is taken to be unique; repeated rows are written as
-often as they occur, in no fixed order among themselves. An empty table gives files without rows.
+often as they occur, in no fixed order among themselves. Rows without doc_id come first. An empty table gives files without rows.
 """
 
 from __future__ import annotations
