@@ -261,8 +261,7 @@ def baseline_metrics(spark, d):
 
 
 def forecast_latest(spark, d):
-    rows = feature_rows(spark, d).filter("station_id <= 30").persist()
-    trained = forecast.train(rows, grid=((3, 3, 0.3),))
+    trained = forecast.train(feature_rows(spark, d))
     return plain(forecast.predict(trained.model, feature_rows(spark, d, False), "trees", "1", AS_OF).drop("predicted_at"))
 
 
