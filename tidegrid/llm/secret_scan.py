@@ -34,7 +34,9 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A run for the battery, and what makes it more than a word: a digit or sign, or a small letter before a capital one.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])|[A-Za-z0-9+/_-]{16,}")
+#: Where a run without an encoding is cut: at the signs of one base64 alphabet first, then at those of the other.
+SEPARATORS = (re.compile("[^-_]+"), re.compile("[^+/]+"), re.compile("[^-_+/]+"))
 NO_WORD = re.compile(r"[0-9+/_=]|[a-z][A-Z]")
 #: Encodings from the narrowest: name, alphabet in the order of its values.
 _UP, _LOW, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -109,6 +111,17 @@ def battery(run: str) -> float | None:
     return max(_tail((z_even + z_change) / math.sqrt(2)), 1e-300)
 
 
+def parts(run: str) -> list[tuple[int, int]]:
+    """Where the strings to be tested lie in `run`: all of it, or what lies between separators if it has no encoding."""
+    if encoding(run.rstrip("=")) is not None:
+        return [(0, len(run))]
+    for cut in SEPARATORS:
+        found = [m.span() for m in cut.finditer(run) if m.end() - m.start() >= 16]
+        if found and all(encoding(run[a:b].rstrip("=")) is not None for a, b in found):
+            return found
+    return []
+
+
 def spans(text: str) -> list[tuple[str, int, int, float]]:
     """Base findings with p = 0, and candidates of the battery with their p-values; places count code points."""
     out = [("assign", m.start(), m.end(), 0.0) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
@@ -117,9 +130,10 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
     out += [("hex", *m.span(), 0.0) for m in HEX.finditer(text)]
     taken = [(a, b) for _, a, b, _ in out]
     for m in RUN.finditer(text):
-        run = m[0]
-        if NO_WORD.search(run) and not any(a < m.end() and m.start() < b for a, b in taken) and (p := battery(run)) is not None:
-            out.append(("random", *m.span(), p))
+        for i, j in parts(m[0]):
+            run, start, stop = m[0][i:j], m.start() + i, m.start() + j
+            if NO_WORD.search(run) and not any(a < stop and start < b for a, b in taken) and (p := battery(run)) is not None:
+                out.append(("random", start, stop, p))
     return out
 
 
