@@ -69,10 +69,10 @@ def brute_classes(texts, words, percent):
     return [(len(s), find(k)) for k, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("hot", "block"), [(512, 1_000_000), (2, 90)])
-def test_join_equals_brute_force(spark, hot, block, monkeypatch):
-    monkeypatch.setattr(set_join, "HOT", hot)
-    monkeypatch.setattr(set_join, "BLOCK", block)
+@pytest.mark.parametrize(("short", "hot", "list_block", "block"), [(8, 512, 4096, 1_000_000), (2, 2, 4096, 90), (1, 3, 2, 400), (3, 6, 5, 1500)])
+def test_join_equals_brute_force(spark, short, hot, list_block, block, monkeypatch):
+    for name, value in (("SHORT", short), ("HOT", hot), ("LIST_BLOCK", list_block), ("BLOCK", block)):
+        monkeypatch.setattr(set_join, name, value)
     r = random.Random(3)
     word = lambda: "".join(r.choice("abc") for _ in range(3))
     base = [[word() for _ in range(r.choice((3, 30, 120)))] for _ in range(8)]

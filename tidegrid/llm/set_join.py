@@ -8,18 +8,26 @@ two documents link when 100 * |intersection| >= percent * |union|. Nothing is ap
 2. Each set's first shingles in hash order are indexed. Of a set of n shingles a linked one lacks at most
    u(n) = n * (100 - percent) / 100, so with u(n) + l(n) indexed ones linked sets share min(l) of them or more. A set
    that shares fewer than any partner would need is left out.
-3. Each index list is walked by size; two sets of a list go together unless their sizes or their parity sketches
-   (a bit flips for each shingle, so bits that differ are at most the shingles that differ) exclude a link. Lists over
-   HOT sets are walked only for sets whose shared shingles may all be in such lists.
-   Components that come out large are narrowed once more by wider sketches.
-4. The connected sets of all lists meet in one task each (those of more than BLOCK shingles in pairs of blocks), and there
-   the links are found exactly, with set relations used twice: an index list's entries are skipped by position where
-   sizes exclude them, and a set's overlaps are derived from those of a very similar set that is done, by adding and
-   taking away the lists of the shingles in which the two differ.
+3. Two linked sets share half of what they need in lists of up to SHORT sets, or more than half in longer ones. Pairs of
+   short lists are counted, and those with half of the need go on if sizes and parity sketches allow a link (a bit flips
+   for each shingle, so bits that differ are at most the shingles that differ). Longer lists are walked by size, for
+   sets with more than half of their need in such lists; lists over HOT sets only for sets whose shared shingles may
+   all be in such lists.
+4. The connected sets of all lists meet in one task each, and there the links are found exactly, with set relations used
+   twice: an index list's entries are skipped by position where sizes exclude them, and a set's overlaps are derived
+   from those of a very similar set that is done, by adding and taking away the lists of the shingles in which the two
+   differ.
+
+A list of over LIST_BLOCK sets, or a component of over BLOCK shingles, never meets in one task (`split_links`). It is
+dealt in blocks, each of which is solved by itself; then the set with the most links is held against all blocks as a
+pivot, which joins nearly all of a group of near copies. Only sets of blocks' groups that the pivot doesn't reach
+are held against all other blocks. So the work grows with the group's size, and links are still exact. Components of
+over BLOCK shingles are first taken apart in the same way by the wide sketches of their sets.
 
 A null or blank text has an empty set and links with nothing, not even its copies. Repeated rows are copies of each
-other under one id. A row without doc_id gets the class of its text's copies, null if there are none with an id, and
-links no others. Empty tables give empty results.
+other under one id; where an id is repeated with other texts, each text has its own links, and each row the class of
+its own text. A row without doc_id gets the class of its text's copies, null if there are none with an id, and
+links no others. Empty tables give empty results; columns but doc_id and text are never looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +41,11 @@ from pyspark.sql import functions as F
 from .common import grouped, map_batches, stage
 from .graph import components
 
+#: Sets of an index list: up to SHORT its pairs are counted; over HOT it is walked for some sets alone.
+SHORT = 8
 HOT = 512
+#: Sets of a list (or of sketches of one component) that meet in one task.
+LIST_BLOCK = 4096
 #: Shingles of a candidate component's sets that meet in one task; a larger one is dealt in blocks of about so many.
 BLOCK = 1_000_000
 _P = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
@@ -73,13 +85,13 @@ def needed(n: int, percent: int) -> int:
     return min(indexed(k, percent) - slack(k, percent) for k in {n, -(-n * percent // 100)})
 
 
-#: Powers of two of the most bits in the sketches that lists carry, and in those that large components are narrowed by.
+#: Powers of two of the most bits in the sketches that lists carry, and in those that pairs and large components are tested by.
 LIST_BITS, WIDE_BITS = 10, 14
 
 
-def sketch(hashes: np.ndarray, most: int = LIST_BITS) -> bytes:
-    """Parity bits of the hashes; about half as many as there are hashes, 64 to 2 ** most."""
-    bits = 1 << min(most, max(6, int(len(hashes)).bit_length() - 2))
+def sketch(hashes: np.ndarray, most: int) -> bytes:
+    """Parity bits of the hashes; over half as many as there are hashes and no more than these, 64 to 2 ** most."""
+    bits = 1 << min(most, max(6, int(len(hashes)).bit_length() - 1))
     flips = np.bincount((hashes >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
@@ -100,13 +112,18 @@ def _compatible(a: tuple[int, int, int], b: tuple[int, int, int], percent: int)
     return (x ^ y).bit_count() <= most_apart(a[0], b[0], percent)
 
 
-def list_edges(sets: list[tuple[int, int, int, int]], percent: int) -> list[tuple[int, int]]:
-    """Edges from each set of an index list to the first of those it goes together with. sets: id, size, sketch, bits."""
-    left = sorted(sets, key=lambda s: (s[1], s[0]))
-    out = []
+def _set(node: int, n: int, bits: bytes) -> tuple[int, int, int, int]:
+    return node, n, int.from_bytes(bits, "little"), 8 * len(bits)
+
+
+def list_roots(ids: list[int], n: list[int], bits: list[bytes], percent: int) -> tuple[list[int], list[int]]:
+    """For each set the first of those that it goes together with by sizes and sketches, and the number of these where the set is the middle one by size (else 0)."""
+    left = sorted(map(_set, ids, n, bits), key=lambda s: (s[1], s[0]))
+    root: dict[int, int] = {}
+    score: dict[int, int] = {}
     while left:
         first, rest = left[0], left[1:]
-        queue = [first]
+        queue, group = [first], [first]
         while queue and rest:
             u = queue.pop()
             stay = []
@@ -114,17 +131,28 @@ def list_edges(sets: list[tuple[int, int, int, int]], percent: int) -> list[tupl
                 small, large = (u, v) if u[1] <= v[1] else (v, u)
                 if _compatible(small[1:], large[1:], percent):
                     queue.append(v)
-                    out.append((v[0], first[0]))
+                    group.append(v)
                 else:
                     stay.append(v)
             rest = stay
+        root.update((v[0], first[0]) for v in group)
+        middle = sorted(group, key=lambda s: (s[1], s[0]))[len(group) // 2]
+        score[middle[0]] = len(group)
         left = rest
-    return out
+    return [root[k] for k in ids], [score.get(k, 0) for k in ids]
+
 
+def list_against(one: tuple[int, bytes], n: list[int], bits: list[bytes], percent: int) -> list[bool]:
+    """Whether each set may link with `one` (size, sketch)."""
+    it = _set(0, *one)[1:]
+    others = [_set(0, *x)[1:] for x in zip(n, bits)]
+    return [_compatible(min(it, x, key=lambda s: s[0]), max(x, it, key=lambda s: s[0]), percent) for x in others]
 
-def exact_roots(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
-    """For each set the least id of those it is connected with by exact links."""
+
+def exact_roots(ids: list[int], sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """For each set the least id of those it is connected with by exact links, and its number of links."""
     n = len(ids)
+    links = np.zeros(n, np.int64)
     order = sorted(range(n), key=lambda k: (len(sets[k]), ids[k]))
     parent = list(range(n))
 
@@ -174,6 +202,8 @@ def exact_roots(ids: list[int], sets: list[np.ndarray], percent: int) -> list[in
         else:
             found = overlaps(own[k], lo, hi)
         linked = np.flatnonzero(100 * found >= percent * (sizes[k] + sizes[lo:hi] - found)) + lo
+        links[order[k]] += len(linked)
+        np.add.at(links, np.array(order)[linked], 1)
         close = linked[2 * found[linked - lo] * 10 >= 9 * (sizes[k] + sizes[linked])]
         fresh = [int(z) for z in close if z not in base_of]
         if fresh:
@@ -186,59 +216,115 @@ def exact_roots(ids: list[int], sets: list[np.ndarray], percent: int) -> list[in
             a, b = root(order[k]), root(order[int(z)])
             if a != b:
                 parent[max(a, b, key=lambda x: ids[x])] = min(a, b, key=lambda x: ids[x])
-    return [ids[root(k)] for k in range(n)]
+    return [ids[root(k)] for k in range(n)], links.tolist()
+
+
+def exact_against(one: np.ndarray, sets: list[np.ndarray], percent: int) -> list[bool]:
+    """Whether each set links with `one`; the overlaps of all are found at once."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets)
+    met = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    both = np.add.reduceat(met.astype(np.int64), np.cumsum(sizes) - sizes)
+    return (100 * both >= percent * (sizes + len(one) - both)).tolist()
 
 
-SETS = "doc_id long, n long, key_a long, key_b long, first array<long>, sketch binary, wide binary"
+SETS = "doc_id long, mark long, n long, key_a long, key_b long, first array<long>, sketch binary, wide binary"
+
+
+def _keys(s: np.ndarray) -> tuple[int, int]:
+    x = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
 
 
 def find_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, a, b, first, bits, wide = [], [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingles(text, words)
                 n.append(len(s))
                 if not len(s):
                     for c in (a, b, first, bits, wide):
                         c.append(None)
                     continue
-                x = xxhash.xxh3_128_intdigest(s.tobytes())
-                a.append((x >> 64) - (1 << 63))
-                b.append((x & (1 << 64) - 1) - (1 << 63))
+                for c, v in zip((a, b), _keys(s)):
+                    c.append(v)
                 first.append(s[: indexed(len(s), percent)].view(np.int64))
-                bits.append(sketch(s))
-                wide.append(sketch(s, WIDE_BITS) if len(s) > 2 << LIST_BITS else None)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())], ["doc_id", "n", "key_a", "key_b", "first", "sketch", "wide"])
+                bits.append(sketch(s, LIST_BITS))
+                wide.append(sketch(s, WIDE_BITS) if len(s) >= 2 << LIST_BITS else None)
+            kinds = (*(pa.int64(),) * 3, pa.list_(pa.int64()), pa.binary(), pa.binary())
+            columns = [pa.array(v, k) for v, k in zip((n, a, b, first, bits, wide), kinds)]
+            return pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], [x.split()[0] for x in SETS.split(", ")])
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), make, SETS)
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text"), make, SETS)
 
 
-def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: sets that lists put together. sets: distinct ones, as SETS."""
-    entries = sets.select("doc_id", F.explode("first").alias("token"))
-    lists = entries.groupBy("token").agg(F.count("*").alias("met")).filter("met > 1")
-    shared = entries.join(lists, "token").groupBy("doc_id").agg(F.collect_list("token").alias("tokens"), F.collect_list(F.col("met") > HOT).alias("hot"))  # bounded by the document's own length
-    need = _needed_column(F.col("n"), percent)
-    n_hot = F.size(F.filter("hot", lambda h: h))
-    told = sets.select("doc_id", "n", "sketch").join(shared, "doc_id").filter(F.size("tokens") >= need)
-    told = told.select("doc_id", "n", "sketch", F.explode(F.arrays_zip("tokens", "hot")).alias("t"), (n_hot >= need).alias("heavy"))
-    walked = told.filter("not t.hot or heavy").select(F.col("t.tokens").alias("token"), "doc_id", F.col("n").cast("int").alias("n"), "sketch")
-
-    def walk(batches):
-        for t in grouped(batches, "token"):
-            token = t.column("token").to_numpy()
-            edge = [0, *(np.flatnonzero(token[1:] != token[:-1]) + 1).tolist(), len(token)]
-            doc, n, bits = t.column("doc_id").to_pylist(), t.column("n").to_pylist(), t.column("sketch").to_pylist()
-            found: set[tuple[int, int]] = set()
-            for a, b in zip(edge[:-1], edge[1:]):
-                if b - a > 1:
-                    found.update(list_edges([(doc[k], n[k], int.from_bytes(bits[k], "little"), 8 * len(bits[k])) for k in range(a, b)], percent))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-    return walked.repartition("token").sortWithinPartitions("token").mapInArrow(walk, "a long, b long").distinct()
+ITEM = ("task", "key", "block", "node", "n", "bits", "pivot")
+
+
+def _groups(batches, rows: int):
+    """The rows of ITEM of each task, as lists."""
+    for t in grouped(batches, "task", rows):
+        task = t.column("task").to_numpy()
+        edge = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+        for a, b in zip(edge[:-1], edge[1:]):
+            part = t.slice(a, b - a)
+            yield {c: part.column(c).to_pylist() if c != "bits" else [x.as_buffer() for x in part.column(c)] for c in ITEM}
+
+
+def _rows(columns: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns.values()], list(columns))
+
+
+def _dealt(items: DataFrame) -> DataFrame:
+    """Rows of a task side by side. The number of partitions is given, as few bytes may be much work."""
+    told = items if "pivot" in items.columns else items.withColumn("pivot", F.lit(False))
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return told.withColumn("task", F.xxhash64("key", "block")).select(*ITEM).repartition(n, "task").sortWithinPartitions("task")
+
+
+def solved(items: DataFrame, solve, rows: int) -> DataFrame:
+    """key, block, a, b, score: for each set the one that stands for its group among those of its block. items: key, block, node, n, bits."""
+
+    def run(batches):
+        for g in _groups(batches, rows):
+            roots, score = solve(g["node"], g["n"], g["bits"])
+            yield _rows({"key": g["key"], "block": g["block"], "a": g["node"], "b": roots, "score": score})
+
+    return _dealt(items).mapInArrow(run, "key long, block long, a long, b long, score long")
+
+
+def split_links(items: DataFrame, solve, against, rows: int, name: str) -> DataFrame:
+    """a, b: edges that connect all linked sets of each key. items: staged; key, blocks (in how many it is dealt), node, n, bits.
+
+    Two sets of a key are in one block, or both in groups that the pivot reaches, or one of them is held against all blocks.
+    """
+    own = items.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    alone = stage(solved(own, solve, rows), f"{name}-blocks")
+    pivots = alone.groupBy("key").agg(F.max_by("a", F.struct("score", "a")).alias("node"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    sent = items.join(pivots, ["key", "node"]).dropDuplicates(["key"]).withColumn("block", every).withColumn("pivot", F.lit(True))
+
+    def hold(batches):
+        for g in _groups(batches, rows):
+            at = g["pivot"].index(True)
+            node, n, bits = ([x for k, x in enumerate(g[c]) if k != at] for c in ("node", "n", "bits"))
+            told = [x for x, met in zip(node, against(g["n"][at], g["bits"][at], n, bits) if n else ()) if met]
+            yield _rows({"key": g["key"][:1] * len(told), "a": told, "b": [g["node"][at]] * len(told)})
+
+    both = own.withColumn("pivot", F.lit(False)).unionByName(sent)
+    reached = stage(_dealt(both).mapInArrow(hold, "key long, a long, b long"), f"{name}-pivots")
+    groups = alone.join(reached.select("key", "a", F.lit(True).alias("met")), ["key", "a"], "left").groupBy("key", "block", "b").agg(F.max("met").alias("met"))
+    apart = alone.join(groups.filter("met is null").drop("met"), ["key", "block", "b"]).select("key", F.col("a").alias("node")).distinct()
+    apart = stage(apart, f"{name}-apart")
+    edges = alone.select("a", "b").unionByName(reached.select("a", "b"))
+    if apart.isEmpty():
+        return edges
+    other = own.join(apart, ["key", "node"], "left_semi").withColumn("to", every).filter("to <> block").drop("block").withColumnRenamed("to", "block")
+    last = own.join(apart.select("key").distinct(), "key", "left_semi").unionByName(other)
+    return edges.unionByName(stage(solved(last, solve, rows), f"{name}-last").select("a", "b"))
 
 
 def _needed_column(n, percent: int):
@@ -252,76 +338,117 @@ def _needed_column(n, percent: int):
     return F.least(least(n), least(part))
 
 
+def by_sketches(items: DataFrame, percent: int, name: str) -> DataFrame:
+    """a, b: edges of sets that may link by sizes and sketches; items: key, blocks, node, n, bits."""
+    solve = lambda ids, n, bits: list_roots(ids, n, bits, percent)
+    against = lambda n, bits, ns, others: list_against((n, bits), ns, others, percent)
+    one = items.filter("blocks = 1").withColumn("block", F.lit(0).cast("long"))
+    edges = solved(one, solve, 20_000).filter("a <> b").select("a", "b").distinct()
+    large = items.filter("blocks > 1")
+    return edges if large.isEmpty() else edges.unionByName(split_links(stage(large, f"{name}-large"), solve, against, 20_000, name))
+
+
+def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: sets that lists put together. sets: distinct ones; node, n, first, sketch, wide."""
+    entries = sets.select("node", F.explode("first").alias("token"))
+    lists = entries.groupBy("token").agg(F.count("*").alias("met")).filter("met > 1")
+    shared = entries.join(lists, "token").groupBy("node").agg(F.collect_list(F.struct("token", "met")).alias("shared"))  # bounded by the document's own length
+    told = sets.select("node", "n", "sketch", _needed_column(F.col("n"), percent).alias("need")).join(shared, "node").filter(F.size("shared") >= F.col("need"))
+    told = stage(told, "shared")
+    # Pairs that share half of their need in short lists.
+    short = told.select("node", "n", "need", F.explode(F.filter("shared", lambda t: t["met"] <= SHORT)).alias("t")).withColumn("token", F.col("t.token"))
+    lists = short.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "node", "need"))).alias("m"))  # of SHORT sets at most
+
+    def partners(x, k):
+        fits = F.filter(F.slice("m", k + 2, SHORT), lambda y: x["n"] * 100 >= y["n"] * percent)
+        return F.transform(fits, lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.greatest(x["need"], y["need"]).alias("need")))
+
+    pairs = lists.select(F.inline(F.flatten(F.transform("m", partners)))).groupBy("a", "b").agg(F.count("*").alias("met"), F.max("need").alias("need")).filter("2 * met >= need")
+    bits = sets.select("node", "n", F.coalesce("wide", "sketch").alias("bits"))
+    side = lambda c: bits.select(F.col("node").alias(c), F.struct("n", "bits").alias(f"of_{c}"))
+
+    def test(batches):
+        for batch in batches:
+            keep = [_compatible(_set(0, **x)[1:], _set(0, **y)[1:], percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    few = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(test, "a long, b long")
+    # Longer lists.
+    half = F.floor(F.col("need") / 2) + 1
+    over = lambda most: F.size(F.filter("shared", lambda t: t["met"] > most))
+    heavy = told.filter(over(SHORT) >= half).withColumn("heavy", over(HOT) >= half)
+    asked = F.filter("shared", lambda t: (t["met"] > SHORT) & ((t["met"] <= HOT) | F.col("heavy")))
+    walked = heavy.select("node", "n", F.col("sketch").alias("bits"), F.explode(asked).alias("t"))
+    blocks = F.ceil(F.col("t.met") / LIST_BLOCK).cast("long")
+    return few.unionByName(by_sketches(walked.select(F.col("t.token").alias("key"), blocks.alias("blocks"), "node", "n", "bits"), percent, "lists"))
+
+
+def sized(told: DataFrame, weight, most: int) -> DataFrame:
+    """`told` (node, label, n) with key and blocks, in how many parts a label of that weight is dealt."""
+    sizes = told.groupBy("label").agg(F.ceil(F.sum(weight) / most).cast("long").alias("blocks"))
+    return told.join(sizes, "label").withColumn("key", F.col("label"))
+
+
 def narrowed(labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """node, label, n: components of over BLOCK shingles are taken apart once more, by size and the wide sketches of their sets (at most 2 KB each, a component's in one task)."""
-    told = stage(labels.join(sets.select(F.col("doc_id").alias("node"), "n", F.coalesce("wide", "sketch").alias("wide")), "node"), "members")
-    large = told.groupBy("label").agg(F.sum("n").alias("n_all")).filter(F.col("n_all") > BLOCK).select("label")
+    """node, label, n: components of over BLOCK shingles are taken apart once more, by size and the wide sketches of their sets (at most 2 KB each)."""
+    told = stage(labels.join(sets.select("node", "n"), "node"), "members")
+    large = sized(told, F.col("n"), BLOCK).filter("blocks > 1").select("node", "label", "n")
     if large.isEmpty():
-        return told.select("node", "label", "n")
-
-    def walk(batches):
-        for t in grouped(batches, "label", 2000):
-            label = t.column("label").to_numpy()
-            edge = [0, *(np.flatnonzero(label[1:] != label[:-1]) + 1).tolist(), len(label)]
-            node, n, bits = t.column("node").to_pylist(), t.column("n").to_pylist(), t.column("wide").to_pylist()
-            found = []
-            for a, b in zip(edge[:-1], edge[1:]):
-                found += list_edges([(node[k], n[k], int.from_bytes(bits[k], "little"), 8 * len(bits[k])) for k in range(a, b)], percent)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-    inside = told.join(large, "label").select("label", "node", "n", "wide")
-    edges = stage(inside.repartition("label").sortWithinPartitions("label").mapInArrow(walk, "a long, b long"), "narrowed")
-    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("end"))  # stars: one row a set
-    parts = told.join(large.withColumn("large", F.lit(True)), "label", "left").join(ends, "node", "left")
-    return stage(parts.select("node", F.when(F.col("large"), F.coalesce("end", "node")).otherwise(F.col("label")).alias("label"), "n"), "parts")
-
-
-def linked_roots(docs: DataFrame, told: DataFrame, words: int, percent: int) -> DataFrame:
+        return told
+    large = stage(large, "large")
+    items = sized(large, F.lit(1), LIST_BLOCK).join(sets.select("node", F.coalesce("wide", "sketch").alias("bits")), "node")
+    ends = components(by_sketches(items.select("key", "blocks", "node", "n", "bits"), percent, "narrowed")).withColumnRenamed("label", "end")
+    inside = large.join(ends, "node", "left").select("node", F.coalesce("end", "node").alias("label"), "n")
+    return stage(told.join(large.select("node"), "node", "left_anti").unionByName(inside), "parts")
+
+
+def linked_roots(docs: DataFrame, told: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """node, label by exact links. told: node, label of its candidate component, n of each set that has one; docs: their texts."""
-    sizes = told.groupBy("label").agg(F.sum("n").alias("n_all"))
-    members = told.join(sizes, "label").select(F.col("node").alias("doc_id"), "label", F.ceil(F.col("n_all") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("label", F.least(k, mine), F.greatest(k, mine)))
-    texts = docs.select("doc_id", "text").join(members, "doc_id").select("doc_id", "text", tasks.alias("tasks"))
+    members = stage(sized(told, F.col("n"), BLOCK).join(sets.select("node", "doc_id", "key_a", "key_b"), "node"), "dealt")
+    columns = ["key", "blocks", "node", "n", "bits"]
 
     def read(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                rows = batch.slice(k, 512)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([shingles(s, words).tobytes() for s in rows.column(1).to_pylist()], pa.binary()), rows.column(2)], ["doc_id", "tokens", "tasks"])
-
-    dealt = texts.mapInArrow(read, "doc_id long, tokens binary, tasks array<long>").select(F.explode("tasks").alias("task"), "doc_id", "tokens")
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+            found = [shingles(s, words) for s in batch.column(0).to_pylist()]
+            keep = [_keys(s) == k if len(s) else False for s, k in zip(found, zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))]  # an id may have other texts, too
+            bits = pa.array([s.tobytes() for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], bits], columns).filter(pa.array(keep, pa.bool_()))
+
+    def items(own: DataFrame) -> DataFrame:
+        texts = docs.select("doc_id", "text").join(own.hint("merge"), "doc_id").select("text", "key_a", "key_b", *columns[:-1])
+        return texts.mapInArrow(read, "key long, blocks long, node long, n long, bits binary")
+
+    arrays = lambda bits: [np.frombuffer(x, np.uint64) for x in bits]
+    solve = lambda ids, _, bits: exact_roots(ids, arrays(bits), percent)
+    against = lambda _, one, __, bits: exact_against(np.frombuffer(one, np.uint64), arrays(bits), percent)
+    edges = stage(solved(items(members.filter("blocks = 1")).withColumn("block", F.lit(0).cast("long")), solve, 500), "links").select("a", "b")
+    large = members.filter("blocks > 1")
+    if large.isEmpty():
+        return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))  # a row that is repeated comes once
+    return components(edges.unionByName(split_links(stage(items(large), "held"), solve, against, 500, "links")))
 
-    def join(batches):
-        for t in grouped(batches, "task", 500):
-            task = t.column("task").to_numpy()
-            edge = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
-            doc = t.column("doc_id").to_pylist()
-            roots: list[int] = []
-            for a, b in zip(edge[:-1], edge[1:]):
-                roots += exact_roots(doc[a:b], [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens").slice(a, b - a)], percent)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(roots, pa.int64())], ["a", "b"])
 
-    edges = stage(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(join, "a long, b long"), "links")
-    if sizes.filter(F.col("n_all") > BLOCK).isEmpty():
-        return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))  # an id that is repeated comes once
-    return components(edges)
+def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50 and at most 100")
+    found = stage(find_sets(docs, words, percent).withColumn("row", F.monotonically_increasing_id()), "sets")
+    firsts = found.filter("n > 0 and doc_id is not null").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("node"))
+    firsts = stage(firsts, "firsts")
+    sets = found.join(firsts.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    roots = linked_roots(docs, narrowed(components(candidate_edges(sets, percent)), sets, percent), sets, words, percent)
+    roots = roots.join(firsts.select("node", "doc_id"), "node")
+    least = roots.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    ends = firsts.join(roots.join(least, "label").select("node", "component_id"), "node", "left").select("key_a", "key_b", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = found.select("doc_id", "mark", F.col("n").alias("n_shingles"), "key_a", "key_b").join(ends, ["key_a", "key_b"], "left")
+    return rows.select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach, its own included) for each row."""
-    if not 50 < percent <= 100:
-        raise ValueError("percent must be over 50 and at most 100")
-    found = stage(find_sets(docs, words, percent), "sets")
-    firsts = found.filter("n > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("doc_id"))
-    sets = found.join(firsts.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    edges = candidate_edges(sets, percent)
-    roots = linked_roots(docs, narrowed(components(edges), sets, percent), words, percent)
-    ends = firsts.join(roots, firsts.doc_id == roots.node, "left").select("key_a", "key_b", F.coalesce("label", "doc_id").alias("component_id"))
-    return found.select("doc_id", "n", "key_a", "key_b").join(ends, ["key_a", "key_b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _classes(docs, words, percent).drop("mark")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` but those of a component with a lesser doc_id; all columns stay. Rows that share the least id all stay, and so do rows without an id."""
-    gone = classes(docs, words, percent).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = _classes(docs, words, percent).filter("doc_id <> component_id").select("doc_id", "mark").distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["mark"]), "left_anti")
