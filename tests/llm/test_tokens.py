@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidegrid.llm import pieces, token_files
@@ -88,3 +89,19 @@ def test_file_layout(odd, tmp_path):
         meta = pq.read_metadata(max(glob.glob(f"{tmp_path}/{encoding}/*.parquet"), key=lambda p: pq.read_metadata(p).num_rows))
         column = meta.row_group(0).column(meta.num_columns - 1 if hasattr(meta, "num_columns") else 4)
         assert name in column.encodings and column.has_offset_index
+
+
+def test_readers_skip_pages(spark, tmp_path):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words and "), F.col("id")).alias("text")).coalesce(1)
+    token_files.write(rows, f"{tmp_path}/t", BYTES, 2, page_rows=50)
+    one = token_files.read(spark, f"{tmp_path}/t").filter("doc_id = 1234")
+    assert [r["doc_id"] for r in one.collect()] == [1234]
+    plan = one._jdf.queryExecution().executedPlan()
+    assert 1 <= plan.collectLeaves().head().metrics().apply("numOutputRows").value() < 400
+
+
+def test_rows_of_one_id_are_ordered_by_text(spark):
+    rows = [(3, "b b b"), (3, "a"), (1, "z"), (3, None), (3, "a")]
+    for order in (rows, rows[::-1]):
+        told = token_files.digests(spark.createDataFrame(order, "doc_id bigint, text string"), BYTES, 2)
+        assert sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in told.collect()) == [(1, 0, 2), (3, 2, 1), (3, 3, 2), (3, 5, 2), (3, 7, 4)]

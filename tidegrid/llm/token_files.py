@@ -5,13 +5,15 @@ document's ids, its end id included, their number, the file part it lies in and
 ids before a part are a sum over the parts' totals. A reader of lengths and places alone never touches the column of
 ids, and a reader of a few documents skips row groups and pages by the statistics of doc_id.
 
-Nulls count as empty texts and get the end id alone. doc_id is taken to be unique; repeated rows are written as
-often as they occur, in no fixed order among themselves. Rows without doc_id come first. An empty table gives files without rows.
+Nulls count as empty texts and get the end id alone. Repeated rows are written as often as they occur; rows of one id
+are in the order of their texts. Rows without doc_id come first. An empty table gives files without rows; columns but
+doc_id and text are never looked at.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,13 @@ from .common import ROWS_AT_ONCE, Memo, file_of, once, shared_dir
 
 SCHEMA = "doc_id long, part int, before long, n_tokens int, tokens array<int>"
 #: Memoised pieces of text in each of two generations, in each Python worker.
-MEMO_PARTS = 500_000
+MEMO_PARTS = 600_000
 #: White space as the pre-tokeniser sees it, and a part: white space and what follows it up to the next.
 SPACE = r"[^\S\x1c-\x1f]"
 PARTS = re.compile(rf"{SPACE}*(?:\S|[\x1c-\x1f])+|{SPACE}+")
-RUNS = re.compile(r"[ \n]\s|\s[ \n]|\0")
+#: White space other than blanks and line ends, and what the split below marks line ends with.
+RARE = ("\0", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+RUNS = ("  ", "\n\n", " \n", "\n ")
 #: The commonest shape of a part: a word of Latin letters, perhaps with a blank or line end before and signs after it.
 SHAPE = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([^\w\s']*)")
 
@@ -47,35 +51,44 @@ class ByteBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo = Memo(self._encode, MEMO_PARTS)
-        self.words = Memo(self._word, MEMO_PARTS // 2)
         self.signs = Memo(self._whole, 10_000)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.blank = self.letters[32]
 
     def _whole(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("i", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        return b"".join([x.id.to_bytes(4, "little") for x in found])
+        shown = word.replace(" ", self.blank) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        found = self.tokenizer.model.tokenize(shown)
+        return array("i", [x.id for x in found]).tobytes()
 
-    def _encode(self, part: str) -> bytes:
+    def _encode(self, key: str) -> bytes:
+        part = key[1:] if key[:1] == "\0" else " " + key
         m = SHAPE.fullmatch(part)
         if m is None:
             return self._whole(part)
         line, word, signs = m.groups()
-        return (self.signs[line] if line else b"") + self.words[word] + (self.signs[signs] if signs else b"")
-
-    def parts(self, text: str) -> list[str]:
-        if RUNS.search(text):
-            return PARTS.findall(text)
-        s = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        return s if s[0] else s[1:]
+        if not line and not signs:
+            return self._word(word)
+        own = self.memo[word[1:] if word[0] == " " else "\0" + word]
+        return (self.signs[line] if line else b"") + own + (self.signs[signs] if signs else b"")
+
+    def keys(self, text: str) -> list[str]:
+        """The text's parts: without the blank that they begin with, or else after a zero byte."""
+        if any(map(text.__contains__, RARE)) or any(map(text.__contains__, RUNS)):
+            return [x[1:] if x[0] == " " and x[1:2] != "\0" else "\0" + x for x in PARTS.findall(text)]
+        s = text.replace("\n", " \0\n").split(" ")
+        if text[0] == "\n":
+            return s[1:]
+        s[0] = "\0" + s[0]
+        return s if text[0] != " " else s[1:]
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(self.memo.all(self.parts(text))) if text else b""
+        """The ids as 32-bit integers in the machine's order."""
+        return b"".join(map(self.memo.__getitem__, self.keys(text))) if text else b""
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, encoding: str = "delta", row_group_mb: int = 32, page_rows: int = 1000) -> None:
@@ -87,7 +100,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, encoding: str
     if encoding not in ("delta", "dictionary"):
         raise ValueError(f"unknown encoding {encoding!r}")
     file_of(tokenizer)
-    tail = np.array([end_id], "<u4").tobytes()
+    tail = array("i", [end_id]).tobytes()
 
     def run(batches):
         it = once(("byte_bpe", tokenizer), lambda: ByteBpe(tokenizer))
@@ -98,11 +111,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, encoding: str
                 ids = [it.encode(s or "") + tail for s in rows.column(1).to_pylist()]
                 counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 ends = np.cumsum(counts)
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(before + ends - counts), pa.array(counts, pa.int32()), tokens], ["doc_id", "part", "before", "n_tokens", "tokens"])
                 before += int(ends[-1])
 
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(run, SCHEMA).write.options(**{
         "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": str(encoding == "dictionary").lower(),
         "parquet.block.size": str(row_group_mb << 20), "parquet.page.row.count.limit": str(page_rows), "compression": "snappy",
