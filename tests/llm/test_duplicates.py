@@ -29,9 +29,10 @@ def test_refinement_classes():
         starts = np.arange(len(text) - length + 1)
         kinds, strings = repeats.refine(text, starts, length), [text[s : s + length].tobytes() for s in starts]
         assert len(set(zip(kinds.tolist(), strings))) == len(set(strings)) == len(set(kinds.tolist()))
+    assert repeats.refine(np.frombuffer(b"abcdefghijklmnop", np.uint8), np.arange(5), 12).tolist() == [0, 1, 2, 3, 4]
 
 
-@pytest.mark.parametrize("hot", [2048, 2])
+@pytest.mark.parametrize("hot", [1024, 2])
 def test_removal_equals_brute_force(spark, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "PIECE", 500)
@@ -43,6 +44,46 @@ def test_removal_equals_brute_force(spark, hot, monkeypatch):
     assert got == brute_removal(texts, 50)
 
 
+def test_near_copies_over_the_limit(spark, monkeypatch):
+    """One passage with other words put in: its anchors have more segments than HOT, and pieces of them, too."""
+    monkeypatch.setattr(repeats, "HOT", 3)
+    r = random.Random(5)
+    base = "".join(r.choice("abcdefgh ") for _ in range(300))
+    texts = [base[: (k := r.randrange(300))] + "".join(r.choice("xyz") for _ in range(4)) + base[k + 4 :] for _ in range(60)] + [base]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [tuple(x)[1:] for x in repeats.digests(df, 50).orderBy("doc_id").collect()] == brute_removal(texts, 50)
+
+
+def test_pieces_share_an_anchor():
+    r = random.Random(6)
+    base = bytes(r.choice(b"abcdefgh") for _ in range(300))
+    for width in repeats.WIDTHS:
+        of_string = {}
+        for _ in range(40):
+            k = r.randrange(300)
+            raw = base[:k] + b"xyz" + base[k + 3 :]
+            for anchor, first, starts, _ in repeats.runs(np.frombuffer(raw, np.uint8), 60):
+                segment = raw[first : first + starts + 59]
+                told = repeats.pieces(segment, anchor, 60, width)
+                assert sum(n for _, _, n in told) == starts and all(n <= width for _, _, n in told)
+                for new, lo, n in told:
+                    for i in range(lo, lo + n):
+                        of_string.setdefault(segment[i : i + 60], set()).add(new)
+        assert all(len(x) == 1 for x in of_string.values())
+
+
+def test_an_id_with_several_texts(spark):
+    r = random.Random(7)
+    a, b = ("".join(r.choice("abcdefgh ") for _ in range(900)) for _ in range(2))
+    df = spark.createDataFrame([(1, a), (1, b), (2, b)], "doc_id bigint, text string")
+    assert sorted((x["doc_id"], x["n_removed"]) for x in repeats.digests(df, 400).collect()) == [(1, 0), (1, 900), (2, 900)]
+    c = " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    d = " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    df = spark.createDataFrame([(1, c), (5, c + " x"), (5, d), (7, d + " y")], "doc_id bigint, text string")
+    assert sorted((x["doc_id"], x["component_id"]) for x in set_join.classes(df, 4, 85).collect()) == [(1, 1), (5, 1), (5, 5), (7, 5)]
+    assert sorted((x["doc_id"], x["text"] == d) for x in set_join.one_of_each(df, 4, 85).collect()) == [(1, False), (5, True)]
+
+
 def test_removal_of_odd_rows(odd, none):
     got = [tuple(x)[1:] for x in repeats.digests(odd, 400).orderBy("doc_id").collect()]
     assert got == brute_removal([x["text"] for x in odd.orderBy("doc_id").collect()], 400)

@@ -11,11 +11,17 @@ members on the buckets of the starts that follow them by the depth reached, and
 by then, the depth doubles with every round (the last round takes the offset that ends at `length`). Buckets of one
 member need no more rounds. A class that holds two starts or more, counted with the segments' counts, is a repeat.
 
-An anchor with more than HOT different segments isn't gathered in one task: its starts become rows of their strings'
-hashes (128 bits) and are counted where they lie.
-
-Nulls count as empty texts; rows without doc_id stay whole and make nothing a repeat. Texts shorter than `length` have no starts. Copies of a document remove each other wholly
-(from `length` bytes on). Empty tables give empty results.
+An anchor with more than HOT different segments isn't gathered in one task. Its bucket is refined first by what all
+strings have in common whose starts lie in the same WIDTHS[0] places before the anchor: equal strings lie at the same
+distance from it, so such a piece of a segment gets a new anchor, the hash of the bytes that all these strings share
+(all but some at both ends). Pieces are handled as segments are, equal ones as one row with a count; near copies differ
+in few of them. A piece's anchor that is still over HOT is refined again by the next width, at last by single starts,
+whose shared bytes are the whole string.
+
+Nulls count as empty texts; rows without doc_id stay whole and make nothing a repeat. Texts shorter than `length` have
+no starts. Copies of a document remove each other wholly (from `length` bytes on), and so do repeated rows; where an id
+is repeated with other texts, each text is treated by itself. Empty tables give empty results; columns but doc_id and
+text are never looked at.
 """
 
 from __future__ import annotations
@@ -32,12 +38,15 @@ from .common import grouped, map_batches, stage
 
 GRAM = 32
 #: Different segments of an anchor from which its starts are counted as rows.
-HOT = 2048
+HOT = 1024
+#: Starts that a piece of a hot anchor's segment may have, at each refinement; the last must be 1.
+WIDTHS = (32, 4, 1)
 #: Bytes that are hashed at one time, of long texts.
 PIECE = 1 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _PLACE_BITS = 21
-RUNS = "doc_id long, anchor long, seg_a long, seg_b long, first int, starts int"
+RUNS = "doc_id long, mark long, anchor long, seg_a long, seg_b long, first int, starts int"
+PIECES = RUNS + ", n long"
 
 
 def grams(raw: np.ndarray) -> np.ndarray:
@@ -62,10 +71,10 @@ def least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs(raw: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(anchor hash, first start, number of starts) of each run; hashes as signed 64-bit integers."""
+def runs(raw: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
+    """(anchor hash, first start, number of starts, anchor's place) of each run; hashes as signed 64-bit integers."""
     n = len(raw)
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []
     low = np.uint64((1 << _PLACE_BITS) - 1)
     for base in range(0, max(0, n - length + 1), PIECE):
         part = raw[base : base + PIECE + length - 1]
@@ -75,7 +84,7 @@ def runs(raw: np.ndarray, length: int) -> list[tuple[int, int, int]]:
         at = (low - (m & low)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         sizes = np.diff(np.append(first, len(at)))
-        out += zip(h[at[first]].view(np.int64).tolist(), (first + base).tolist(), sizes.tolist())
+        out += zip(h[at[first]].view(np.int64).tolist(), (first + base).tolist(), sizes.tolist(), (at[first] + base).tolist())
     return out
 
 
@@ -99,7 +108,9 @@ def refine(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
         if active is None:
             size = np.bincount(bucket)
             active = np.flatnonzero(size[bucket] > 1)
-        key = bucket[active] * np.int64(n + 1) + after[active] if n < 3_000_000_000 else None
+        if not len(active):
+            break
+        key = bucket[active] * np.int64(n + 1) + after[active]
         order = np.argsort(key)
         sorted_key = key[order]
         new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
@@ -137,56 +148,80 @@ def _ranges(marks: np.ndarray) -> list[dict]:
     return [{"lo": int(a), "hi": int(b)} for a, b in zip(edge[::2], edge[1::2])]
 
 
+def _keys(part: memoryview | bytes) -> tuple[int, int]:
+    x = xxhash.xxh3_128_intdigest(part)
+    return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
+
+
+def _table(columns: list[list[int]], schema: str) -> pa.RecordBatch:
+    told = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if kind == "long" else pa.int32()) for c, (_, kind) in zip(columns, told)], [name for name, _ in told])
+
+
 def find_runs(docs: DataFrame, length: int) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            columns: list[list[int]] = [[] for _ in range(6)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = (text or "").encode()
-                if len(raw) < length:
-                    continue
-                view = memoryview(raw)
-                for anchor, first, starts in runs(np.frombuffer(raw, np.uint8), length):
-                    x = xxhash.xxh3_128_intdigest(view[first : first + starts - 1 + length])
-                    for c, v in zip(columns, (doc_id, anchor, (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63), first, starts)):
+            columns: list[list[int]] = [[] for _ in range(7)]
+            for doc_id, mark, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                view = memoryview(raw or b"")
+                for anchor, first, starts, _ in runs(np.frombuffer(view, np.uint8), length) if len(view) >= length else ():
+                    for c, v in zip(columns, (doc_id, mark, anchor, *_keys(view[first : first + starts - 1 + length]), first, starts)):
                         c.append(v)
-            kinds = (pa.int64(),) * 4 + (pa.int32(),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in RUNS.split(", ")])
+            return _table(columns, RUNS)
 
         return work
 
-    return map_batches(docs.select("doc_id", "text").filter("doc_id is not null"), make, RUNS)
+    return map_batches(texts_of(docs).filter("doc_id is not null"), make, RUNS)
 
 
-def repeated(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, first, ranges: for each run with repeats where its repeated starts lie, counted from `first` (lo, hi: from, up to)."""
-    if length < GRAM + 1:
-        raise ValueError(f"length must be over {GRAM}")
-    found = stage(find_runs(docs, length), "runs")
-    segments = found.groupBy("anchor", "seg_a", "seg_b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "starts")).alias("at"))
-    anchors = segments.groupBy("anchor").agg(F.sum("n").alias("met"), F.count("*").alias("kinds")).filter("met > 1").select("anchor", "kinds")
-    wanted = stage(segments.join(anchors, "anchor").select("anchor", "seg_a", "seg_b", "n", "kinds", "at.doc_id", "at.first", "at.starts"), "segments")
-    any_hot = not wanted.filter(F.col("kinds") > HOT).isEmpty()
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "seg_a", "seg_b", "n", "kinds", "first", "starts")).alias("asked"))  # bounded by the document's own length
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (tells texts of one id apart), raw."""
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("raw"))
+
+
+def pieces(segment: bytes, anchor: int, length: int, width: int) -> list[tuple[int, int, int]]:
+    """(new anchor, first start, number of starts) of each part of a segment whose starts lie in the same `width` places before the anchor."""
+    ((_, _, starts, at),) = runs(np.frombuffer(segment, np.uint8), length)
+    view, out, lo = memoryview(segment), [], 0
+    while lo < starts:
+        near = (at - lo) // width * width  # the least distance from the anchor in this part
+        shared = view[at - near : at - near - width + 1 + length]
+        x = xxhash.xxh3_64_intdigest(shared, (anchor + near) & (1 << 64) - 1)
+        hi = min(starts, at - near + 1)
+        out.append((x - (1 << 63), lo, hi - lo))
+        lo = hi
+    return out
+
+
+CUT = "anchor long, seg_a long, seg_b long, n long, hot boolean, segment binary, starts int"
+
+
+def _repeats(found: DataFrame, texts: DataFrame, length: int, widths: tuple[int, ...]) -> DataFrame:
+    """seg_a, seg_b, ranges: for each different segment with repeats where its repeated starts lie (lo, hi: from, up to).
+
+    found: staged; RUNS and n, how often the run occurs. texts: doc_id, mark, raw.
+    """
+    at = F.min(F.struct("doc_id", "mark", "first", "starts")).alias("at")
+    segments = found.groupBy("anchor", "seg_a", "seg_b").agg(F.sum("n").alias("n"), at)
+    anchors = segments.groupBy("anchor").agg(F.sum("n").alias("met"), F.count("*").alias("kinds")).filter("met > 1")
+    wanted = segments.join(anchors.select("anchor", (F.col("kinds") > HOT).alias("hot")), "anchor")
+    wanted = stage(wanted.select("anchor", "seg_a", "seg_b", "n", "hot", "at.doc_id", "at.mark", "at.first", "at.starts"), "segments")
+    any_hot = not wanted.filter("hot").isEmpty()
+    asked = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "seg_a", "seg_b", "n", "hot", "first", "starts")).alias("asked"))  # bounded by the document's own length
 
     def cut(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                rows = batch.slice(k, 256)
-                out: dict[str, list] = {c: [] for c in ("anchor", "seg_a", "seg_b", "n", "hot", "segment", "starts")}
-                for text, asked_ in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                    raw = (text or "").encode()
-                    for x in asked_:
-                        for c in ("anchor", "seg_a", "seg_b", "n", "starts"):
-                            out[c].append(x[c])
-                        out["hot"].append(x["kinds"] > HOT)
-                        out["segment"].append(raw[x["first"] : x["first"] + x["starts"] - 1 + length])
-                kinds = (pa.int64(),) * 4 + (pa.bool_(), pa.binary(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
-
-    texts = docs.select("doc_id", "text").join(asked, "doc_id").select("text", "asked")
-    cut_out = texts.mapInArrow(cut, "anchor long, seg_a long, seg_b long, n long, hot boolean, segment binary, starts int")
-    segs = stage(cut_out, "hot-and-other", compression="zstd") if any_hot else cut_out
+        for rows in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            out: dict[str, list] = {x.split()[0]: [] for x in CUT.split(", ")}
+            for raw, asked_ in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                for x in asked_:
+                    for c in ("anchor", "seg_a", "seg_b", "n", "hot", "starts"):
+                        out[c].append(x[c])
+                    out["segment"].append(raw[x["first"] : x["first"] + x["starts"] - 1 + length])
+            kinds = (*(pa.int64(),) * 4, pa.bool_(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
+
+    segs = texts.join(asked, ["doc_id", "mark"]).select("raw", "asked").mapInArrow(cut, CUT)
+    segs = stage(segs, "hot-and-other", compression="zstd") if any_hot else segs
 
     def classes(batches):
         for t in grouped(batches, "anchor", 2000):
@@ -200,51 +235,60 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
             kind = refine(text, base[own] + within, length)
             _, kind = np.unique(kind, return_inverse=True)
             marks = np.bincount(kind, weights=counts[own])[kind] > 1.5
-            at = np.cumsum(starts)
-            ranges = [_ranges(marks[b - s : b]) for b, s in zip(at, starts)]
+            ends = np.cumsum(starts)
+            ranges = [_ranges(marks[b - s : b]) for b, s in zip(ends, starts)]
             keep = [k for k, r in enumerate(ranges) if r]
             told = pa.array([ranges[k] for k in keep], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
             yield pa.RecordBatch.from_arrays([pa.array(t.column(c).to_numpy()[keep]) for c in ("seg_a", "seg_b")] + [told], ["seg_a", "seg_b", "ranges"])
 
-    kind = "seg_a long, seg_b long, ranges array<struct<lo:int,hi:int>>"
-    cool = segs.filter("not hot").select("anchor", "n", "seg_a", "seg_b", "starts", "segment").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(classes, kind)
+    cool = segs.filter("not hot").select("anchor", "n", "seg_a", "seg_b", "starts", "segment").repartition("anchor").sortWithinPartitions("anchor")
+    cool = cool.mapInArrow(classes, "seg_a long, seg_b long, ranges array<struct<lo:int,hi:int>>")
+    if not any_hot:
+        return cool
+    width, *rest = widths
+
+    def split(batches):
+        for rows in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
+            columns: list[list[int]] = [[] for _ in range(8)]
+            for a, b, anchor, n, segment in zip(*(c.to_pylist() for c in rows.columns)):
+                for told, lo, starts in pieces(segment, anchor, length, width):
+                    key = _keys(memoryview(segment)[lo : lo + starts - 1 + length])
+                    for c, v in zip(columns, (a, b, told, *key, lo, starts, n)):
+                        c.append(v)
+            yield _table(columns, PIECES)
 
-    def strings(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                rows = batch.slice(k, 64)
-                out: list[list[int]] = [[] for _ in range(6)]
-                for a, b, n, starts, seg in zip(*(rows.column(c).to_pylist() for c in ("seg_a", "seg_b", "n", "starts", "segment"))):
-                    view = memoryview(seg)
-                    for lo in range(starts):
-                        x = xxhash.xxh3_128_intdigest(view[lo : lo + length])
-                        for c, v in zip(out, (a, b, n, lo, (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63))):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["seg_a", "seg_b", "n", "lo", "h", "g"])
+    hot = segs.filter("hot")
+    parts = stage(hot.select("seg_a", "seg_b", "anchor", "n", "segment").mapInArrow(split, PIECES), "pieces")
+    inner = _repeats(parts, hot.select(F.col("seg_a").alias("doc_id"), F.col("seg_b").alias("mark"), F.col("segment").alias("raw")), length, tuple(rest))
+    moved = F.transform("ranges", lambda r: F.struct((r["lo"] + F.col("first")).alias("lo"), (r["hi"] + F.col("first")).alias("hi")))
+    back = parts.join(inner, ["seg_a", "seg_b"]).select("doc_id", "mark", moved.alias("ranges")).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    return cool.unionByName(back.select(F.col("doc_id").alias("seg_a"), F.col("mark").alias("seg_b"), "ranges"))
 
-    if not any_hot:
-        return found.join(cool, ["seg_a", "seg_b"]).select("doc_id", "first", "ranges")
-    one = segs.filter("hot").select("seg_a", "seg_b", "n", "starts", "segment").mapInArrow(strings, "seg_a long, seg_b long, n long, lo long, h long, g long")
-    twice = one.groupBy("h", "g").agg(F.sum("n").alias("met")).filter("met > 1").select("h", "g")
-    hot = one.join(twice, ["h", "g"]).groupBy("seg_a", "seg_b").agg(F.collect_list(F.struct(F.col("lo").cast("int").alias("lo"), (F.col("lo") + 1).cast("int").alias("hi"))).alias("ranges"))
-    return found.join(cool.unionByName(hot), ["seg_a", "seg_b"]).select("doc_id", "first", "ranges")
+
+def repeated(docs: DataFrame, length: int) -> DataFrame:
+    """doc_id, mark, first, ranges: for each run with repeats where its repeated starts lie, counted from `first` (lo, hi: from, up to)."""
+    if length < GRAM + 1:
+        raise ValueError(f"length must be over {GRAM}")
+    found = stage(find_runs(docs, length), "runs")
+    ranges = _repeats(found.withColumn("n", F.lit(1).cast("long")), texts_of(docs), length, WIDTHS)
+    return found.join(ranges, ["seg_a", "seg_b"]).select("doc_id", "mark", "first", "ranges")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def remove(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, spans (byte ranges lo, hi that go), kept (the bytes that stay) for each row; doc_id must be unique."""
-    marks = repeated(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("first", "ranges")).alias("marks"))  # bounded by the document's own length
-    both = docs.select("doc_id", "text").join(marks, "doc_id", "left")
+    """doc_id, spans (byte ranges lo, hi that go), kept (the bytes that stay) for each row."""
+    marks = repeated(docs, length).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "ranges")).alias("marks"))  # bounded by the document's own length
+    both = texts_of(docs).join(marks, ["doc_id", "mark"], "left").select("doc_id", "raw", "marks")
 
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 rows = batch.slice(k, 512)
                 spans, kept = [], []
-                for text, own in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist()):
-                    raw = (text or "").encode()
+                for raw, own in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist()):
+                    raw = raw or b""
                     told = merged([(m["first"] + r["lo"], m["first"] + r["hi"] - 1 + length) for m in own or () for r in m["ranges"]])
                     at, parts = 0, []
                     for lo, hi in told:
