@@ -1,26 +1,32 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with length-aware control of false discoveries.
 
 Patterns give the base findings. The battery looks at every other run of 16 or more encoding characters that isn't a
-plain word: it infers the encoding from the characters used, and holds the run against two hypotheses.
+plain word (runs that touch base findings: at what is left of them): it infers the encoding from the characters used,
+and holds the run against two hypotheses.
 
 * "even random characters of that encoding": a chi-squared test of the alphabet's uniformity, a runs test about the
-  alphabet's middle and a serial-correlation test, each two-sided. A run that any of them rejects is no random key.
+  alphabet's middle and a serial-correlation test, each two-sided. Their p-values are joined by Fisher's rule.
 * "ordinary text": how even would text's letters be (lower tail of the same chi-squared sum, from its exact mean and
   variance under letter shares of prose), and how often would text change between kinds of characters (upper tail of
-  the binomial). The two z-scores are joined to one p-value.
+  the binomial). The mean of the two z-scores has a variance of 1 at most, however they depend on each other.
 
+A run's p-value is that of "ordinary text" divided by that of "random", 1 at most. As the latter is 1 at most, ordinary
+text gets a small one no more often than its size says; a run that is neither text nor random gets a large one.
 Long runs reject either hypothesis sooner than short ones, so discoveries are controlled by length: within each class
 of lengths the p-values of the whole table go through the step-up rule at level `level` (on a grid of GRID steps a
 class, so the counts that reach the driver are bounded whatever the table's size).
 
 A null text counts as empty and has no findings. Rows are independent but for the thresholds, which are the same for
-equal tables; ties and repeated rows get equal findings. An empty table gives an empty result.
+equal tables; ties and repeated rows get equal findings (each counts in the rule). An empty table gives an empty
+result; columns but doc_id and text are never looked at.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +36,7 @@ from .common import ROWS_AT_ONCE, map_batches, stage
 
 #: Kinds in the order in which findings at one place are listed.
 KINDS = ("assign", "access", "hex", "random")
-ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A run for the battery, and what makes it more than a word: a digit or sign, or a small letter before a capital one.
@@ -45,13 +51,12 @@ ENCODINGS = (
     ("upper36", _DIGITS + _UP), ("base62", _DIGITS + _UP + _LOW), ("base64", _UP + _LOW + _DIGITS + "+/"), ("base64url", _UP + _LOW + _DIGITS + "-_"),
 )
 _PLACE = {name: {c: k for k, c in enumerate(alphabet)} for name, alphabet in ENCODINGS}
+_UPPER_HALF = {name: str.maketrans({c: "01"[2 * k >= len(alphabet)] for k, c in enumerate(alphabet)}) for name, alphabet in ENCODINGS}
 _SETS = [(name, frozenset(alphabet), len(alphabet)) for name, alphabet in ENCODINGS]
 #: Sums of squared and cubed shares of characters in prose of one case (about 0.065 and 0.0055 for most European languages), and how often prose changes the kind of character inside a run.
 TEXT_2, TEXT_3, TEXT_CHANGE = 0.065, 0.0055, 0.08
 LENGTHS = (16, 20, 24, 32, 40, 64, 128)
 GRID = 256
-#: z beyond which a test says "not random"; two-sided at about 0.1 %.
-NOT_RANDOM = 3.3
 CANDIDATE = "struct<kind:string,start:int,stop:int,p:double>"
 FOUND = f"doc_id long, n_assign long, n_access long, n_hex long, spans array<{CANDIDATE}>"
 
@@ -65,50 +70,56 @@ def encoding(run: str) -> tuple[str, int] | None:
     return next(((name, size) for name, chars, size in _SETS if used <= chars), None)
 
 
+def _moments(n: int, s2: float, s3: float) -> tuple[float, float]:
+    """Mean and deviation of the sum of squared counts of n characters whose shares have these sums of squares and cubes."""
+    var = 4 * n * (n - 1) * (n - 2) * max(0.0, s3 - s2 * s2) + 2 * n * (n - 1) * (s2 - s2 * s2)
+    return n + n * (n - 1) * s2, math.sqrt(var)
+
+
+def fisher(p_values: list[float]) -> float:
+    """The chance that independent uniform values have a product as small as these (chi-squared of twice as many degrees)."""
+    half = -sum(math.log(max(p, 1e-300)) for p in p_values)
+    return max(math.exp(-half) * sum(half**k / math.factorial(k) for k in range(len(p_values))), 1e-300)
+
+
+def randomness(run: str, name: str, k: int) -> tuple[float, float, float]:
+    """Two-sided p-values of the uniformity, runs and serial-correlation tests of `run` as random characters of an alphabet of k."""
+    n = len(run)
+    mean, sd = _moments(n, 1 / k, 1 / k**2)
+    uniform = max(0.0, abs(sum(run.count(c) ** 2 for c in set(run)) - mean) - 1) / sd
+    high = run.translate(_UPPER_HALF[name])
+    a = high.count("1")
+    mean = 1 + 2 * a * (n - a) / n
+    sd = math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+    # Without a change of halves there is nothing to test by runs; that all lie in one half is told by its chance.
+    runs = max(0.0, abs(1 + high.count("01") + high.count("10") - mean) - 1) / sd
+    by_runs = 2 * _tail(runs) if 0 < a < n else 2.0 ** (1 - n)
+    values = list(map(_PLACE[name].__getitem__, run))
+    m = sum(values) / n
+    spread = sum(map(mul, values, values)) - n * m * m
+    cross = sum(map(mul, values, values[1:])) - m * (2 * n * m - values[0] - values[-1]) + (n - 1) * m * m
+    serial = abs((cross / spread if spread > 1e-9 else 1.0) + 1 / n) * math.sqrt(n)
+    return min(1.0, 2 * _tail(uniform)), min(1.0, by_runs), min(1.0, 2 * _tail(serial))
+
+
+def ordinary(run: str) -> float:
+    """The p-value of `run` as ordinary text, by evenness and changes of kind."""
+    n = len(run)
+    mean, sd = _moments(n, TEXT_2, TEXT_3)
+    even = (mean - sum(run.count(c) ** 2 for c in set(run))) / sd
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in run]
+    changes = sum(x != y and x + y != "ul" for x, y in zip(kinds, kinds[1:]))  # a small letter after a capital one is no change
+    change = (changes - (n - 1) * TEXT_CHANGE) / math.sqrt((n - 1) * TEXT_CHANGE * (1 - TEXT_CHANGE))
+    return max(_tail((even + change) / 2), 1e-300)
+
+
 def battery(run: str) -> float | None:
-    """The p-value of `run` as ordinary text; None if it is no even random string of its inferred encoding."""
+    """The p-value of `run` as ordinary text that its random look speaks for (1 where it looks no more random than like text); None if it has no encoding, or digits alone."""
     run = run.rstrip("=")
     told = encoding(run)
-    n = len(run)
-    if told is None or n < 16:
-        return None
-    name, k = told
-    place = _PLACE[name]
-    values = [place[c] for c in run]
-    counts: dict[int, int] = {}
-    for v in values:
-        counts[v] = counts.get(v, 0) + 1
-    squares = sum(c * c for c in counts.values())
-    # The sum of squared counts: mean and variance of n_i (n_i - 1) under shares with sums of powers s2, s3.
-    def moments(s2: float, s3: float) -> tuple[float, float]:
-        var = 4 * n * (n - 1) * (n - 2) * max(0.0, s3 - s2 * s2) + 2 * n * (n - 1) * (s2 - s2 * s2)
-        return n + n * (n - 1) * s2, math.sqrt(var)
-
-    mean, sd = moments(1 / k, 1 / k**2)
-    if abs(squares - mean) > NOT_RANDOM * sd + 1:
-        return None
-    high = [2 * v >= k for v in values]
-    a = sum(high)
-    b = n - a
-    if not a or not b:
+    if told is None or len(run) < 16 or told[0] == "decimal":  # even digits are ordinary: numbers, dates, card numbers
         return None
-    runs = 1 + sum(x != y for x, y in zip(high, high[1:]))
-    mean = 1 + 2 * a * b / n
-    if abs(runs - mean) > NOT_RANDOM * math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9)) + 1:
-        return None
-    m = sum(values) / n
-    spread = sum((v - m) ** 2 for v in values)
-    serial = sum((x - m) * (y - m) for x, y in zip(values, values[1:])) / spread if spread else 1.0
-    if abs(serial + 1 / n) * math.sqrt(n) > NOT_RANDOM:
-        return None
-    if k == 10:
-        return None  # even digits are ordinary: numbers, dates, card numbers
-    mean, sd = moments(TEXT_2, TEXT_3)
-    z_even = (mean - squares) / sd
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in run]
-    changes = sum(x != y for x, y in zip(kinds, kinds[1:]))
-    z_change = (changes - (n - 1) * TEXT_CHANGE) / math.sqrt((n - 1) * TEXT_CHANGE * (1 - TEXT_CHANGE))
-    return max(_tail((z_even + z_change) / math.sqrt(2)), 1e-300)
+    return min(1.0, max(ordinary(run) / fisher(list(randomness(run, *told))), 1e-300))
 
 
 def parts(run: str) -> list[tuple[int, int]]:
@@ -128,12 +139,24 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
     if "AKIA" in text:
         out += [("access", *m.span(), 0.0) for m in ACCESS.finditer(text)]
     out += [("hex", *m.span(), 0.0) for m in HEX.finditer(text)]
-    taken = [(a, b) for _, a, b, _ in out]
+    taken: list[list[int]] = []  # base findings, joined where they overlap
+    for _, a, b, _ in sorted(out, key=lambda x: x[1]):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    ends = [b for _, b in taken]
     for m in RUN.finditer(text):
-        for i, j in parts(m[0]):
-            run, start, stop = m[0][i:j], m.start() + i, m.start() + j
-            if NO_WORD.search(run) and not any(a < stop and start < b for a, b in taken) and (p := battery(run)) is not None:
-                out.append(("random", start, stop, p))
+        at, stop = m.span()
+        k = bisect_left(ends, at + 1)
+        while at < stop:  # what base findings leave of the run
+            upto = min(stop, taken[k][0]) if k < len(taken) else stop
+            for i, j in parts(text[at:upto]) if upto - at >= 16 else ():
+                run = text[at + i : at + j]
+                if NO_WORD.search(run) and (p := battery(run)) is not None:
+                    out.append(("random", at + i, at + j, p))
+            at = taken[k][1] if k < len(taken) else stop
+            k += 1
     return out
 
 
