@@ -102,3 +102,8 @@ def test_ties_and_repeated_rows(spark):
     key = "Q7" + "".join(r.choices(BASE62, k=50))
     df = spark.createDataFrame([(1, f"a {key} b"), (1, f"a {key} b"), (2, f"a {key} b")], "doc_id bigint, text string").withColumn("spans", F.lit("x"))
     assert {tuple(x) for x in secret_scan.digests(df).select("doc_id", "spans").collect()} == {(1, "random:2:54"), (2, "random:2:54")}
+
+
+def test_columns_of_any_name_go_through(spark):
+    df = spark.createDataFrame([("x", "token=abcdef12 y", 1), (None, None, None)], "`a.b` string, text string, spans int").withColumn("doc_id", F.lit(1).cast("long"))
+    assert [(r["a.b"], r["text"], r["spans"]) for r in secret_scan.redact(df).collect()] == [("x", "<assign> y", 1), (None, None, None)]

@@ -105,3 +105,9 @@ def test_rows_of_one_id_are_ordered_by_text(spark):
     for order in (rows, rows[::-1]):
         told = token_files.digests(spark.createDataFrame(order, "doc_id bigint, text string"), BYTES, 2)
         assert sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in told.collect()) == [(1, 0, 2), (3, 2, 1), (3, 3, 2), (3, 5, 2), (3, 7, 4)]
+
+
+def test_columns_of_any_name_go_through(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 2), (2, None, None, None), (2, None, None, None)], "doc_id bigint, text string, _source_ string, `a.b` int")
+    told = pieces.decode(pieces.encode(df, MODEL), MODEL, text="back").orderBy("doc_id").collect()
+    assert [(r["text"], r["_source_"], r["a.b"], r["back"]) for r in told] == [("a b", "x", 2, "a b"), (None, None, None, ""), (None, None, None, "")]

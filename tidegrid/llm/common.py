@@ -63,6 +63,11 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with its columns named by their places: Arrow functions can't take columns whose names have dots."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 #: Rows that a Python task holds as objects at one time.
 ROWS_AT_ONCE = 1024
 

@@ -7,12 +7,14 @@ it, that is if merging the two tokens' joined text again gives just these two; o
 tried, and where none is left the position is marked in a bitfield of failed positions and the last token is given up.
 Characters without a piece become their UTF-8 bytes' pieces.
 
-Nulls count as empty texts: no ids, decoded to the empty text. Rows are independent of each other, so ties,
-repeated rows, empty tables and extra columns need no care.
+Nulls count as empty texts: no ids, decoded to the empty text. Rows are independent of each other, so ties and
+repeated rows give equal results and an empty table an empty one. Extra columns go through `encode` and `decode`
+unchanged, whatever their names; the column that is made replaces one of its name.
 """
 
 import hashlib
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, file_of, map_batches, once
+from .common import Memo, file_of, map_batches, numbered, once
 
 MARK = "▁"
 #: Memoised parts in each of two generations, in each Python worker.
@@ -61,6 +63,7 @@ class PieceCodec:
         self.mixed = any(re.search(f"[{LATIN}][^{LATIN}]|[^{LATIN}][{LATIN}]", p.lstrip(MARK)) for p in self.ids)
         self.surface = [p.replace(MARK, " ") for p in self.pieces]
         self.plain = frozenset(self.ids.values())
+        self.names = list(map(str, range(size)))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.prefix: dict[str, str] = {}
         self.memo = Memo(self._part, MEMO_PARTS)
@@ -141,16 +144,14 @@ class PieceCodec:
                 out.extend(self.bytes[b] for b in t.encode())
         return out
 
-    def _word(self, word: str) -> tuple[str, str]:
-        ids = self._ids(self.backtrack(word))
-        return ",".join(map(str, ids)), self._text(ids)
+    def _word(self, word: str) -> bytes:
+        return array("i", self._ids(self.backtrack(word))).tobytes()
 
-    def _part(self, part: str) -> tuple[str, str]:
+    def _part(self, part: str) -> bytes:
         words = None if self.mixed else WORDS.findall(part)
         if words is None or len(words) < 2:
             return self._word(part)
-        found = self.words.all(words)
-        return ",".join([a for a, _ in found]), "".join([b for _, b in found])
+        return b"".join(self.words.all(words))
 
     def _parts(self, text: str) -> list[str]:
         s = MARK + text.replace(" ", MARK)
@@ -160,10 +161,11 @@ class PieceCodec:
             return re.findall(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*", s)
         return s.replace(MARK, "\0" + MARK).replace("\n", "\0\n").split("\0")[1:]
 
+    def ids_of(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(self.memo.all(self._parts(text))) if text else b"", np.int32)
+
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        return [int(i) for ids, _ in self.memo.all(self._parts(text)) for i in ids.split(",")]
+        return self.ids_of(text).tolist()
 
     def _text(self, ids: list[int]) -> str:
         """Text of ids, with the mark as a space and without regard to the start of the text."""
@@ -193,11 +195,9 @@ class PieceCodec:
         return text[1:] if first is not None and first not in self.byte_of and self.pieces[first].startswith(MARK) else text
 
     def both(self, text: str) -> tuple[str, str]:
-        """The ids as joined text, and the text that they decode to, by parts (each part's bytes are whole characters)."""
-        if not text:
-            return "", ""
-        found = self.memo.all(self._parts(text))
-        return ",".join([a for a, _ in found]), "".join([b for _, b in found])[1:]
+        """The ids as joined text, and the text that the ids decode to."""
+        ids = self.encode(text)
+        return ",".join(map(self.names.__getitem__, ids)), self.decode(ids)
 
 
 def _utf8(raw: bytearray) -> str:
@@ -224,14 +224,15 @@ def codec(path: str) -> PieceCodec:
 def _with_column(df: DataFrame, name: str, kind: str, source: str, make) -> DataFrame:
     """`df` with column `name`, made by make()(array of `source`) from slices of ROWS rows; other columns go through."""
     kept = [f for f in df.schema.fields if f.name != name]
-    rows = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{source}`").alias("_source_"))
+    names = [*(f.name for f in kept), name]
+    rows = numbered(df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{source}`").alias(name)))
 
     def run(batches):
         work = make()
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], work(part.columns[-1])], [*part.schema.names[:-1], name])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], work(part.columns[-1])], names)
 
     return rows.mapInArrow(run, T.StructType([*kept, *T._parse_datatype_string(f"`{name}` {kind}").fields]))
 
@@ -244,7 +245,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
         it = codec(path)
 
         def work(column: pa.Array) -> pa.Array:
-            found = [np.fromstring(it.both(s)[0], np.int32, sep=",") if s else np.zeros(0, np.int32) for s in column.to_pylist()]
+            found = [it.ids_of(s) for s in column.to_pylist()]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
 
@@ -265,7 +266,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text of `df`, encoded and decoded in one pass."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text of `df`: each encoded, and its ids decoded, in one pass."""
     file_of(path)
 
     def make():
@@ -274,9 +275,9 @@ def digests(df: DataFrame, path: str) -> DataFrame:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, a, b = [], [], []
             for text in batch.column(1).to_pylist():
-                ids, back = it.both(text or "")
-                counts.append(ids.count(",") + 1 if ids else 0)
-                a.append(hashlib.sha256(ids.encode()).hexdigest())
+                told, back = it.both(text or "")
+                counts.append(told.count(",") + 1 if told else 0)
+                a.append(hashlib.sha256(told.encode()).hexdigest())
                 b.append(hashlib.sha256(back.encode()).hexdigest())
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

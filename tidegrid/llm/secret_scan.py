@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, map_batches, stage
+from .common import ROWS_AT_ONCE, map_batches, numbered, stage
 
 #: Kinds in the order in which findings at one place are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -248,14 +248,14 @@ def redact(docs: DataFrame, level: float = 0.01) -> DataFrame:
     The thresholds come from a first pass over all texts; the second changes each row where it is, whatever its id.
     """
     least = thresholds(stage(candidates(docs), "secrets"), level)
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             for k in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(k, ROWS_AT_ONCE)
                 texts = pa.array([redacted(s, least) if s else s for s in part.column(at).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([texts if j == at else c for j, c in enumerate(part.columns)], part.schema.names)
+                yield pa.RecordBatch.from_arrays([texts if j == at else c for j, c in enumerate(part.columns)], names)
 
-    new = docs.mapInArrow(run, docs.schema)
+    new = numbered(docs).mapInArrow(run, docs.schema)
     return new.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else new
