@@ -52,13 +52,14 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function that `make` builds once for each task."""
+    """mapInArrow with a function that `make` builds once for each task; its attribute `end`, if any, is called after the last row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS_AT_ONCE):
                 yield work(batch.slice(k, ROWS_AT_ONCE))
+        getattr(work, "end", lambda: None)()
 
     return df.mapInArrow(run, schema)
 

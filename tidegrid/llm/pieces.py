@@ -27,7 +27,7 @@ from .common import Memo, file_of, map_batches, numbered, once
 
 MARK = "▁"
 #: Memoised parts in each of two generations, in each Python worker.
-MEMO_PARTS = 300_000
+MEMO_PARTS = 200_000
 #: Rows whose ids are held at one time.
 ROWS = 256
 #: Ranges of Latin letters.
@@ -69,6 +69,13 @@ class PieceCodec:
         self.memo = Memo(self._part, MEMO_PARTS)
         self.words = Memo(self._word, MEMO_PARTS // 2)
 
+    def forget(self) -> None:
+        """Empty the memos: a Python worker that outlives its task holds little."""
+        for memo in (self.memo, self.words):
+            memo.clear()
+            memo.old = {}
+        self.pairs = {}
+
     def merged(self, text: str) -> list[str]:
         """Plain merging: of the adjacent pairs whose joined text is a piece, the best (then leftmost) is joined."""
         symbols, score = list(text), self.score
@@ -221,48 +228,47 @@ def codec(path: str) -> PieceCodec:
     return once(("pieces", path), lambda: PieceCodec(path))
 
 
-def _with_column(df: DataFrame, name: str, kind: str, source: str, make) -> DataFrame:
-    """`df` with column `name`, made by make()(array of `source`) from slices of ROWS rows; other columns go through."""
-    kept = [f for f in df.schema.fields if f.name != name]
-    names = [*(f.name for f in kept), name]
-    rows = numbered(df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{source}`").alias(name)))
+def _with_columns(df: DataFrame, made: dict[str, str], source: str, path: str, make) -> DataFrame:
+    """`df` with the columns of `made` (names and kinds), by make(codec, array of `source`) from slices of ROWS rows; other columns go through."""
+    file_of(path)
+    kept = [f for f in df.schema.fields if f.name not in made]
+    names = [*(f.name for f in kept), *made]
+    rows = numbered(df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{source}`").alias("source")))
 
     def run(batches):
-        work = make()
+        it = codec(path)
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], work(part.columns[-1])], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *make(it, part.columns[-1])], names)
+        it.forget()
 
-    return rows.mapInArrow(run, T.StructType([*kept, *T._parse_datatype_string(f"`{name}` {kind}").fields]))
+    return rows.mapInArrow(run, T.StructType([*kept, *[T.StructField(c, T._parse_datatype_string(kind)) for c, kind in made.items()]]))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`df` with a column `ids` (array of int) of the encoded text; a column of that name is replaced."""
-    file_of(path)
-
-    def make():
-        it = codec(path)
-
-        def work(column: pa.Array) -> pa.Array:
-            found = [it.ids_of(s) for s in column.to_pylist()]
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+def _arrays(found: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
 
-        return work
 
-    return _with_column(df, ids, "array<int>", text, make)
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """`df` with a column `ids` (array of int) of the encoded text; a column of that name is replaced."""
+    return _with_columns(df, {ids: "array<int>"}, text, path, lambda it, column: [_arrays([it.ids_of(s) for s in column.to_pylist()])])
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """`df` with a column `text` decoded from `ids`; a column of that name is replaced, null ids give an empty text."""
-    file_of(path)
+    return _with_columns(df, {text: "string"}, ids, path, lambda it, column: [pa.array(["" if x is None else it.decode(x) for x in column.to_pylist()], pa.string())])
 
-    def make():
-        it = codec(path)
-        return lambda column: pa.array(["" if x is None else it.decode(x) for x in column.to_pylist()], pa.string())
 
-    return _with_column(df, text, "string", ids, make)
+def encode_and_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", back: str = "decoded") -> DataFrame:
+    """`df` with both columns, in one pass through Python."""
+
+    def make(it: PieceCodec, column: pa.Array) -> list[pa.Array]:
+        found = [it.ids_of(s) for s in column.to_pylist()]
+        return [_arrays(found), pa.array([it.decode(x.tolist()) for x in found], pa.string())]
+
+    return _with_columns(df, {ids: "array<int>", back: "string"}, text, path, make)
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:
@@ -281,6 +287,7 @@ def digests(df: DataFrame, path: str) -> DataFrame:
                 b.append(hashlib.sha256(back.encode()).hexdigest())
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+        work.end = it.forget
         return work
 
     return map_batches(df.select("doc_id", "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
