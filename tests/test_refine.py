@@ -102,3 +102,61 @@ def test_second_writer_is_told(spark, tmp_path):
     t.append(spark.range(1).select(F.col("id")))
     with pytest.raises(Conflict):
         t._commit(t.version() - 1, spark.range(1).schema, [])
+
+
+def test_replay_over_midnight_adds_nothing(spark, tmp_path):
+    """B1: a message is rejected on one day and read again on the next, and much later."""
+    rows = spark.createDataFrame([("{", 0, k, datetime(2026, 3, 1, 23, 58)) for k in range(4)], "raw_json string, kafka_partition int, kafka_offset bigint, kafka_timestamp timestamp").withColumn("rejection_reason", F.lit("x"))
+    for hint in ("kafka_timestamp", None):
+        t = Table(spark, f"{tmp_path}/{hint}", ("quarantine_date",))
+        for at, some in ((datetime(2026, 3, 1, 23, 59), "kafka_offset < 3"), (datetime(2026, 3, 2, 0, 10), "true"), (datetime(2026, 4, 1), "true")):
+            t.insert_absent(refine.to_quarantine(rows.filter(some), at), ("kafka_partition", "kafka_offset"), not_before=hint)
+        assert sorted((r["kafka_offset"], str(r["quarantine_date"])) for r in t.read().collect()) == [(0, "2026-03-01"), (1, "2026-03-01"), (2, "2026-03-01"), (3, "2026-03-02")]
+
+
+def test_bronze_replayed_on_another_day(spark, tmp_path):
+    messages = spark.createDataFrame([(b"1", b"{}", "t", 0, k, datetime(2026, 3, 1, 12)) for k in range(3)], "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp")
+    t = Table(spark, f"{tmp_path}/b", ("ingest_date",))
+    bronze = refine.to_bronze(messages)
+    for day, some in ((date(2026, 3, 1), "kafka_offset < 2"), (date(2026, 3, 5), "true"), (date(2026, 3, 6), "true")):
+        t.insert_absent(bronze.filter(some).withColumn("ingest_date", F.lit(day)), ("kafka_partition", "kafka_offset"), not_before="kafka_timestamp")
+    assert sorted((r["kafka_offset"], r["ingest_date"].day) for r in t.read().collect()) == [(0, 1), (1, 1), (2, 5)]
+
+
+def test_newest_message_of_a_key(spark):
+    at = datetime(2026, 3, 1)
+    rows = spark.createDataFrame([(1, at, None, 9, {"a": 1}), (1, at, at, 3, {"a": 2}), (1, at, at, 4, {"a": 3}), (None, None, None, None, None), (2, at, None, None, {"a": 4})], "station_id int, last_reported timestamp, kafka_timestamp timestamp, kafka_offset int, m map<string,int>")
+    told = refine.latest_message(rows)
+    assert told.columns == rows.columns and sorted(str(r["m"]) for r in told.collect()) == ["None", "{'a': 3}", "{'a': 4}"]
+
+
+def test_alerts_go_out_again_after_the_gap(spark):
+    import random
+    from datetime import timedelta
+
+    from tidegrid.operators import quality
+
+    r, start = random.Random(1), datetime(2026, 3, 1)
+    rows = [(r.choice(("a", "b", None)), r.choice(("x", None)), start + timedelta(minutes=r.randrange(3000))) for _ in range(400)] + [("a", "x", None)]
+    want, last = set(), {}
+    for kind, title, at in sorted((x for x in rows if x[2]), key=lambda x: x[2]):
+        if (kind, title) not in last or at - last[kind, title] >= timedelta(minutes=60):
+            last[kind, title] = at
+            want.add((kind, title, at))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups over several batches
+    try:
+        got = [tuple(x) for x in quality.alerts_to_send(spark.createDataFrame(rows, "alert_type string, title string, created_at timestamp"), 60).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_quantiles_equal_the_built_in_ones(spark):
+    from tidegrid.plans import features
+
+    rows = spark.range(5000).select(F.expr("case when id % 3 = 0 then 'a' when id % 3 = 1 then 'b' else 'c' end").alias("feature"), F.expr("case when id % 3 = 0 then cast(id % 7 as double) when id % 3 = 1 then pow(id, 1.5) else 4.5 end").alias("value"))
+    points = [k / 10 for k in range(11)]
+    want = {r["feature"]: r["e"] for r in rows.groupBy("feature").agg(F.percentile("value", F.array(*map(F.lit, points))).alias("e")).collect()}
+    for parts in (1, 3, 1024):
+        got = {r["feature"]: r["e"] for r in features.quantiles(rows, points, parts).collect()}
+        assert all(abs(x - y) <= 1e-9 * max(1, abs(y)) for f in want for x, y in zip(got[f], want[f], strict=True))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,13 +120,32 @@ def freshness(df: DataFrame, column: str, as_of: datetime, warn_minutes: float,
 def alerts_to_send(events: DataFrame, minutes: float = 60) -> DataFrame:
     """Q-13 in batch form: an alert goes out unless one of its type and title *went out* less than `minutes` before.
 
-    Which went out depends on the one before, so each (type, title) is folded in order; its times are gathered in one row.
+    Which went out depends on the one before, so each (type, title) is passed in order of time. Rows stream through
+    sorted, and from one that goes out the next is found by a search; no (type, title) is ever held as a whole.
     """
-    times = F.array_sort(F.collect_list(F.unix_micros("created_at")))
-    gap = F.lit(int(minutes * 60e6)).cast("long")
-    none = F.array().cast("array<bigint>")
-    sent = F.aggregate("times", none, lambda out, t: F.when((F.size(out) == 0) | (t - F.element_at(out, -1) >= gap), F.concat(out, F.array(t))).otherwise(out))
-    return events.groupBy("alert_type", "title").agg(times.alias("times")).select("alert_type", "title", F.explode(sent).alias("t")).select("alert_type", "title", F.timestamp_micros("t").alias("created_at"))
+    gap = int(minutes * 60e6)
+
+    def run(frames):
+        key, least = None, 0  # of the rows so far: the last type and title, and from when its next may go out
+        for frame in frames:
+            times = frame["t"].to_numpy()
+            same = (frame["alert_type"].eq(frame["alert_type"].shift()) | frame["alert_type"].isna() & frame["alert_type"].shift().isna()).to_numpy()
+            same = same & (frame["title"].eq(frame["title"].shift()) | frame["title"].isna() & frame["title"].shift().isna()).to_numpy()
+            firsts = [0, *(k for k in np.flatnonzero(~same).tolist() if k)]
+            keep = []
+            for first, stop in zip(firsts, [*firsts[1:], len(frame)]):
+                own = tuple(None if pd.isna(x) else x for x in frame.iloc[first, :2])
+                at = first if own != key else first + int(np.searchsorted(times[first:stop], least))
+                while at < stop:
+                    keep.append(at)
+                    least = int(times[at]) + gap
+                    at += max(1, int(np.searchsorted(times[at:stop], least)))
+                key = own
+            yield frame.iloc[keep]
+
+    rows = events.filter("created_at is not null").select("alert_type", "title", F.unix_micros("created_at").alias("t"))
+    sent = rows.repartition("alert_type", "title").sortWithinPartitions("alert_type", "title", "t").mapInPandas(run, "alert_type string, title string, t long")
+    return sent.select("alert_type", "title", F.timestamp_micros("t").alias("created_at"))
 
 
 def notify(log, spark: SparkSession, alert: dict, now: datetime, minutes: int = 60) -> bool:

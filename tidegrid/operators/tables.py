@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,18 +117,34 @@ class Table:
         gone = set(map(self._partitions, new))
         return self._commit(at, df.schema if told["schema"] is None else T.StructType.fromJson(told["schema"]), [f for f in told["folders"] if self._partitions(f) not in gone or not self.partition_by] * bool(self.partition_by) + new)
 
-    def insert_absent(self, df: DataFrame, keys: tuple[str, ...]) -> int:
-        """K3, K7: rows whose keys the table lacks; of rows with equal keys in `df` one. First writer wins, replays change nothing."""
+    def insert_absent(self, df: DataFrame, keys: tuple[str, ...], not_before: str | None = None) -> int:
+        """K3, K7: rows whose keys the table lacks; of rows with equal keys in `df` one. First writer wins, replays change nothing.
+
+        Where the keys hold the partition columns, only the partitions of the new rows can have them. Else all
+        partitions are asked for the keys, or, for a table that is partitioned by a date, those from the first date of
+        `not_before` on (a column of `df`; no row is ever stored under an earlier date than its own, up to a day).
+        """
         new = df.dropDuplicates(list(keys))
         at, told = self.version(), self._list()
         if told["schema"] is None:
             return self._commit(at, df.schema, self._write(new))
         schema = T.StructType.fromJson(told["schema"])
-        have = self._touched(new, told["folders"], schema)
+        if set(self.partition_by) <= set(keys):
+            have = self._touched(new, told["folders"], schema)
+        else:
+            have = self._since(new, not_before, told["folders"], schema)
         if have is not None:
             new = new.join(have.select(*keys), list(keys), "left_anti")
         return self._commit(at, schema, told["folders"] + self._write(self._ordered(new, schema)))
 
+    def _since(self, df: DataFrame, not_before: str | None, folders: list[str], schema: T.StructType) -> DataFrame | None:
+        """The table's rows under dates from the first of `not_before` on (a day less, for clocks and zones); all rows without that."""
+        if not folders:
+            return None
+        have = self._frame(schema, folders)
+        least = df.agg(F.min(F.to_date(not_before))).first()[0] if not_before and len(self.partition_by) == 1 else None
+        return have if least is None else have.filter(F.col(self.partition_by[0]) >= F.lit(least - timedelta(days=1)))
+
     def _touched(self, df: DataFrame, folders: list[str], schema: T.StructType) -> DataFrame | None:
         """The table's rows in the partitions that `df` touches."""
         if not folders:

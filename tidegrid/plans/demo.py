@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +37,10 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset and all runs on this machine."""
     told = spark.conf.get("spark.checkpoint.dir", None)
+    if not told and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{told}/tables-{uuid.uuid4().hex}" if told else "file://" + tempfile.mkdtemp(prefix="tables-")
 
 
@@ -244,14 +247,24 @@ def psi(spark, d):
     return features.drift(ref, _order_values(spark, d, "new")).withColumn("psi", F.round("psi", 9))
 
 
+def kept(spark, df: DataFrame) -> DataFrame:
+    """`df` written and read again: for what is used more than once."""
+    path = work_dir(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def drift_features(spark, d):
-    values = features.long_form(feature_rows(spark, d, False))
-    ref = features.shares(values, features.edges(values)).drop("n")
-    return features.drift(ref, values).select("feature", F.round("psi", 6).alias("psi"), "is_drift", "n_current")
+    """The last week against the weeks before it."""
+    rows = kept(spark, feature_rows(spark, d, False).select("heure_fin", *features.MONITORED))
+    week = F.lit(AS_OF - timedelta(days=7)).cast("timestamp")
+    old, new = features.long_form(rows.filter(F.col("heure_fin") < week)), features.long_form(rows.filter(F.col("heure_fin") >= week))
+    told = features.drift(features.shares(old, features.edges(old)).drop("n"), new, 0.001)
+    return told.select("feature", F.round("psi", 6).alias("psi"), "is_drift", "n_current")
 
 
 def prediction_vs_actual(spark, d):
-    h = hours(spark, d)
+    h = kept(spark, hours(spark, d))
     told = forecast.persistence(h, "1", AS_OF).unionByName(forecast.persistence(h, "2", datetime(2024, 2, 1)).filter("station_id % 2 = 0").withColumn("predicted_bikes", F.col("predicted_bikes") + 1))
     return plain(gold.predictions_vs_actual(told, dims(spark, d), h))
 
@@ -296,7 +309,19 @@ def delete_insert(spark, d):
 
 
 def quality_suite(spark, d):
-    return quality.run_suite(quality.with_derived(status(spark, d), AS_OF), quality.READINGS_SUITE)
+    """Over messages as they are parsed: with missing ids and times, counts below 0, and late ones."""
+    rows = refine.parse(refine.to_bronze(messages(spark, d)))
+    late = F.timestamp_micros(F.unix_micros("kafka_timestamp") + F.col("kafka_offset") % 100 * 60_000_000)
+    return quality.run_suite(quality.with_derived(rows.withColumn("ingested_at", late), AS_OF), quality.READINGS_SUITE)
+
+
+def quarantine_replay(spark, d):
+    """Rejected messages, stored on two days: the second time nothing comes to it but what is new."""
+    rejected = refine.with_reason(refine.parse(refine.to_bronze(messages(spark, d))), NOW_EPOCH).filter("rejection_reason is not null")
+    table = Table(spark, work_dir(spark), ("quarantine_date",))
+    for part, at in (("kafka_offset % 3 <> 0", datetime(2024, 2, 1, 23, 59)), ("true", datetime(2024, 2, 2, 0, 10)), ("true", datetime(2024, 2, 9))):
+        table.insert_absent(refine.to_quarantine(rejected.filter(part), at), ("kafka_partition", "kafka_offset"), not_before="kafka_timestamp")
+    return table.read().select("kafka_partition", "kafka_offset", "rejection_reason", "quarantine_date")
 
 
 def constraint_tests(spark, d):
@@ -347,7 +372,7 @@ def changed_batch(spark, d):
 
 def _stream_files(spark, df: DataFrame) -> str:
     path = work_dir(spark)
-    df.coalesce(1).write.parquet(path)
+    df.write.parquet(path)
     return path
 
 
@@ -355,7 +380,7 @@ def stream_bronze(spark, d):
     where, out = _stream_files(spark, messages(spark, d)), work_dir(spark)
     q = ingest.write_bronze(ingest.source(spark, "files", where), f"{out}/bronze", f"{out}/checkpoint", {"availableNow": True}, name=f"bronze_{abs(hash(out))}")
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/bronze").groupBy("kafka_partition").agg(F.count("*").alias("n"), F.max("kafka_offset").alias("newest"))
+    return plain(spark.read.parquet(f"{out}/bronze").drop("ingested_at", "ingest_date"))
 
 
 def stream_cdc(spark, d):
@@ -377,7 +402,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         critical_stations, rank_empty_full, bronze_projection, parse_json, reject_reason, reject_counts, known_flag_join, silver, dedup_latest, map_array_sum, dim_hour_query, dim_date_query, dim_station_zone, holiday_left_join,
         fact_availability, reading_intervals, latest_state, state_classification, hourly_forward_fill, hourly_fill_by_grid, hourly_grid, hourly_incremental, zone_hourly, hourly_profile, time_shift_lags, feature_matrix, temporal_split,
-        decile_edges, bin_shares, psi, drift_features, prediction_vs_actual, baseline_metrics, forecast_latest, merge_insert_absent, upsert_scd1, delete_insert, quality_suite, constraint_tests, source_freshness, alerts, nearest_stations,
+        decile_edges, bin_shares, psi, drift_features, prediction_vs_actual, baseline_metrics, forecast_latest, merge_insert_absent, upsert_scd1, delete_insert, quality_suite, quarantine_replay, constraint_tests, source_freshness, alerts, nearest_stations,
         guarded_sql, parse_stations, changed_batch, stream_bronze, stream_cdc,
     )
 }

@@ -38,7 +38,8 @@ def _with(names: tuple[str, ...], query: str, **own: str) -> str:
 
     for n in names:
         add(n)
-    ctes = [f"{n} AS ({CTES[n]})" for n in wanted] + [f"{n} AS ({q})" for n, q in own.items()]
+    made_once = lambda n: " AS MATERIALIZED" if n in ("h", "hx") else " AS"
+    ctes = [f"{n}{made_once(n)} ({CTES[n]})" for n in wanted] + [f"{n}{made_once(n)} ({q})" for n, q in own.items()]
     return f"WITH {', '.join(ctes)} {query}"
 
 
@@ -83,7 +84,8 @@ _REASON = "SELECT p.*, CASE WHEN k <= 5 THEN 'json_invalide_ou_station_id_absent
 
 
 def _lags(source: str, value: str, names: dict[str, int], columns: str) -> str:
-    joins = " ".join(f"LEFT JOIN {source} j{i} ON j{i}.station_id = a.station_id AND j{i}.heure_fin = a.heure_fin - to_hours({k})" for i, k in enumerate(names.values()))
+    one = "LEFT JOIN (SELECT station_id, heure_fin + to_hours({k}) AS at, {v} FROM {s}) j{i} ON j{i}.station_id = a.station_id AND j{i}.at = a.heure_fin"
+    joins = " ".join(one.format(s=source, v=value, k=k, i=i) for i, k in enumerate(names.values()))
     return f"SELECT {columns}, {', '.join(f'j{i}.{value} AS {n}' for i, n in enumerate(names))} FROM {source} a {joins}"
 
 
@@ -97,6 +99,43 @@ _FEATURES = {
 _SHARES = "SELECT CAST(count(*) AS BIGINT) AS c, CASE WHEN o_totalprice < 50000 THEN 0 WHEN o_totalprice < 100000 THEN 1 WHEN o_totalprice < 200000 THEN 2 WHEN o_totalprice < 300000 THEN 3 ELSE 4 END AS k FROM orders WHERE o_orderdate {0} TIMESTAMP '1997-01-01' GROUP BY 2"
 _BINS = "SELECT b.k, coalesce(c, 0) / CAST((SELECT sum(c) FROM {0}) AS DOUBLE) AS s FROM (SELECT unnest(range(5)) AS k) b LEFT JOIN {0} x ON x.k = b.k"
 
+_MONITORED = ("velos_t0", "taux_remplissage_t0", "part_electriques", "tendance_1h", "moyenne_3h")
+_LONG = " UNION ALL ".join(f"SELECT '{n}' AS feature, {n} AS value, heure_fin >= {AS_OF} - INTERVAL 7 DAY AS is_new FROM ft WHERE {n} IS NOT NULL" for n in _MONITORED)
+_POINTS = ", ".join(f"{k / 10}" for k in range(11))
+_BIN = " + ".join(f"CAST(coalesce({k} < len(e.edges) AND e.edges[{k}] <= v.value, false) AS INTEGER)" for k in range(2, 11))  # inner edges up to the value
+_DRIFT = f"""SELECT feature, round(p, 6) AS psi, p > 0.001 AS is_drift, CAST(n AS INTEGER) AS n_current FROM (
+    SELECT b.feature, max(b.new_of) AS n, sum((greatest(b.new_n / b.new_of, 1e-4) - greatest(b.old_n / b.old_of, 1e-4)) * ln(greatest(b.new_n / b.new_of, 1e-4) / greatest(b.old_n / b.old_of, 1e-4))) AS p FROM (
+        SELECT k.feature, k.bin, coalesce(sum(c.n) FILTER (WHERE NOT is_new), 0)::DOUBLE AS old_n, coalesce(sum(c.n) FILTER (WHERE is_new), 0)::DOUBLE AS new_n, max(k.old_of)::DOUBLE AS old_of, max(k.new_of)::DOUBLE AS new_of
+        FROM (SELECT e.feature, unnest(range(len(e.edges) - 1)) AS bin, o.old_of, o.new_of FROM (
+            SELECT feature, list_sort(list_distinct(quantile_cont(value, [{_POINTS}]))) AS edges FROM ({_LONG}) WHERE NOT is_new GROUP BY 1) e
+            JOIN (SELECT feature, count(*) FILTER (WHERE NOT is_new) AS old_of, count(*) FILTER (WHERE is_new) AS new_of FROM ({_LONG}) GROUP BY 1) o ON o.feature = e.feature) k
+        LEFT JOIN (SELECT v.feature, v.is_new, {_BIN} AS bin, count(*) AS n FROM ({_LONG}) v JOIN (
+            SELECT feature, list_sort(list_distinct(quantile_cont(value, [{_POINTS}]))) AS edges FROM ({_LONG}) WHERE NOT is_new GROUP BY 1) e ON e.feature = v.feature GROUP BY 1, 2, 3) c
+        ON c.feature = k.feature AND c.bin = k.bin GROUP BY 1, 2) b GROUP BY 1)"""
+_CHECKED = f"""SELECT *, abs(num_bikes_available - num_mechanical - num_ebike) AS gap, (epoch_us({AS_OF}) - epoch_us(last_reported)) / 60e6 AS since, (epoch_us(releve_at) + kafka_offset % 100 * 60000000 - epoch_us(last_reported)) / 60e6 AS late,
+    count(*) OVER (PARTITION BY station_id, last_reported) AS met FROM p"""
+
+
+def _check(kind: str, column: str, wrong: str, mostly: float = 1.0, severity: str = "critical", base: str = "true", where: str = "true") -> str:
+    """A check of rows: those of `base` are looked at, of which `wrong` ones break it."""
+    return f"""SELECT '{kind}' AS expectation, '{column}' AS column_name, '{severity}' AS severity, count(*) FILTER (WHERE {where} AND ({wrong})) <= count(*) FILTER (WHERE {where} AND {base}) * (1 - {mostly}) + 1e-9 AS success,
+        count(*) FILTER (WHERE {where} AND ({wrong})) AS unexpected_count, count(*) FILTER (WHERE {where}) AS element_count FROM q"""
+
+
+def _between(column: str, low: str, high: str, value: str | None = None, **more) -> str:
+    v = value or column
+    return _check("between", column, f"{v} < {low} OR {v} > {high}", base=f"{v} IS NOT NULL", **more)
+
+
+_SUITE = " UNION ALL ".join((
+    "SELECT 'row_count' AS expectation, NULL AS column_name, 'critical' AS severity, count(*) >= 1 AS success, 0 AS unexpected_count, count(*) AS element_count FROM q",
+    _check("not_null", "station_id", "station_id IS NULL"), _check("not_null", "last_reported", "last_reported IS NULL"), _check("unique", "station_id,last_reported", "met > 1"),
+    _between("num_bikes_available", "0", "150"), _between("num_docks_available", "0", "150", where="coalesce(is_renting, false)"), _between("num_mechanical", "0", "1e9"), _between("num_ebike", "0", "1e9"),
+    _between("bikes_type_gap", "0", "0", "gap", mostly=0.99, severity="warning"), _check("not_null", "station_code", "station_code IS NULL", 0.99, "warning"),
+    "SELECT 'min_between', 'minutes_since_report', 'warning', coalesce(min(since) <= 180, false), 0, count(*) FROM q",
+    _between("ingestion_delay_minutes", "-1e18", "90", "late", mostly=0.95, severity="warning"),
+))
+
 ORACLE_SQL: dict[str, str] = {
     "critical_stations": _critical(),
     "rank_empty_full": _critical("station_id, part_temps_vide, rang_vide, part_temps_pleine, rang_pleine"),
@@ -131,14 +170,14 @@ ORACLE_SQL: dict[str, str] = {
     "decile_edges": "SELECT 'o_totalprice' AS feature, CAST(k AS INTEGER) AS k, round(e, 4) AS edge FROM (SELECT unnest(range(11)) AS k, unnest(quantile_cont(o_totalprice, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS e FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01')",
     "bin_shares": f"WITH x AS ({_SHARES.format('<')}), y AS ({_BINS.format('x')}) SELECT 'o_totalprice' AS feature, CAST((SELECT sum(c) FROM x) AS BIGINT) AS n, CAST(k AS INTEGER) AS k, round(s, 9) AS share FROM y",
     "psi": f"WITH x AS ({_SHARES.format('<')}), z AS ({_SHARES.format('>=')}), e AS ({_BINS.format('x')}), a AS ({_BINS.format('z')}), t AS (SELECT sum((greatest(a.s, 1e-4) - greatest(e.s, 1e-4)) * ln(greatest(a.s, 1e-4) / greatest(e.s, 1e-4))) AS p FROM e JOIN a ON a.k = e.k) SELECT 'o_totalprice' AS feature, round(p, 9) AS psi, 0.2::DOUBLE AS threshold, p > 0.2 AS is_drift, CAST((SELECT sum(c) FROM z) AS INTEGER) AS n_current FROM t",
-    "drift_features": _with(("h", "s"), " UNION ALL ".join(f"SELECT '{n}' AS feature, 0.0::DOUBLE AS psi, false AS is_drift, CAST(count({n}) AS INTEGER) AS n_current FROM ft" for n in ("velos_t0", "taux_remplissage_t0", "part_electriques", "tendance_1h", "moyenne_3h")), **_FEATURES),
+    "drift_features": _with(("h", "s"), _DRIFT, **_FEATURES),
     "prediction_vs_actual": _with(("h", "s"), "SELECT p.station_id, nom_station, zone, t AS heure_cible, p.heure_fin AS heure_donnees, version AS version_modele, CAST(predicted AS DOUBLE) AS velos_predits, h.velos_disponibles AS velos_reels, CAST(abs(predicted - h.velos_disponibles) AS DOUBLE) AS erreur_absolue, h.velos_disponibles IS NOT NULL AS est_evaluee FROM (SELECT station_id, heure_fin, heure_fin + INTERVAL 1 HOUR AS t, CASE WHEN station_id % 2 = 0 THEN velos_disponibles + 1 ELSE velos_disponibles END AS predicted, CASE WHEN station_id % 2 = 0 THEN '2' ELSE '1' END AS version FROM h) p JOIN s ON s.station_id = p.station_id LEFT JOIN h ON h.station_id = p.station_id AND h.heure_fin = p.t"),
     "baseline_metrics": _with(("h", "s"), "SELECT round(avg(abs(velos_t0 - velos_cible)), 9) AS mae, round(sqrt(avg((velos_t0 - velos_cible) * (velos_t0 - velos_cible))), 9) AS rmse FROM ft WHERE velos_cible IS NOT NULL", **_FEATURES),
     "merge_insert_absent": _with(("r",), "SELECT station_id, releve_at AS last_reported, CAST(releve_at AS DATE) AS report_date, CAST(CASE WHEN k % 3 <> 0 THEN k ELSE k + 1000 END AS INTEGER) AS num_bikes_available FROM r"),
     "upsert_scd1": "SELECT c_custkey AS station_id, CASE WHEN c_custkey % 2 = 0 THEN c_name || ' new' ELSE c_name END AS station_name, CASE WHEN c_custkey % 4 = 0 THEN 'moved' WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS commune, CASE WHEN c_custkey % 3 <> 0 THEN DATE '2024-01-01' ELSE DATE '2024-02-01' END AS first_seen, CASE WHEN c_custkey % 2 = 0 THEN DATE '2024-02-01' ELSE DATE '2024-01-01' END AS last_seen FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0",
     "delete_insert": "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN 0.0::DOUBLE ELSE o_totalprice END AS o_totalprice FROM orders",
-    "quality_suite": _with(("r",), f"""SELECT e AS expectation, c AS column_name, v AS severity, ok AS success, CAST(u AS BIGINT) AS unexpected_count, CAST(CASE WHEN c = 'num_docks_available' THEN renting ELSE n END AS BIGINT) AS element_count FROM a CROSS JOIN LATERAL (VALUES ('row_count', NULL, 'critical', n >= 1, 0), ('not_null', 'station_id', 'critical', true, 0), ('not_null', 'last_reported', 'critical', true, 0), ('unique', 'station_id,last_reported', 'critical', true, 0), ('between', 'num_bikes_available', 'critical', true, 0), ('between', 'num_docks_available', 'critical', true, 0), ('between', 'num_mechanical', 'critical', true, 0), ('between', 'num_ebike', 'critical', true, 0),
-        ('between', 'bikes_type_gap', 'warning', true, 0), ('not_null', 'station_code', 'warning', true, 0), ('min_between', 'minutes_since_report', 'warning', fresh <= 180, 0), ('between', 'ingestion_delay_minutes', 'warning', true, 0)) t(e, c, v, ok, u)""", a=f"SELECT count(*) AS n, count(*) FILTER (WHERE event_type <> 'signup') AS renting, min((epoch_us({AS_OF}) - epoch_us(releve_at)) / 60e6) AS fresh FROM r"),
+    "quality_suite": _with(("r",), _SUITE, p=_PARSED, q=_CHECKED),
+    "quarantine_replay": _with(("r",), "SELECT kafka_partition, kafka_offset, rejection_reason, CASE WHEN kafka_offset % 3 <> 0 THEN DATE '2024-02-01' ELSE DATE '2024-02-02' END AS quarantine_date FROM q WHERE rejection_reason IS NOT NULL", p=_PARSED, q=_REASON.replace("WHEN station_id NOT IN (SELECT s_suppkey FROM supplier) THEN 'station_inconnue' ", "")),
     "constraint_tests": """SELECT (SELECT count(*) FROM orders WHERE o_orderdate IS NULL) AS n_broken, 'not_null' AS test UNION ALL SELECT (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)), 'unique' UNION ALL SELECT (SELECT count(DISTINCT o_orderstatus) FROM orders WHERE o_orderstatus NOT IN ('O', 'F')), 'accepted_values' UNION ALL SELECT (SELECT count(*) FROM lineitem WHERE l_quantity < 5 OR l_quantity > 45), 'accepted_range'
         UNION ALL SELECT (SELECT count(*) FROM lineitem WHERE l_quantity <= 5 OR l_quantity >= 45), 'accepted_range_open' UNION ALL SELECT (SELECT count(*) FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)), 'relationships' UNION ALL SELECT (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)), 'relationships_ok'""",
     "source_freshness": f"SELECT max(ts) AS newest, round((epoch_us({AS_OF}) - epoch_us(max(ts))) / 60e6, 6) AS age_minutes, CASE WHEN (epoch_us({AS_OF}) - epoch_us(max(ts))) / 60e6 <= 30 THEN 'pass' WHEN (epoch_us({AS_OF}) - epoch_us(max(ts))) / 60e6 <= 120 THEN 'warn' ELSE 'error' END AS status FROM events",
@@ -146,9 +185,9 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT w.alert_type, w.title, (SELECT min(a.ts) FROM a WHERE a.alert_type = w.alert_type AND a.title = w.title AND a.ts >= w.created_at + INTERVAL 720 MINUTE) FROM w WHERE w.created_at IS NOT NULL) SELECT alert_type, title, created_at FROM w WHERE created_at IS NOT NULL""",
     "parse_stations": "SELECT c_custkey AS station_id, 'x' AS station_code, CASE WHEN c_custkey % 3 = 0 THEN 'Station ' || CAST(c_custkey AS VARCHAR) ELSE trim(c_name) END AS station_name, c_acctbal AS lat, 2.0::DOUBLE AS lon, CAST(30 AS INTEGER) AS capacity FROM customer WHERE c_custkey % 7 <> 0",
     "changed_batch": _with(("r",), "SELECT station_id, CAST(k AS BIGINT) AS last_reported, epoch_us(releve_at) AS seq, event_type AS value FROM (SELECT *, lag(k) OVER (PARTITION BY station_id ORDER BY releve_at) AS b FROM r) WHERE b IS DISTINCT FROM k"),
-    "stream_bronze": "SELECT CAST(user_id % 3 AS INTEGER) AS kafka_partition, count(*) AS n, max(event_id) AS newest FROM events GROUP BY 1",
 }
 ORACLE_SQL["stream_cdc"] = ORACLE_SQL["changed_batch"]
+ORACLE_SQL["stream_bronze"] = ORACLE_SQL["bronze_projection"]
 _STATE = ORACLE_SQL["state_classification"]
 ORACLE_SQL["nearest_stations"] = f"SELECT station_id, nom_station AS station, zone, CAST(round(2 * 6371000 * asin(sqrt(pow(sin(radians(latitude - 48.05) / 2), 2) + cos(radians(48.05)) * cos(radians(latitude)) * pow(sin(radians(longitude - 2.3) / 2), 2)))) AS BIGINT) AS distance_m, velos_disponibles AS velos, velos_mecaniques AS mecaniques, velos_electriques AS electriques, bornes_libres, statut FROM ({_STATE}) WHERE statut <> 'hors service' AND velos_disponibles > 0 ORDER BY distance_m, station_id LIMIT 5"
 ORACLE_SQL["guarded_sql"] = f"SELECT statut, count(*) AS n, CAST(sum(velos_disponibles) AS BIGINT) AS velos FROM ({_STATE}) GROUP BY statut"

@@ -31,10 +31,10 @@ def write_bronze(messages: DataFrame, path: str, checkpoint: str, trigger: dict
 
 
 def write_bronze_table(messages: DataFrame, table, checkpoint: str, trigger: dict | None = None, name: str = "bronze_table") -> StreamingQuery:
-    """K2 into a table of operators.tables, which can be compacted: a batch that comes again adds nothing, by broker position."""
+    """K2 into a table of operators.tables, which can be compacted: a message that comes again adds nothing, by broker position, on whatever day."""
 
     def add(batch: DataFrame, number: int) -> None:
-        table.insert_absent(to_bronze(batch), ("kafka_partition", "kafka_offset"))
+        table.insert_absent(to_bronze(batch), ("kafka_partition", "kafka_offset"), not_before="kafka_timestamp")
 
     return messages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).queryName(name).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
 
