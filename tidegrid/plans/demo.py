@@ -20,7 +20,7 @@ from ..operators import asof, quality, refine, serving
 from ..operators.tables import Table
 from ..sources import feeds
 from ..streaming import ingest
-from . import features, forecast, gold
+from . import features, forecast, gold, jobs, model_jobs
 
 AS_OF = datetime(2024, 1, 31)
 NOW_EPOCH = 1_706_659_200  # AS_OF
@@ -278,6 +278,67 @@ def forecast_latest(spark, d):
     return plain(forecast.predict(trained.model, feature_rows(spark, d, False), "trees", "1", AS_OF).drop("predicted_at"))
 
 
+class _Half:
+    """Stands for a model: half as many again as now, which capacities cut off."""
+
+    def transform(self, df):
+        return df.withColumn("prediction", F.col("velos_t0") * 1.5 - 10)
+
+
+def stored_predictions(spark, d):
+    """Predictions of two hours, the first stored again by another version."""
+    store, h, s = model_jobs.Store(spark, work_dir(spark)), kept(spark, hours(spark, d)), dims(spark, d)
+    for at, version in ((datetime(2024, 1, 20), "1"), (datetime(2024, 1, 25), "1"), (datetime(2024, 1, 20), "2")):
+        model_jobs.predict_run(h, s, store, at, model=_Half(), version=version)
+    return plain(store.predictions.read().drop("predicted_at"))
+
+
+def stored_bins(spark, d):
+    """Bins of two versions, one of them stored twice."""
+    store = model_jobs.Store(spark, work_dir(spark))
+    rows = kept(spark, feature_rows(spark, d, False).select("heure_fin", *features.MONITORED))
+    for day, version in ((10, "1"), (10, "2"), (24, "1")):
+        model_jobs.store_bins(store, rows.filter(F.col("heure_fin") < F.lit(datetime(2024, 1, day)).cast("timestamp")), "m", version)
+    told = store.bins.read().filter("feature = 'velos_t0'").select("model_version", F.posexplode("bin_shares").alias("k", "s"), F.col("bin_edges").alias("e"))
+    return told.select("model_version", "k", F.round(F.col("e")[F.col("k")], 6).alias("edge"), F.round("s", 6).alias("share"))
+
+
+def stored_drift(spark, d):
+    """Drift against stored bins at two times, and the summary of each."""
+    store, h, s = model_jobs.Store(spark, work_dir(spark)), kept(spark, hours(spark, d)), dims(spark, d)
+    rows = model_jobs.rows_of(h, s, AS_OF, False).filter(F.col("heure_fin") < F.lit(AS_OF - timedelta(days=7)).cast("timestamp"))
+    model_jobs.store_bins(store, rows, "m", "1")
+    told = [(at, model_jobs.drift_job(h, s, store, at, "m", "1", 72, 0.001)) for at in (AS_OF - timedelta(days=4), AS_OF)]
+    largest = spark.createDataFrame([(at, x["max_psi"]) for at, x in told], "computed_at timestamp, max_psi double")
+    rows = store.drift.read().filter("feature = 'velos_t0'").join(largest, "computed_at")
+    return plain(rows.select("computed_at", "feature", F.round("psi", 6).alias("psi"), "is_drift", "n_current", (F.col("max_psi") >= F.col("psi")).alias("max_is_most")))
+
+
+def window_lookback(spark, d):
+    rows = refine.to_bronze(messages(spark, d)).withColumn("ingest_date", F.to_date("kafka_timestamp"))
+    return refine.in_window(rows, datetime(2024, 1, 10, 12), datetime(2024, 1, 12), 30).select("kafka_offset")
+
+
+def overwrite_table(spark, d):
+    table, rows = Table(spark, work_dir(spark)), load(spark, d, "nation")
+    table.overwrite(rows)
+    table.overwrite(rows.filter("n_regionkey > 1"))
+    return table.read()
+
+
+def merge_landing(spark, d):
+    """Two landings of which the second holds other values for the first's readings; each passes the gate and its checks are kept."""
+    store, house = model_jobs.Store(spark, work_dir(spark)), jobs.Warehouse(Table(spark, work_dir(spark)), None, None, None)
+    rows = status(spark, d).dropDuplicates(["station_id", "last_reported"])
+    landed = [model_jobs.quality_job(part, house, store, AS_OF) for part in (rows.filter("num_bikes_available < 50"), rows.withColumn("num_bikes_available", F.col("num_bikes_available") + 1))]
+    n = store.quality.read().count()
+    return plain(house.status.read().select("station_id", "last_reported", "num_bikes_available", F.lit(n).cast("long").alias("n_checks"), F.lit(all(landed)).alias("all_merged")))
+
+
+def table_columns(spark, d):
+    return spark.createDataFrame(serving.describe({t: load(spark, d, t) for t in ("region", "orders")}), "name string, columns string")
+
+
 def merge_insert_absent(spark, d):
     rows = status(spark, d).withColumn("report_date", F.to_date("last_reported")).select("station_id", "last_reported", "report_date", "num_bikes_available")
     table = Table(spark, work_dir(spark), ("report_date",))
@@ -402,7 +463,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         critical_stations, rank_empty_full, bronze_projection, parse_json, reject_reason, reject_counts, known_flag_join, silver, dedup_latest, map_array_sum, dim_hour_query, dim_date_query, dim_station_zone, holiday_left_join,
         fact_availability, reading_intervals, latest_state, state_classification, hourly_forward_fill, hourly_fill_by_grid, hourly_grid, hourly_incremental, zone_hourly, hourly_profile, time_shift_lags, feature_matrix, temporal_split,
-        decile_edges, bin_shares, psi, drift_features, prediction_vs_actual, baseline_metrics, forecast_latest, merge_insert_absent, upsert_scd1, delete_insert, quality_suite, quarantine_replay, constraint_tests, source_freshness, alerts, nearest_stations,
+        decile_edges, bin_shares, psi, drift_features, prediction_vs_actual, baseline_metrics, forecast_latest, stored_predictions, stored_bins, stored_drift, window_lookback, overwrite_table, merge_landing, table_columns, merge_insert_absent, upsert_scd1, delete_insert, quality_suite, quarantine_replay, constraint_tests, source_freshness, alerts, nearest_stations,
         guarded_sql, parse_stations, changed_batch, stream_bronze, stream_cdc,
     )
 }
