@@ -4,11 +4,14 @@ Only documents are labelled, so tokens get their labels first: a token of a toxi
 word or a beginning of it is found in toxic documents of the sample almost alone. The field has two tags, a weight for
 each pair of adjacent tags, and weights of the token's word and beginnings; it is fitted by gradient steps on its
 conditional likelihood (forward-backward over windows of tokens). Most tokens carry no weighted feature, and a stretch
-of them is one matrix power, so exact marginals need steps at the others alone.
+of them is one power of a matrix, which holds the sum of their marginals, too; so all tokens count exactly, and steps
+are needed at the others alone.
 
-A document's score is a logistic function, fitted on the sample, of the expected number of toxic tokens and of the
-largest marginal. A text that is null or has no token has neither, and gets the score of such documents. Without both
-labels in the sample every score is the share of label 1. Ties and repeated rows get equal scores.
+A document's score is a logistic function, fitted on the sample, of the expected number of toxic tokens among all of it
+and of the largest marginal of a token with features. The offending offsets are runs of adjacent tokens, with features
+or not, whose marginals reach a level. A text that is null or has no token has neither, and gets the score of such
+documents. Without both labels in the sample every score is the share of label 1. Ties and repeated rows get equal
+scores; an empty table gives an empty result, and columns but doc_id and text are never looked at.
 """
 
 from __future__ import annotations
@@ -52,6 +55,8 @@ class Field:
         self.powers: dict[int, np.ndarray] = {}
         plain = np.exp(self.pair) * np.exp([0.0, self.bias])
         self.step = plain / np.abs(np.linalg.eigvals(plain)).max()
+        #: Its g-th power has step^g twice, and above them the sum over k of 1..g of step^k E step^(g-k), E marking tag 1.
+        self.block = np.block([[self.step, self.step @ np.diag([0.0, 1.0])], [np.zeros((2, 2)), self.step]])
 
     def active(self, word: str) -> bool:
         return word in self.words or any(word[:n] in s for n, s in self.starts.items() if len(word) > n)
@@ -59,49 +64,98 @@ class Field:
     def weight(self, word: str) -> float:
         return self.bias + sum(self.own.get(f, 0.0) for f in features(word))
 
-    def over(self, gap: int) -> np.ndarray:
-        """The product of steps over `gap` tokens without features."""
+    def over(self, gap: int) -> tuple[np.ndarray, np.ndarray]:
+        """The product of steps over `gap` tokens without features, and the matrix that gives the sum of their marginals."""
         if gap not in self.powers:
             if len(self.powers) > 50_000:
                 self.powers.clear()
-            self.powers[gap] = np.linalg.matrix_power(self.step, gap)
+            told = np.linalg.matrix_power(self.block, gap)
+            self.powers[gap] = told[:2, :2].copy(), told[:2, 2:].copy()
         return self.powers[gap]
 
-    def marginals(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, stop, probability of tag 1) of each token with features, by exact forward-backward over all tokens."""
+    def _tokens(self, text: str) -> tuple[str, list[str], set[str]]:
+        """The lower-cased text, its tokens, and those of them with features."""
         low = text.lower()
         if len(low) != len(text):
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
         words = TOKEN.findall(low)
-        hot = {w for w in set(words) if self.active(w)}
-        if not hot:
-            return []
-        at = [k for k, w in enumerate(words) if w in hot]
-        spans = [m.span() for m in TOKEN.finditer(low) if m[0] in hot]
+        return low, words, {w for w in set(words) if self.active(w)}
+
+    def _passes(self, words: list[str], at: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The forward vectors after each token of `at` (and at the start), and the backward vectors there (and before the first)."""
         emit = np.exp(self.pair)
-        alphas, a, last = [], np.array([1.0, 0.0]), -1  # before the text the tag is 0
-        for k in at:
-            a = (a @ self.over(k - last - 1)) @ emit
-            a = a * np.exp([0.0, min(self.weight(words[k]), 500.0)])
-            a /= a.sum()
-            alphas.append(a)
+        alphas, last = [np.array([1.0, 0.0])], -1  # before the text the tag is 0
+        own = [np.exp([0.0, min(self.weight(words[k]), 500.0)]) for k in at]
+        for k, e in zip(at, own):
+            a = (alphas[-1] @ self.over(k - last - 1)[0]) @ emit * e
+            alphas.append(a / a.sum())
             last = k
-        out, b, after = [], np.ones(2), len(words)
-        for j in range(len(at) - 1, -1, -1):
-            b = self.over(after - at[j] - 1) @ b
-            b /= b.sum()
-            p = alphas[j] * b
-            out.append((*spans[j], float(p[1] / p.sum())))
-            b = emit @ (np.exp([0.0, min(self.weight(words[at[j]]), 500.0)]) * b)
-            after = at[j]
-        return out[::-1]
+        betas, after = [], len(words)
+        ahead = np.ones(2)  # what follows a stretch without features
+        for k, e in zip(at[::-1], own[::-1]):
+            b = self.over(after - k - 1)[0] @ ahead
+            betas.append(b / b.sum())
+            ahead = emit @ (e * betas[-1])
+            after = k
+        betas.append(self.over(after)[0] @ ahead)
+        return alphas, betas[::-1]
+
+    def marginals(self, text: str) -> list[tuple[int, int, float]]:
+        """(start, stop, probability of tag 1) of each token with features, by exact forward-backward over all tokens."""
+        return [x for x, _ in self._marked(text)[0]]
+
+    def _marked(self, text: str):
+        """Tokens with features as of `marginals` and their numbers; the tokens, and forward and backward vectors."""
+        low, words, hot = self._tokens(text)
+        at = [k for k, w in enumerate(words) if w in hot]
+        alphas, betas = self._passes(words, at)
+        spans = [m.span() for m in TOKEN.finditer(low) if m[0] in hot] if hot else []
+        told = []
+        for (start, stop), k, a, b in zip(spans, at, alphas[1:], betas[1:]):
+            p = a * b
+            told.append(((start, stop, float(p[1] / p.sum())), k))
+        return told, low, words, alphas, betas
+
+    def read(self, text: str, least: float) -> tuple[list[tuple[int, int, float]], float, float]:
+        """Runs of adjacent tokens with marginals of `least` or more (start, stop, the largest), the sum of all tokens' marginals, and the largest of those with features."""
+        told, low, words, alphas, betas = self._marked(text)
+        n, total, most = len(words), sum(p for (_, _, p), _ in told), max((p for (_, _, p), _ in told), default=0.0)
+        at = [-1, *(k for _, k in told), n]
+        over: dict[int, float] = {k: p for (_, _, p), k in told if p >= least}
+        for j, (left, right) in enumerate(zip(at, at[1:])):
+            gap = right - left - 1
+            if not gap:
+                continue
+            # The vector behind the stretch is the next token's share of the backward pass.
+            behind = np.ones(2) if right == n else np.exp(self.pair) @ (np.exp([0.0, min(self.weight(words[right]), 500.0)]) * betas[j + 1])
+            power, sums = self.over(gap)
+            total += float(alphas[j] @ sums @ behind / (alphas[j] @ power @ behind))
+            # Inside a stretch marginals fall from one end and rise to the other, so the search goes inward from both.
+            for inward in ((range(gap) if left >= 0 else ()), (range(gap - 1, -1, -1) if right < n else ())):
+                for k in inward:
+                    x = (alphas[j] @ self.over(k + 1)[0]) * (self.over(gap - k - 1)[0] @ behind)
+                    p = float(x[1] / x.sum())
+                    if p < least:
+                        break
+                    over[left + 1 + k] = p
+        if not over:
+            return [], total, most
+        places = [m.span() for m in TOKEN.finditer(low)]
+        runs: list[list] = []
+        for k in sorted(over):
+            if runs and runs[-1][3] == k - 1:
+                runs[-1][1:] = [places[k][1], max(runs[-1][2], over[k]), k]
+            else:
+                runs.append([*places[k], over[k], k])
+        return [(a, b, p) for a, b, p, _ in runs], total, most
 
     def score(self, text: str | None) -> float:
-        return self.of([p for _, _, p in self.marginals(text or "")])
+        _, total, most = self.read(text or "", 2.0)
+        return self.of(total, most)
 
-    def of(self, p: list[float]) -> float:
+    def of(self, total: float, most: float) -> float:
         a, b, c = self.doc
-        z = a + b * math.log1p(sum(p)) + c * max(p, default=0.0)
+        z = a + b * math.log1p(total) + c * most
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
@@ -194,8 +248,8 @@ def fit(rows: list[tuple[str, int]], share: float) -> Field:
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         w -= RATE * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
     it = Field(w[len(names) + 1 :].reshape(2, 2).copy(), float(w[len(names)]), {f: float(v) for f, v in zip(names, w) if abs(v) > 1e-3})
-    found = [[p for _, _, p in it.marginals(text)] for text, _ in rows]
-    x = np.array([[1.0, math.log1p(sum(p)), max(p, default=0.0)] for p in found])
+    found = [it.read(text, 2.0) for text, _ in rows]
+    x = np.array([[1.0, math.log1p(total), most] for _, total, most in found])
     label = np.array([v for _, v in rows], float)
     weight = np.where(label == 1, share / label.mean(), (1 - share) / (1 - label.mean()))
     v = np.zeros(3)
@@ -208,7 +262,7 @@ def fit(rows: list[tuple[str, int]], share: float) -> Field:
 
 
 def tag(docs: DataFrame, it: Field, least: float = 0.5) -> DataFrame:
-    """doc_id, score and the offending spans (start, stop, p) with a marginal of `least` or more."""
+    """doc_id, score and the offending spans (start, stop, p: the largest): runs of adjacent tokens with marginals of `least` or more."""
     told = docs.sparkSession.sparkContext.broadcast((it.pair, it.bias, it.own, it.doc))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("p", pa.float64())]))
 
@@ -216,9 +270,9 @@ def tag(docs: DataFrame, it: Field, least: float = 0.5) -> DataFrame:
         own = Field(*told.value)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [own.marginals(s) if s else [] for s in batch.column(1).to_pylist()]
-            scores = [own.of([p for _, _, p in x]) for x in found]
-            spans = [[{"start": a, "stop": b, "p": p} for a, b, p in x if p >= least] for x in found]
+            found = [own.read(s or "", least) for s in batch.column(1).to_pylist()]
+            scores = [own.of(total, most) for _, total, most in found]
+            spans = [[{"start": a, "stop": b, "p": p} for a, b, p in x] for x, _, _ in found]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "spans"])
 
         return work
