@@ -17,6 +17,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, teaches: Column, per_
     chosen = F.lit(False)
     for y, n in counts.items():
         chosen = chosen | (F.col("y") == y) & (place < per_class / n)
-    ids = known.filter(chosen).limit(int(2.2 * per_class))
+    ids = known.filter(chosen).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(int(2.2 * per_class))  # the same whatever the order of rows
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y").collect()
-    return [(r["text"] or "", r["y"]) for r in rows], counts.get(1, 0) / max(1, sum(counts.values()))
+    return sorted((r["text"] or "", r["y"]) for r in rows), counts.get(1, 0) / max(1, sum(counts.values()))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, stage
 
 RATE = 8000
 #: Samples of an audio packet.
@@ -189,7 +189,7 @@ def padded(text: str | None, unit: int = 192) -> tuple[int, bytes]:
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """Store each text of `df` (doc_id, text), read the stored bytes back and return what the media query asks for."""
+    """Write each text of `df` (doc_id, text) as media into the shared folder, read the stored bytes back and return what the media query asks for."""
 
     def make():
         def store(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -209,5 +209,5 @@ def digests(df: DataFrame) -> DataFrame:
 
         return back
 
-    stored = map_batches(df.select("doc_id", "text"), make, "doc_id long, n_bytes long, media binary")
+    stored = stage(map_batches(df.select("doc_id", "text"), make, "doc_id long, n_bytes long, media binary"), "media", compression="zstd")
     return map_batches(stored, make_back, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
