@@ -4,6 +4,9 @@ A table is a folder of immutable batches and a list of the folders that are live
 the next list, which must not exist yet: of two writers one wins and the other is told. Readers see one list's
 folders, so nothing that is read is ever overwritten. A change of a partitioned table rewrites the partitions that it
 touches and no others.
+
+That only one writer makes a list rests on the file system's create-without-overwrite, which is atomic on HDFS and local
+disks. On an object store without it, let one writer at a time change a table.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Names and order of columns, as the feed has them and as the layers are specified.
 _STATION = "STRUCT<station_id: BIGINT, stationCode: STRING, num_bikes_available: INT, num_bikes_available_types: ARRAY<MAP<STRING, INT>>, num_docks_available: INT, is_installed: INT, is_renting: INT, is_returning: INT, last_reported: BIGINT>"
 ENVELOPE = f"feed_last_updated BIGINT, fetched_at STRING, source STRING, station {_STATION}"
 STATUS_FEED = f"last_updated BIGINT, lastUpdatedOther BIGINT, data STRUCT<stations: ARRAY<{_STATION}>>"

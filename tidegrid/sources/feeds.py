@@ -71,7 +71,11 @@ def _get(url: str, timeout: float) -> tuple[int, bytes]:
 
 
 class StatusFeed(DataSource):
-    """S1 as a streaming source: `spark.readStream.format("station_status").option("url", ...)`; each batch is one poll."""
+    """S1 as a streaming source: `spark.readStream.format("station_status").option("url", ...)`; each batch is one poll.
+
+    At most once: the feed can't be asked for the past, so a poll that was planned and not done before a restart is lost
+    (the next one has the stations' state by then). For more, keep the documents (`keep_snapshot`) and read those.
+    """
 
     @classmethod
     def name(cls) -> str:
