@@ -107,9 +107,10 @@ class Profiles:
 def fit(docs: DataFrame, teaches: Column, per_language: int, top: int) -> Profiles:
     """Profiles from at most about `per_language` texts of each language that `teaches` marks (a bounded sample by a hash of doc_id)."""
     taught = docs.filter(teaches & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = taught.groupBy("lang").agg(F.count("*").alias("of"))
+    sizes = {r["lang"]: r["count"] for r in taught.groupBy("lang").count().collect()}  # a row a language
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    chosen = taught.join(sizes, "lang").filter(place < per_language / F.col("of"))
+    shares = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, per_language / n)]) if sizes else F.lit(None).cast("map<string,double>")
+    chosen = taught.filter(place < F.try_element_at(shares, F.col("lang")))
     texts: dict[str, list[str]] = {}
     for r in chosen.select("lang", "text").collect():
         texts.setdefault(r["lang"], []).append(r["text"])
