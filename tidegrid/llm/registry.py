@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import labels, language, ogg, pieces, quality, repeats, secret_scan, set_join, templates, token_files, toxic_spans
+from . import labels, language, ogg, pieces, quality, repeats, secret_scan, set_join, target_rates, templates, token_files, toxic_spans
 from .common import fold, table
 
 #: Most labelled texts of each label (and of each language) that a classifier is fitted on.
@@ -78,6 +78,10 @@ def op10_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_repeats, op3_pieces, op4_token_files, op5_language, op6_toxicity, op7_set_join, op8_quality, op9_ogg, op10_templates)}
+def op13_target_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_rates.encode(*(table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")))
 
-ORACLE_SQL: dict[str, str] = {"op10_templates": templates.sql()}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_repeats, op3_pieces, op4_token_files, op5_language, op6_toxicity, op7_set_join, op8_quality, op9_ogg, op10_templates, op13_target_rates)}
+
+ORACLE_SQL: dict[str, str] = {"op10_templates": templates.sql(), "op13_target_rates": target_rates.sql()}
