@@ -1,19 +1,16 @@
 """Time-ordered target encoding: what was returned before a line was sold, by the lines of other folds.
 
-Lines are pre-aggregated by sale, item and vendor and get their sale's time, client and fold. Each column's lines become
-key-time vectors: for a value of the column and a time, FOLDS counts of lines and FOLDS of returned ones (the folds
-pivoted into fixed places). Vectors of attributes (kind, nation, segment) are summed up from those of the ids that have
-them, those of all history from the kinds'.
-
-All vectors are put in one order by key and time and cut into chunks of about equal numbers of vectors, whatever their
-keys are, so a key of a third of all rows is spread over many chunks. A prefix scan runs in each chunk, a second one over
-the chunks' totals by key, and a vector's history is both together. A cut parts one key at most, so there are fewer
-carries than chunks. Each line is itself in the vector of its key and time; so the latest strictly earlier vector is the
-scan up to the row before, and the probe takes that total minus its own fold's part.
-
-Rates are worked out with the vectors, once for each fold, from all history over attributes to ids, and then looked up
-by key and time. Nothing is collected or hinted to be broadcast; joins on a hot key have plain exchanges on both sides,
-which the planner can split.
+Lines are pre-aggregated by sale, item and vendor and get their sale's time, client and fold. Times are cut into chunks
+of about equal numbers of lines. A chunk's lines of one value of a column make a vector of fixed width: FOLDS counts of
+lines and FOLDS of returned ones. A prefix scan over the chunks gives each value its vector of all earlier chunks; inside
+a chunk the vectors of each key and time are scanned in memory. Both together are the latest strictly earlier vector, and
+the probe takes its total minus its own fold's part. Attributes (kind, nation, segment) and all history are scanned in
+the same way, their vectors summed up from those of the ids that have them.
+
+A value's rows in the scan over chunks are as many as the chunks that have it, however hot it is. A time of more lines than
+a chunk should have (a hot sale) is a chunk of its own, and as its lines don't precede each other, they are dealt into
+as many parts as it would fill. So no task gets more than about a chunk of lines and the vectors of what they hold; only
+the chunks' bounds, some numbers for each partition, go through the driver.
 
 Null item_id and client_id become -1; null vendor_id is one value of its own. Lines without a sale (null sale_id, too) or
 whose sale has no time are dropped. Repeated lines count as often as they are there; so do lines of a repeated sale, once
@@ -26,22 +23,35 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, stage
+from .common import fold, map_batches, stage
 
 FOLDS = 5
 #: Rows of history that a prior counts for, and the first prior, of a million.
 WEIGHT = 50
 FIRST = 500_000
-COUNTS = [f"n{k}" for k in range(FOLDS)]
-RETURNED = [f"s{k}" for k in range(FOLDS)]
-VECTOR = COUNTS + RETURNED
-RATES = [f"r{k}" for k in range(FOLDS)]
-ITEM, VENDOR, CLIENT = range(3)
+#: Chunks for each of the session's shuffle partitions, so that tasks are even; and lines of a chunk at most, about.
+CHUNKS = 4
+LINES = 250_000
+VECTOR = [f"{c}{k}" for c in ("n", "s") for k in range(FOLDS)]
+KINDS = ITEM, VENDOR, CLIENT = range(3)
+NAMES = ("item", "vendor", "client")
 #: What a vector is of: all history, an attribute's value, an id.
 ALL, GROUP, ID = range(3)
+LINE = "sale_id long, item_id long, vendor_id long, client_id long, at long, fold int, n long, s long"
+OUT = "sale_id long, item_id long, vendor_id long, n_lines long, n_returned long, item_n long, item_rate long, vendor_n long, vendor_rate long, client_n long, client_rate long"
+
+
+def micros(df: DataFrame, name: str) -> Column:
+    """Microseconds of a time; of one without a zone in no zone at all."""
+    if dict(df.dtypes)[name] == "timestamp":
+        return F.unix_micros(name)
+    seconds = F.unix_date(F.to_date(name)) * F.lit(86_400).cast("long") + F.hour(name) * 3600 + F.minute(name) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), name) * 1_000_000).cast("long")
 
 
 def own_lines(lines: DataFrame, sales: DataFrame) -> DataFrame:
@@ -49,8 +59,8 @@ def own_lines(lines: DataFrame, sales: DataFrame) -> DataFrame:
     returned = F.count(F.when(F.col("flag") == "returned", 1))
     item = F.coalesce("item_id", F.lit(-1)).cast("long").alias("item_id")
     told = lines.filter("sale_id is not null").groupBy("sale_id", item, F.col("vendor_id").cast("long").alias("vendor_id")).agg(F.count("*").alias("n"), returned.alias("s"))
-    sold = sales.filter("sold_at is not null").select("sale_id", F.coalesce("client_id", F.lit(-1)).cast("long").alias("client_id"), F.col("sold_at").alias("at"), fold("sale_id", FOLDS).cast("int").alias("fold"))
-    return told.join(sold, "sale_id")
+    sold = sales.filter("sold_at is not null").select("sale_id", F.coalesce("client_id", F.lit(-1)).cast("long").alias("client_id"), micros(sales, "sold_at").alias("at"), fold("sale_id", FOLDS).cast("int").alias("fold"))
+    return told.join(sold, "sale_id").select(*[c.split()[0] for c in LINE.split(", ")])
 
 
 def _attributes(items: DataFrame, vendors: DataFrame, clients: DataFrame) -> DataFrame:
@@ -61,74 +71,108 @@ def _attributes(items: DataFrame, vendors: DataFrame, clients: DataFrame) -> Dat
     return told.groupBy("kind", "id").agg(F.min("grp").alias("grp"))
 
 
-def _sums(vectors: list[str] = VECTOR) -> list[Column]:
-    return [F.sum(c).alias(c) for c in vectors]
+def bounds(own: DataFrame, chunks: int) -> list[int]:
+    """Upper bounds of the chunks: quantiles of the lines' times. A time that fills several chunks is told as often."""
+    if chunks < 2:
+        return []
+    told = own.agg(F.percentile_approx("at", [k / chunks for k in range(1, chunks)], max(10_000, 20 * chunks))).first()[0]
+    return told or []
+
+
+def chunked(own: DataFrame, upper: list[int]) -> DataFrame:
+    """`own` with chunk and part: chunks are in the order of time; only a chunk of one time has more than one part."""
+    schema = LINE + ", chunk int, part int"
+
+    def make():
+        times, often = np.unique(np.array(upper, np.int64), return_counts=True)
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            at = batch.column("at").to_numpy()
+            k = np.searchsorted(times, at)
+            near = np.minimum(k, max(0, len(times) - 1))
+            parts = np.where((k < len(times)) & (times[near] == at), often[near], 1) if len(times) else np.ones(len(at), np.int64)
+            mixed = batch.column("item_id").to_numpy() * 7919 + batch.column("vendor_id").fill_null(-1).to_numpy() * 104_729 + batch.column("sale_id").to_numpy()
+            own = [pa.array((2 * k + (parts > 1)).astype(np.int32)), pa.array(((mixed ^ (mixed >> 7)) % parts).astype(np.int32))]
+            return pa.RecordBatch.from_arrays([*batch.columns, *own], [c.split()[0] for c in schema.split(", ")])
+
+        return work
+
+    return map_batches(own, make, schema)
 
 
-def vectors(lines: DataFrame, attributes: DataFrame) -> DataFrame:
-    """level, kind, grp, id, at and the counts by fold of each key and time."""
-    ways = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("id")) for k, c in ((ITEM, "item_id"), (VENDOR, "vendor_id"), (CLIENT, "client_id"))])
+def carried(dealt: DataFrame, attributes: DataFrame) -> DataFrame:
+    """chunk, part, level, kind, grp, id, and the vector of all earlier chunks, of all that the lines of that part hold."""
+    ways = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{name}_id").alias("id")) for k, name in enumerate(NAMES)])
     pivoted = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for c in ("n", "s") for k in range(FOLDS)]
-    ids = lines.select(F.inline(ways), "at", "fold", "n", "s").groupBy("kind", "id", "at").agg(*pivoted)
-    ids = stage(ids.join(attributes, ["kind", "id"], "left").select(F.lit(ID).alias("level"), "kind", "grp", "id", "at", *VECTOR), "ids")
-    nothing = F.lit(None).cast("long").alias("id")
-    groups = stage(ids.groupBy("kind", "grp", "at").agg(*_sums()).select(F.lit(GROUP).alias("level"), "kind", "grp", nothing, "at", *VECTOR), "groups")
-    whole = groups.filter(F.col("kind") == ITEM).groupBy("at").agg(*_sums()).select(F.lit(ALL).alias("level"), F.lit(ITEM).alias("kind"), F.lit(None).cast("string").alias("grp"), nothing, "at", *VECTOR)
-    return whole.unionByName(groups).unionByName(ids)
-
-
-def scanned(told: DataFrame, chunks: int) -> DataFrame:
-    """`told` with each vector replaced by the sum of its key's strictly earlier ones."""
-    key = ["level", "kind", "grp", "id"]
-    cut = stage(told.repartitionByRange(chunks, *key, "at").withColumn("chunk", F.spark_partition_id()), "chunks")
-    before = Window.partitionBy("chunk", *key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    inside = cut.select(*key, "at", "chunk", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in VECTOR])
-    totals = cut.groupBy("chunk", *key).agg(*_sums())
-    earlier = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select("chunk", *key, *[F.sum(c).over(earlier).alias(f"c_{c}") for c in VECTOR]).filter(f"c_{VECTOR[0]} is not null")
-    carried = stage(carried.toDF("its_chunk", *[f"its_{c}" for c in key], *[f"c_{c}" for c in VECTOR]), "carries")
-    same = F.col("chunk") == F.col("its_chunk")
-    for c in key:
-        same = same & F.col(c).eqNullSafe(F.col(f"its_{c}"))
-    return inside.join(carried, same, "left").select(*key, "at", *[(F.col(c) + F.coalesce(f"c_{c}", F.lit(0))).alias(c) for c in VECTOR])
-
-
-def _rates(priors: list[Column]) -> list[Column]:
-    """n and rate of each fold's probe: the total minus the own fold's part."""
-    out = []
-    for k in range(FOLDS):
-        n, s = (sum((F.col(c) for j, c in enumerate(names) if j != k), F.lit(0)) for names in (COUNTS, RETURNED))
-        parts = F.call_function("div", 1_000_000 * s + WEIGHT * priors[k], n + WEIGHT)
-        out += [n.cast("long").alias(f"n_{k}"), F.when(n < 1, priors[k]).otherwise(parts).cast("long").alias(RATES[k])]
-    return out
-
-
-def history(told: DataFrame) -> DataFrame:
-    """kind, id, at, n_0.. and r0..: how many lines of other folds were sold before, and their rate, for a probe of each fold."""
-    level = lambda k: told.filter(F.col("level") == k)
-    priors = [f"p{k}" for k in range(FOLDS)]
-    whole = level(ALL).select("at", *_rates([F.lit(FIRST)] * FOLDS)).select("at", *[F.col(r).alias(p) for r, p in zip(RATES, priors)])
-    groups = level(GROUP).join(whole, "at").select("kind", "grp", "at", *_rates([F.col(p) for p in priors]))
-    groups = groups.select(F.col("kind").alias("its_kind"), F.col("grp").alias("its_grp"), F.col("at").alias("its_at"), *[F.col(r).alias(p) for r, p in zip(RATES, priors)])
-    same = (F.col("kind") == F.col("its_kind")) & F.col("grp").eqNullSafe(F.col("its_grp")) & (F.col("at") == F.col("its_at"))
-    return level(ID).join(groups, same).select("kind", "id", "at", *_rates([F.col(p) for p in priors]))
+    ids = dealt.select(F.inline(ways), "chunk", "part", "fold", "n", "s").groupBy("kind", "id", "chunk", "part").agg(*pivoted)
+    ids = stage(ids.join(attributes, ["kind", "id"], "left").select("kind", "grp", "id", "chunk", "part", *VECTOR), "vectors")
+    sums = [F.sum(c).alias(c) for c in VECTOR]
+    groups = stage(ids.groupBy("kind", "grp", "chunk", "part").agg(*sums), "groups")
+    whole = groups.filter(F.col("kind") == ITEM).groupBy("chunk", "part").agg(*sums)
+
+    def before(df: DataFrame, level: int, *key: str) -> DataFrame:
+        w = Window.partitionBy(*key).orderBy("chunk").rangeBetween(Window.unboundedPreceding, -1)
+        there = [F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in (("kind", "int"), ("grp", "string"), ("id", "long"))]
+        return df.select("chunk", "part", F.lit(level).alias("level"), *there, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in VECTOR])
+
+    return before(ids, ID, "kind", "id").unionByName(before(groups, GROUP, "kind", "grp")).unionByName(before(whole, ALL))
+
+
+def _history(code: np.ndarray, at: np.ndarray, fold_of: np.ndarray, n: np.ndarray, s: np.ndarray, carry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n and s of other folds' lines of the same code, strictly earlier: the carry and the scan of the chunk's own vectors."""
+    rows = np.arange(len(code))
+    order = np.lexsort((at, code))
+    c, t, f = code[order], at[order], fold_of[order]
+    own = np.zeros((len(code), 2 * FOLDS), np.int64)
+    own[rows, f], own[rows, FOLDS + f] = n[order], s[order]
+    before = np.cumsum(own, axis=0) - own
+    new = np.concatenate(([True], c[1:] != c[:-1]))
+    later = new | np.concatenate(([True], t[1:] != t[:-1]))
+    first, key = (np.maximum.accumulate(np.where(x, rows, 0)) for x in (later, new))
+    told = carry[c] + before[first] - before[key]
+    out = np.empty((2, len(code)), np.int64)
+    out[0, order] = told[:, :FOLDS].sum(axis=1) - told[rows, f]
+    out[1, order] = told[:, FOLDS:].sum(axis=1) - told[rows, FOLDS + f]
+    return out[0], out[1]
+
+
+def _rate(n: np.ndarray, s: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    return np.where(n < 1, prior, (1_000_000 * s + WEIGHT * prior) // (n + WEIGHT))
+
+
+def _codes(values: pa.ChunkedArray, among: pa.ChunkedArray) -> np.ndarray:
+    """Places of `values` in `among`, nulls too."""
+    null = pa.compute.index(among.is_null(), True).as_py()
+    return pa.compute.index_in(values, value_set=among).fill_null(max(0, null)).to_numpy()
+
+
+def solved(lines: pa.Table, earlier: pa.Table) -> pa.Table:
+    """The result for a part's lines from the vectors that are carried to it."""
+    at, fold_of, n, s = (lines.column(c).to_numpy() for c in ("at", "fold", "n", "s"))
+    level, kind = earlier.column("level").to_numpy(), earlier.column("kind").fill_null(-1).to_numpy()
+    pick = lambda rows: earlier.filter(pa.array(rows))
+    vectors = lambda t: np.column_stack([t.column(c).to_numpy() for c in VECTOR])
+    whole = _rate(*_history(np.zeros(len(at), np.int64), at, fold_of, n, s, vectors(pick(level == ALL))), np.full(len(at), FIRST))
+    out = [lines.column(c) for c in ("sale_id", "item_id", "vendor_id", "n", "s")]
+    for k, name in enumerate(NAMES):
+        ids, groups = pick((level == ID) & (kind == k)), pick((level == GROUP) & (kind == k))
+        code = _codes(lines.column(f"{name}_id"), ids.column("id"))
+        group = _codes(ids.column("grp"), groups.column("grp"))[code]
+        prior = _rate(*_history(group, at, fold_of, n, s, vectors(groups)), whole)
+        its_n, its_s = _history(code, at, fold_of, n, s, vectors(ids))
+        out += [pa.array(its_n), pa.array(_rate(its_n, its_s, prior))]
+    return pa.table(out, names=[c.split()[0] for c in OUT.split(", ")])
 
 
 def encode(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame, chunks: int | None = None) -> DataFrame:
-    """sale_id, item_id, vendor_id, n_lines, n_returned, and n and rate of the history of item, vendor and client. chunks: by default the session's shuffle partitions."""
-    spark = lines.sparkSession
+    """sale_id, item_id, vendor_id, n_lines, n_returned, and n and rate of the history of item, vendor and client. chunks: by default CHUNKS for each shuffle partition, or as many as LINES asks for."""
     own = stage(own_lines(lines, sales), "lines")
     attributes = stage(_attributes(items, vendors, clients), "attributes")
-    told = stage(scanned(vectors(own, attributes), chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))), "scanned")
-    rates = stage(history(told), "rates")
-    out = own
-    for kind, name in ((ITEM, "item"), (VENDOR, "vendor"), (CLIENT, "client")):
-        its = rates.filter(F.col("kind") == kind).select(F.col("id").alias("its_id"), F.col("at").alias("its_at"), *[F.col(f"n_{k}").alias(f"its_n{k}") for k in range(FOLDS)], *[F.col(r).alias(f"its_{r}") for r in RATES])
-        pick = lambda c: F.element_at(F.array(*[F.col(f"its_{c}{k}") for k in range(FOLDS)]), F.col("fold") + 1)
-        met = out.join(its, F.col(f"{name}_id").eqNullSafe(F.col("its_id")) & (F.col("at") == F.col("its_at")))
-        out = met.select(*out.columns, pick("n").alias(f"{name}_n"), pick("r").alias(f"{name}_rate"))
-    figures = [F.col(f"{name}_{c}") for name in ("item", "vendor", "client") for c in ("n", "rate")]
-    return out.select("sale_id", "item_id", "vendor_id", F.col("n").alias("n_lines"), F.col("s").alias("n_returned"), *figures)
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunks or max(CHUNKS * parts, own.count() // LINES)
+    dealt = stage(chunked(own, bounds(own, chunks)).repartition(parts, "chunk", "part"), "dealt")
+    earlier = stage(carried(dealt, attributes), "carried")
+    return dealt.groupBy("chunk", "part").cogroup(earlier.groupBy("chunk", "part")).applyInArrow(solved, OUT)
 
 
 def sql() -> str:
