@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import labels, language, ogg, pieces, quality, repeats, secret_scan, set_join, target_rates, templates, token_files, toxic_spans, window_repeats
+from . import labels, language, lexical, ogg, pieces, quality, repeats, secret_scan, set_join, target_rates, templates, token_files, toxic_spans, window_repeats
 from .common import fold, table
 
 #: Most labelled texts of each label (and of each language) that a classifier is fitted on.
@@ -82,10 +82,14 @@ def op11_window_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_repeats.digests(table(spark, sf_dir, "documents"), 20)
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
 def op13_target_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_rates.encode(*(table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_repeats, op3_pieces, op4_token_files, op5_language, op6_toxicity, op7_set_join, op8_quality, op9_ogg, op10_templates, op11_window_repeats, op13_target_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_repeats, op3_pieces, op4_token_files, op5_language, op6_toxicity, op7_set_join, op8_quality, op9_ogg, op10_templates, op11_window_repeats, op12_lexical, op13_target_rates)}
 
-ORACLE_SQL: dict[str, str] = {"op10_templates": templates.sql(), "op13_target_rates": target_rates.sql()}
+ORACLE_SQL: dict[str, str] = {"op10_templates": templates.sql(), "op12_lexical": lexical.sql(), "op13_target_rates": target_rates.sql()}
