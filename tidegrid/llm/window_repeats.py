@@ -8,7 +8,7 @@ so a window that has a cell below two in some row is a single one, and all repea
 Second pass: only windows whose cells are all repeated go on. A task holds its own ones against each other and sends the
 earliest of equals alone, with 96 bits of hash, document and place, so even a window that every document has comes but
 once from each task. Buckets of hashes are solved exactly in sorted order: all of a group but its earliest occurrence
-start later than another. Places that start later are gathered by document and mark the words to remove.
+start later than another. Places that start later are gathered by parts of the documents and mark the words to remove.
 
 The sketch's cells follow the corpus, two or more for each word (by its bytes), up to CELLS a row; so its merged bits,
 ROWS * CELLS / 8 bytes at most (64 MB), are what is broadcast, at any size of corpus. Beyond that more single windows
@@ -43,7 +43,8 @@ BUCKET = 1 << 21
 _M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-FOUND = "bucket int, id long, mark long, data binary"
+FOUND = "bucket int, part int, data binary"
+_FIELDS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
 
 
 def _mix(h: np.ndarray, by: np.uint64 = _M[1]) -> np.ndarray:
@@ -197,18 +198,32 @@ def estimated(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return out
 
 
-def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """One binary value for each run of `data` (4-byte numbers) that ends at `ends`."""
-    offsets = np.concatenate(([0], 4 * ends)).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+def _named(ids: np.ndarray, marks: np.ndarray, places: np.ndarray) -> bytes:
+    """Sorted places in documents: the documents once, then to which each place belongs, and the places; compressed."""
+    new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])))
+    told = np.concatenate((ids[new].view(np.uint8), marks[new].view(np.uint8), new.astype(np.uint8), places.astype("<u4").view(np.uint8)))
+    return np.array([len(ids), int(new.sum())], "<u4").tobytes() + pa.compress(told.tobytes(), "zstd", asbytes=True)
 
 
-def _by_document(ids: np.ndarray, marks: np.ndarray, places: np.ndarray, bucket: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
-    """A row for each document with the places that start later."""
-    order = np.lexsort((places, marks, ids))
-    ids, marks, places = ids[order], marks[order], places[order].astype(np.uint32)
-    last = np.append(np.flatnonzero((ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])), len(ids) - 1) if len(ids) else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(bucket(ids[last]), pa.int32()), pa.array(ids[last]), pa.array(marks[last]), _binary(places, last + 1)], ["bucket", "id", "mark", "data"])
+def _unnamed(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, docs = (int(x) for x in np.frombuffer(data, "<u4", 2))
+    told = np.frombuffer(pa.decompress(data[8:], decompressed_size=16 * docs + 5 * n, codec="zstd", asbytes=True), np.uint8)
+    who = np.cumsum(told[16 * docs : 16 * docs + n].astype(np.int64)) - 1
+    return told[: 8 * docs].view(np.int64)[who], told[8 * docs : 16 * docs].view(np.int64)[who], told[16 * docs + n :].copy().view("<u4").astype(np.int64)
+
+
+def part_of(ids: np.ndarray, marks: np.ndarray, parts: int) -> np.ndarray:
+    """In which part of the documents each one is; copies of a text are in many."""
+    return np.mod(ids ^ marks, parts)
+
+
+def _by_part(ids: np.ndarray, marks: np.ndarray, places: np.ndarray, parts: int, buckets: int) -> pa.RecordBatch:
+    """A row for each part of the documents, with the places that start later."""
+    part = part_of(ids, marks, parts)
+    order = np.lexsort((places, marks, ids, part))
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    told = [{"bucket": k % buckets, "part": k, "data": _named(*(x[order[a:b]] for x in (ids, marks, places)))} for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
+    return pa.RecordBatch.from_pylist(told, _FIELDS)
 
 
 def _later(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, marks: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,40 +243,31 @@ def _later(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, marks: np.ndarray, p
 
 
 def _blob(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, marks: np.ndarray, places: np.ndarray) -> bytes:
-    """A bucket's occurrences by columns, compressed: documents first, then who, at, h2 and h1."""
+    """A bucket's occurrences: 96 bits of hash, document and place of each."""
     order = np.lexsort((places, marks, ids))
-    h1, h2, ids, marks, places = (x[order] for x in (h1, h2, ids, marks, places))
-    new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])))
-    who = np.cumsum(new) - 1
-    small = np.concatenate((ids[new].view(np.uint8), marks[new].view(np.uint8), np.diff(who, prepend=0).astype(np.uint8), places.astype("<u4").view(np.uint8)))
-    head = np.array([len(h1), int(new.sum()), len(small)], "<u4").tobytes()
-    return head + pa.compress(small.tobytes(), "zstd", asbytes=True) + h2.astype("<u4").tobytes() + h1.tobytes()
+    return len(h1).to_bytes(4, "little") + h2[order].astype("<u4").tobytes() + h1[order].tobytes() + _named(ids[order], marks[order], places[order])
 
 
 def _unblob(data: bytes) -> tuple[np.ndarray, ...]:
-    n, docs, size = (int(x) for x in np.frombuffer(data, "<u4", 3))
-    tail = len(data) - 12 * n
-    small = np.frombuffer(pa.decompress(data[12:tail], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
-    ids, marks = small[: 8 * docs].view(np.int64), small[8 * docs : 16 * docs].view(np.int64)
-    who = np.cumsum(small[16 * docs : 16 * docs + n].astype(np.int64))
-    return np.frombuffer(data, "<u8", n, tail + 4 * n), np.frombuffer(data, "<u4", n, tail), ids[who], marks[who], small[16 * docs + n :].copy().view("<u4").astype(np.int64)
+    n = int.from_bytes(data[:4], "little")
+    return np.frombuffer(data, "<u8", n, 4 + 4 * n), np.frombuffer(data, "<u4", n, 4), *_unnamed(data[4 + 12 * n :])
 
 
-def candidates(size: int, bits: Callable[[], np.ndarray], buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Turns documents into blobs of their windows that may be repeated, earliest of each task, by bucket; and places known to start later (mark of the row: id and mark not null)."""
+def candidates(size: int, bits: Callable[[], np.ndarray], buckets: int, parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Turns documents into blobs of their windows that may be repeated, earliest of each task, by bucket (part null); and the places known to start later, by part."""
 
     def told(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
         h1, h2, ids, marks, places = (np.concatenate(x) for x in zip(*held))
         first, later = _later(h1, h2, ids, marks, places)
-        yield _by_document(ids[later], marks[later], places[later], lambda ids: np.abs(ids % buckets))
+        yield _by_part(ids[later], marks[later], places[later], parts, buckets)
         bucket = (_mix(h1[first], _M[0]) >> np.uint64(33)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
         for k in range(buckets):
             if len(own := first[order[ends[k] : ends[k + 1]]]):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([_blob(*(x[own] for x in (h1, h2, ids, marks, places)))], pa.binary())], ["bucket", "id", "mark", "data"])
+                yield pa.RecordBatch.from_pylist([{"bucket": k, "part": None, "data": _blob(*(x[own] for x in (h1, h2, ids, marks, places)))}], _FIELDS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, n = bits(), [], 0
@@ -281,44 +287,50 @@ def candidates(size: int, bits: Callable[[], np.ndarray], buckets: int) -> Calla
     return run
 
 
-def solved(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Turns whole buckets into rows of documents with places that start later."""
-    blobs = []
-    for batch in _rows_of(batches, 1024):
-        passed = batch.filter(batch.column("id").is_valid())
-        if passed.num_rows:
-            yield passed
-        blobs += [_unblob(data) for data in batch.filter(batch.column("id").is_null()).column("data").to_pylist()]
-    if blobs:
-        columns = [np.concatenate(x) for x in zip(*blobs)]
-        del blobs
-        _, later = _later(*columns)
-        ids, marks, places = (x[later] for x in columns[2:])
-        yield _by_document(ids, marks, places, lambda ids: np.zeros(len(ids), np.int32))
-
-
-def _removed(n: int, size: int, places: list[bytes] | None) -> np.ndarray:
-    marks = np.zeros(n + 1, np.int64)
-    for part in places or ():
-        at = np.frombuffer(part, "<u4").astype(np.int64)
-        np.add.at(marks, at, 1)
-        np.add.at(marks, at + size, -1)
+def solved(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Turns whole buckets into places that start later, by part of the documents."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = []
+        for batch in _rows_of(batches, 1024):
+            known = batch.column("part").is_valid()
+            yield batch.filter(known)
+            blobs += [_unblob(data) for data in batch.filter(pa.compute.invert(known)).column("data").to_pylist()]
+        if blobs:
+            columns = [np.concatenate(x) for x in zip(*blobs)]
+            del blobs
+            _, later = _later(*columns)
+            yield _by_part(*(x[later] for x in columns[2:]), parts, 1)
+
+    return run
+
+
+def _removed(n: int, size: int, places: np.ndarray) -> np.ndarray:
+    marks = np.bincount(places, minlength=n + 1)[: n + 1] - np.bincount(places + size, minlength=n + 1)[: n + 1]
     return np.cumsum(marks)[:n] > 0
 
 
-def _kept(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in _rows_of(batches):
-        out = []
-        for text, places in zip(_texts(batch), batch.column("places").to_pylist()):
-            words = (text or b"").split()  # bytes know these six blanks only
-            gone = _removed(len(words), size, places) if places else None
-            kept = [w for w, g in zip(words, gone.tolist()) if not g] if places else words
-            out.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string()))]], ["doc_id", "n_words", "n_removed", "kept"]) if out else _none()
+OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
-def _none() -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([], pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
+def _kept(docs: pa.Table, later: pa.Table, size: int) -> pa.Table:
+    """A part's documents without the words of windows that start later."""
+    told = [np.concatenate(x) for x in zip(*map(_unnamed, later.column("data").to_pylist()))] if later.num_rows else [np.zeros(0, np.int64)] * 3
+    order = np.lexsort((told[1], told[0]))
+    ids, marks, places = (x[order] for x in told)
+    new = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])))) if len(ids) else np.zeros(0, np.int64)
+    of = {(ids[a], marks[a]): (a, b) for a, b in zip(new.tolist(), np.append(new[1:], len(ids)).tolist())}
+    out = []
+    for batch in _rows_of(docs.to_batches()):
+        rows = []
+        for text, key in zip(_texts(batch), zip(batch.column("id").to_pylist(), batch.column("mark").to_pylist())):
+            words = kept = (text or b"").split()  # bytes know these six blanks only
+            if key in of:
+                gone = _removed(len(words), size, places[slice(*of[key])])
+                kept = [w for w, g in zip(words, gone.tolist()) if not g]
+            rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
+        out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, f.type) for x, f in zip(zip(*rows), list(OUT)[1:])]], schema=OUT))
+    return pa.Table.from_batches(out, OUT)
 
 
 def remove(docs: DataFrame, size: int = SIZE, most_cells: int = CELLS) -> DataFrame:
@@ -329,12 +341,12 @@ def remove(docs: DataFrame, size: int = SIZE, most_cells: int = CELLS) -> DataFr
     cells = 1 << min(max(16, (there // 3 - 1).bit_length() if there > 3 else 0), most_cells.bit_length() - 1)
     shared = spark.sparkContext.broadcast(sketch(rows, size, cells))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), there // 6 // BUCKET)
+    parts = 4 * buckets + 1
     keyed = rows.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("mark"), "doc_id", "text")
-    sent = keyed.select("id", "mark", "text").mapInArrow(candidates(size, lambda: shared.value, buckets), FOUND)
-    later = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(solved, FOUND)
-    gathered = later.groupBy(F.col("id").alias("its_id"), F.col("mark").alias("its_mark")).agg(F.collect_list("data").alias("places"))
-    met = keyed.join(gathered, (F.col("id") == F.col("its_id")) & (F.col("mark") == F.col("its_mark")), "left")
-    return met.select("doc_id", "text", "places").mapInArrow(lambda batches: _kept(batches, size), "doc_id long, n_words long, n_removed long, kept string")
+    sent = keyed.select("id", "mark", "text").mapInArrow(candidates(size, lambda: shared.value, buckets, parts), FOUND)
+    later = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(solved(parts), FOUND).select("part", "data")
+    dealt = keyed.withColumn("part", F.pmod(F.col("id").bitwiseXOR(F.col("mark")), F.lit(parts)).cast("int"))
+    return dealt.groupBy("part").cogroup(later.groupBy("part")).applyInArrow(lambda docs, places: _kept(docs, places, size), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digests(docs: DataFrame, size: int = SIZE) -> DataFrame:
