@@ -6,8 +6,6 @@ Readings come from `events` (k in props: bikes, the rest of 99: docks), stations
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import date, datetime, timedelta
 
@@ -18,9 +16,10 @@ from pyspark.sql import types as T
 from ..functions.calendar import dim_date, dim_hour, holidays
 from ..operators import asof, quality, refine, serving
 from ..operators.tables import Table
+from ..session import kept, work_dir
 from ..sources import feeds
 from ..streaming import ingest
-from . import features, forecast, gold, jobs, model_jobs
+from . import boosting, features, forecast, gold, jobs, model_jobs
 
 AS_OF = datetime(2024, 1, 31)
 NOW_EPOCH = 1_706_659_200  # AS_OF
@@ -36,14 +35,6 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("double" if isinstance(t, T.DecimalType) else "timestamp_ntz" if isinstance(t, T.TimestampType) else t).alias(c) for c, t in kinds.items()])
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset and all runs on this machine."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if not told and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{told}/tables-{uuid.uuid4().hex}" if told else "file://" + tempfile.mkdtemp(prefix="tables-")
-
-
 def events(spark: SparkSession, d: str) -> DataFrame:
     k = F.from_json("props", "k INT").getField("k")
     return load(spark, d, "events").select("event_id", F.col("user_id").alias("station_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", k.alias("k"))
@@ -247,13 +238,6 @@ def psi(spark, d):
     return features.drift(ref, _order_values(spark, d, "new")).withColumn("psi", F.round("psi", 9))
 
 
-def kept(spark, df: DataFrame) -> DataFrame:
-    """`df` written and read again: for what is used more than once."""
-    path = work_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drift_features(spark, d):
     """The last week against the weeks before it."""
     rows = kept(spark, feature_rows(spark, d, False).select("heure_fin", *features.MONITORED))
@@ -278,6 +262,14 @@ def forecast_latest(spark, d):
     return plain(forecast.predict(trained.model, feature_rows(spark, d, False), "trees", "1", AS_OF).drop("predicted_at"))
 
 
+def forecast_search(spark, d):
+    """M7 with its whole search: the newest hour's predictions, and how the model did on the test part against persistence."""
+    trained = boosting.train(feature_rows(spark, d))
+    told = forecast.predict(trained.model, feature_rows(spark, d, False), "boosted", "1", AS_OF)
+    figures = [F.lit(trained.point["trials"]).alias("trials"), F.lit(round(trained.baseline_mae, 6)).alias("baseline_mae"), F.lit(trained.test_mae <= trained.baseline_mae + 1e-9).alias("not_worse")]
+    return plain(told.select("station_id", "feature_time", "target_time", F.col("predicted_bikes").between(0, 99).alias("in_range"), *figures))
+
+
 class _Half:
     """Stands for a model: half as many again as now, which capacities cut off."""
 
@@ -286,11 +278,11 @@ class _Half:
 
 
 def stored_predictions(spark, d):
-    """Predictions of two hours, the first stored again by another version."""
+    """Predictions of two hours, the first by two versions, of which one is stored twice."""
     store, h, s = model_jobs.Store(spark, work_dir(spark)), kept(spark, hours(spark, d)), dims(spark, d)
-    for at, version in ((datetime(2024, 1, 20), "1"), (datetime(2024, 1, 25), "1"), (datetime(2024, 1, 20), "2")):
+    for at, version in ((datetime(2024, 1, 20), "1"), (datetime(2024, 1, 25), "1"), (datetime(2024, 1, 20), "2"), (datetime(2024, 1, 20), "1")):
         model_jobs.predict_run(h, s, store, at, model=_Half(), version=version)
-    return plain(store.predictions.read().drop("predicted_at"))
+    return plain(store.predictions.read().drop("predicted_at", "target_date"))
 
 
 def stored_bins(spark, d):
@@ -304,14 +296,18 @@ def stored_bins(spark, d):
 
 
 def stored_drift(spark, d):
-    """Drift against stored bins at two times, and the summary of each."""
+    """Drift against stored bins at two times, at the second by two models, one of which runs twice; and each run's own summary."""
     store, h, s = model_jobs.Store(spark, work_dir(spark)), kept(spark, hours(spark, d)), dims(spark, d)
-    rows = model_jobs.rows_of(h, s, AS_OF, False).filter(F.col("heure_fin") < F.lit(AS_OF - timedelta(days=7)).cast("timestamp"))
-    model_jobs.store_bins(store, rows, "m", "1")
-    told = [(at, model_jobs.drift_job(h, s, store, at, "m", "1", 72, 0.001)) for at in (AS_OF - timedelta(days=4), AS_OF)]
-    largest = spark.createDataFrame([(at, x["max_psi"]) for at, x in told], "computed_at timestamp, max_psi double")
-    rows = store.drift.read().filter("feature = 'velos_t0'").join(largest, "computed_at")
-    return plain(rows.select("computed_at", "feature", F.round("psi", 6).alias("psi"), "is_drift", "n_current", (F.col("max_psi") >= F.col("psi")).alias("max_is_most")))
+    rows = kept(spark, model_jobs.rows_of(h, s, AS_OF, False))
+    for name, days in (("m", 7), ("other", 21)):
+        model_jobs.store_bins(store, rows.filter(F.col("heure_fin") < F.lit(AS_OF - timedelta(days=days)).cast("timestamp")), name, "1")
+    runs = ((AS_OF - timedelta(days=4), "m"), (AS_OF, "m"), (AS_OF, "other"), (AS_OF, "m"))
+    told = {(at, name): model_jobs.drift_job(h, s, store, at, name, "1", 72, 0.001)["max_psi"] for at, name in runs}
+    largest = spark.createDataFrame([(*k, v) for k, v in told.items()], "computed_at timestamp, model_name string, max_psi double")
+    stored = store.drift.read()
+    most = stored.groupBy("computed_at", "model_name").agg(F.max("psi").alias("most"))
+    rows = stored.filter("feature = 'velos_t0'").join(largest, ["computed_at", "model_name"]).join(most, ["computed_at", "model_name"])
+    return plain(rows.select("computed_at", "model_name", "feature", F.round("psi", 6).alias("psi"), "is_drift", "n_current", (F.col("max_psi") == F.col("most")).alias("max_is_own")))
 
 
 def window_lookback(spark, d):
@@ -327,10 +323,11 @@ def overwrite_table(spark, d):
 
 
 def merge_landing(spark, d):
-    """Two landings of which the second holds other values for the first's readings; each passes the gate and its checks are kept."""
+    """Two landings of which the second holds other values for the first's readings, and comes twice; each passes the gate, and its checks are kept once."""
     store, house = model_jobs.Store(spark, work_dir(spark)), jobs.Warehouse(Table(spark, work_dir(spark)), None, None, None)
     rows = status(spark, d).dropDuplicates(["station_id", "last_reported"])
-    landed = [model_jobs.quality_job(part, house, store, AS_OF) for part in (rows.filter("num_bikes_available < 50"), rows.withColumn("num_bikes_available", F.col("num_bikes_available") + 1))]
+    parts = (rows.filter("num_bikes_available < 50"), AS_OF), *[(rows.withColumn("num_bikes_available", F.col("num_bikes_available") + 1), AS_OF + timedelta(hours=1))] * 2
+    landed = [model_jobs.quality_job(part, house, store, at) for part, at in parts]
     n = store.quality.read().count()
     return plain(house.status.read().select("station_id", "last_reported", "num_bikes_available", F.lit(n).cast("long").alias("n_checks"), F.lit(all(landed)).alias("all_merged")))
 
@@ -463,7 +460,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         critical_stations, rank_empty_full, bronze_projection, parse_json, reject_reason, reject_counts, known_flag_join, silver, dedup_latest, map_array_sum, dim_hour_query, dim_date_query, dim_station_zone, holiday_left_join,
         fact_availability, reading_intervals, latest_state, state_classification, hourly_forward_fill, hourly_fill_by_grid, hourly_grid, hourly_incremental, zone_hourly, hourly_profile, time_shift_lags, feature_matrix, temporal_split,
-        decile_edges, bin_shares, psi, drift_features, prediction_vs_actual, baseline_metrics, forecast_latest, stored_predictions, stored_bins, stored_drift, window_lookback, overwrite_table, merge_landing, table_columns, merge_insert_absent, upsert_scd1, delete_insert, quality_suite, quarantine_replay, constraint_tests, source_freshness, alerts, nearest_stations,
+        decile_edges, bin_shares, psi, drift_features, prediction_vs_actual, baseline_metrics, forecast_latest, forecast_search, stored_predictions, stored_bins, stored_drift, window_lookback, overwrite_table, merge_landing, table_columns, merge_insert_absent, upsert_scd1, delete_insert, quality_suite, quarantine_replay, constraint_tests, source_freshness, alerts, nearest_stations,
         guarded_sql, parse_stations, changed_batch, stream_bronze, stream_cdc,
     )
 }

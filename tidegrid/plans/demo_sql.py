@@ -137,20 +137,27 @@ _SUITE = " UNION ALL ".join((
 ))
 
 _HALF = "least(99.0::DOUBLE, greatest(0.0::DOUBLE, velos_t0 * 1.5 - 10))"
-_PREDICTED = " UNION ALL ".join(f"SELECT station_id, heure_fin AS feature_time, target_time, {_HALF} AS predicted_bikes, 'availability' AS model_name, '{v}' AS model_version FROM ft WHERE heure_fin = (SELECT max(heure_fin) FROM ft WHERE heure_fin <= TIMESTAMP '{at}')" for at, v in (("2024-01-20", "2"), ("2024-01-25", "1")))
+_PREDICTED = " UNION ALL ".join(f"SELECT station_id, heure_fin AS feature_time, target_time, {_HALF} AS predicted_bikes, 'availability' AS model_name, '{v}' AS model_version FROM ft WHERE heure_fin = (SELECT max(heure_fin) FROM ft WHERE heure_fin <= TIMESTAMP '{at}')" for at, v in (("2024-01-20", "1"), ("2024-01-20", "2"), ("2024-01-25", "1")))
 _BINNED = " UNION ALL ".join(f"""SELECT '{v}' AS model_version, CAST(k.k AS INTEGER) AS k, round(max(k.e), 6) AS edge, round(count(x.velos_t0) / max(k.n)::DOUBLE, 6) AS share FROM (
     SELECT unnest(range(len(edges) - 1)) AS k, unnest(edges[:len(edges) - 1]) AS e, edges, n FROM (SELECT list_sort(list_distinct(quantile_cont(velos_t0, [{_POINTS}]))) AS edges, count(*) AS n FROM ft WHERE heure_fin < TIMESTAMP '{day}')) k
     LEFT JOIN (SELECT velos_t0 FROM ft WHERE heure_fin < TIMESTAMP '{day}') x ON (k.k = 0 OR x.velos_t0 >= k.e) AND (k.k = len(k.edges) - 2 OR x.velos_t0 < k.edges[k.k + 2]) GROUP BY k.k""" for v, day in (("1", "2024-01-24"), ("2", "2024-01-10")))
-_OLD = "(SELECT velos_t0 AS v FROM ft WHERE heure_fin < TIMESTAMP '2024-01-24')"
-_DRIFTS = " UNION ALL ".join(f"""SELECT TIMESTAMP '{at}' AS computed_at, 'velos_t0' AS feature, round(p, 6) AS psi, p > 0.001 AS is_drift, CAST(n AS INTEGER) AS n_current, true AS max_is_most FROM (
+_OLD = "(SELECT velos_t0 AS v FROM ft WHERE heure_fin < TIMESTAMP '{old}')"
+_DRIFTS = " UNION ALL ".join(f"""SELECT TIMESTAMP '{at}' AS computed_at, '{name}' AS model_name, 'velos_t0' AS feature, round(p, 6) AS psi, p > 0.001 AS is_drift, CAST(n AS INTEGER) AS n_current, true AS max_is_own FROM (
     SELECT max(nn) AS n, sum((greatest(b / nn, 1e-4) - greatest(a / an, 1e-4)) * ln(greatest(b / nn, 1e-4) / greatest(a / an, 1e-4))) AS p FROM (
-        SELECT k.k, (SELECT count(*) FROM {_OLD} WHERE (k.k = 0 OR v >= k.e) AND (k.last OR v < k.f))::DOUBLE AS a, (SELECT count(*) FROM {_OLD})::DOUBLE AS an,
+        SELECT k.k, (SELECT count(*) FROM {_OLD.format(old=old)} WHERE (k.k = 0 OR v >= k.e) AND (k.last OR v < k.f))::DOUBLE AS a, (SELECT count(*) FROM {_OLD.format(old=old)})::DOUBLE AS an,
             (SELECT count(*) FROM (SELECT velos_t0 AS v FROM ft WHERE heure_fin BETWEEN TIMESTAMP '{at}' - INTERVAL 72 HOUR AND TIMESTAMP '{at}') WHERE (k.k = 0 OR v >= k.e) AND (k.last OR v < k.f))::DOUBLE AS b,
             (SELECT count(*) FROM ft WHERE heure_fin BETWEEN TIMESTAMP '{at}' - INTERVAL 72 HOUR AND TIMESTAMP '{at}')::DOUBLE AS nn
         FROM (SELECT unnest(range(len(edges) - 1)) AS k, unnest(edges[:len(edges) - 1]) AS e, unnest(edges[2:]) AS f, unnest(range(len(edges) - 1)) = len(edges) - 2 AS last FROM (
-            SELECT list_sort(list_distinct(quantile_cont(v, [{_POINTS}]))) AS edges FROM {_OLD})) k))""" for at in ("2024-01-27", "2024-01-31"))
+            SELECT list_sort(list_distinct(quantile_cont(v, [{_POINTS}]))) AS edges FROM {_OLD.format(old=old)})) k))""" for at, name, old in (("2024-01-27", "m", "2024-01-24"), ("2024-01-31", "m", "2024-01-24"), ("2024-01-31", "other", "2024-01-10")))
+_FORECAST = f"""SELECT station_id, heure_fin AS feature_time, target_time, true AS in_range, CAST(15 AS INTEGER) AS trials, (SELECT round(avg(abs(velos_t0 - velos_cible)), 6) FROM held) AS baseline_mae, true AS not_worse FROM ft WHERE heure_fin = (SELECT max(heure_fin) FROM ft)"""
+_HELD = {
+    "told": "SELECT heure_fin, velos_t0, velos_cible FROM ft WHERE velos_cible IS NOT NULL",
+    "ranked": "SELECT heure_fin, row_number() OVER (ORDER BY heure_fin DESC) AS n, count(*) OVER () AS o FROM (SELECT DISTINCT heure_fin FROM told)",
+    "held": "SELECT * FROM told WHERE heure_fin >= (SELECT heure_fin FROM ranked WHERE n = greatest(1, CAST(round_even(o * 0.2, 0) AS INTEGER)))",
+}
 
 ORACLE_SQL: dict[str, str] = {
+    "forecast_search": _with(("h", "s"), _FORECAST, **_FEATURES, **_HELD),
     "stored_predictions": _with(("h", "s"), _PREDICTED, **_FEATURES),
     "stored_bins": _with(("h", "s"), _BINNED, **_FEATURES),
     "stored_drift": _with(("h", "s"), _DRIFTS, **_FEATURES),

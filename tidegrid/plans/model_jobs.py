@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import holidays
 from ..operators.tables import Table
-from . import features, forecast, jobs
+from . import boosting, features, forecast, jobs
 
-RUNS = "model_name string, model_version string, trained_at timestamp, depth int, rounds int, rate double, test_mae double, test_rmse double, baseline_mae double, gain_pct double, champion_mae double, promoted boolean"
+RUNS = "model_name string, model_version string, trained_at timestamp, depth int, rounds int, rate double, params string, test_mae double, test_rmse double, baseline_mae double, gain_pct double, champion_mae double, promoted boolean"
 #: Days of history that a model learns from.
 HISTORY_DAYS = 60
 
 
 class Store:
-    """Tables below one shared folder: runs, champion, bins (by model and version), predictions, drift, quality; and the models."""
+    """Tables below one shared folder: runs, champion, bins (by model and version), predictions, drift and quality (by day); and the models."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.runs, self.champion = Table(spark, f"{path}/runs"), Table(spark, f"{path}/champion")
         self.bins = Table(spark, f"{path}/bins", ("model_name", "model_version"))
-        self.predictions = Table(spark, f"{path}/predictions")
-        self.drift, self.quality = Table(spark, f"{path}/drift"), Table(spark, f"{path}/quality")
+        self.predictions = Table(spark, f"{path}/predictions", ("target_date",))
+        self.drift, self.quality = Table(spark, f"{path}/drift", ("computed_date",)), Table(spark, f"{path}/quality", ("checked_date",))
 
     def champion_of(self, name: str) -> str | None:
         """M8: the version that holds the alias."""
@@ -36,10 +37,17 @@ class Store:
     def model_path(self, name: str, version: str) -> str:
         return f"{self.path}/models/{name}/{version}"
 
+    def save_model(self, model, name: str, version: str) -> None:
+        path = self.model_path(name, version)
+        boosting.save(self.spark, model, f"{path}.json") if isinstance(model, boosting.Forest) else model.write().overwrite().save(path)
+
     def model(self, name: str, version: str):
         from pyspark.ml import PipelineModel
 
-        return PipelineModel.load(self.model_path(name, version))
+        path = self.model_path(name, version)
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}.json")
+        boosted = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+        return boosting.load(self.spark, f"{path}.json") if boosted else PipelineModel.load(path)
 
 
 def rows_of(hours: DataFrame, stations: DataFrame, as_of: datetime, with_target: bool, days: float = HISTORY_DAYS) -> DataFrame:
@@ -61,28 +69,29 @@ def store_bins(store: Store, learn: DataFrame, name: str, version: str) -> None:
     store.bins.overwrite_partitions(told.select("feature", "bin_edges", "bin_shares", F.lit(name).alias("model_name"), F.lit(version).alias("model_version")))
 
 
-def train_run(hours: DataFrame, stations: DataFrame, store: Store, as_of: datetime, name: str = "availability", version: str = "1", grid=forecast.GRID) -> TrainRun | None:
+def train_run(hours: DataFrame, stations: DataFrame, store: Store, as_of: datetime, name: str = "availability", version: str = "1", grid=None, trials: int = boosting.TRIALS) -> TrainRun | None:
     """M7, M8: search and fit, hold the new model against the champion on the same test part, store model, run and bins.
 
-    Ties go to the new model, which then is the champion. None if there are too few hours.
+    Ties go to the new model, which then is the champion. None if there are too few hours. Without a grid (depth, rounds
+    and rate of `forecast.train`) the parameters are searched by `boosting.train`.
     """
     data = rows_of(hours, stations, as_of, True).persist()
     try:
-        trained = forecast.train(data, grid)
+        trained = forecast.train(data, grid) if grid else boosting.train(data, trials)
         if trained is None:
             return None
-        rows = forecast.filled(data.dropna(subset=[features.TARGET, "velos_t0"]))
+        rows = data.dropna(subset=[features.TARGET, "velos_t0"])
         learn, test = features.temporal_split(rows)
         old = store.champion_of(name)
         champion = None
         if old is not None:
-            told = store.model(name, old).transform(test).withColumn("prediction", F.greatest("prediction", F.lit(0.0)))
+            told = forecast.applied(store.model(name, old), test).withColumn("prediction", F.greatest("prediction", F.lit(0.0)))
             champion = forecast.metrics(told, features.TARGET, "prediction").first()["mae"]
         promoted = forecast.promote(trained.test_mae, champion)
-        trained.model.write().overwrite().save(store.model_path(name, version))
+        store.save_model(trained.model, name, version)
         store_bins(store, learn, name, version)
-        depth, rounds, rate = trained.point
-        row = (name, version, as_of, depth, rounds, float(rate), trained.test_mae, trained.test_rmse, trained.baseline_mae, float(trained.gain_pct), champion, promoted)
+        depth, rounds, rate = trained.point if grid else (None, trained.point["rounds"], trained.point["learning_rate"])
+        row = (name, version, as_of, depth, rounds, float(rate), None if grid else json.dumps(trained.point), trained.test_mae, trained.test_rmse, trained.baseline_mae, float(trained.gain_pct), champion, promoted)
         store.runs.append(store.spark.createDataFrame([row], RUNS))
         if promoted:
             store.champion.upsert(store.spark.createDataFrame([(name, version)], "model_name string, model_version string"), ("model_name",))
@@ -92,8 +101,8 @@ def train_run(hours: DataFrame, stations: DataFrame, store: Store, as_of: dateti
 
 
 def store_predictions(store: Store, told: DataFrame) -> dict[str, float | int]:
-    """Predictions by station, target hour and model in place of older ones; how many, and their mean."""
-    store.predictions.upsert(told, ("station_id", "target_time", "model_name"))
+    """Predictions by station, target hour, model and version in place of older ones; how many, and their mean. Versions stay beside each other, to be compared."""
+    store.predictions.upsert(told.withColumn("target_date", F.to_date("target_time")), ("station_id", "target_time", "model_name", "model_version"))
     one = told.agg(F.count("*").alias("n"), F.avg("predicted_bikes").alias("mean")).first()
     return {"rows": one["n"], "mean_prediction": one["mean"]}
 
@@ -108,21 +117,24 @@ def predict_run(hours: DataFrame, stations: DataFrame, store: Store, at: datetim
 
 
 def drift_job(hours: DataFrame, stations: DataFrame, store: Store, at: datetime, name: str = "availability", version: str | None = None, hours_back: int = 24, threshold: float = 0.2) -> dict[str, object] | None:
-    """Drift of the last hours against the stored bins, appended; the largest score and the features that drift. None without bins."""
+    """Drift of the last hours against the stored bins, a run's rows in place of those of the same model, version and time; that run's largest score and the features that drift. None without bins."""
     version, bins = version or store.champion_of(name), store.bins.read()
     if version is None or bins is None:
         return None
     own = bins.filter((F.col("model_name") == name) & (F.col("model_version") == version)).select("feature", "bin_edges", "bin_shares")
     told = jobs.drift_run(hours, stations, own, at, hours_back, threshold)
-    told = told.withColumns({"model_name": F.lit(name), "model_version": F.lit(version), "computed_at": F.lit(at).cast("timestamp")})
-    store.drift.append(told)
-    now = store.drift.read().filter(F.col("computed_at") == F.lit(at).cast("timestamp"))
+    when = F.lit(at).cast("timestamp")
+    told = told.withColumns({"model_name": F.lit(name), "model_version": F.lit(version), "computed_at": when, "computed_date": F.to_date(when)})
+    store.drift.upsert(told, ("model_name", "model_version", "computed_at", "feature"))
+    now = store.drift.read().filter((F.col("computed_date") == F.to_date(when)) & (F.col("computed_at") == when) & (F.col("model_name") == name) & (F.col("model_version") == version))
     one = now.agg(F.max("psi").alias("most"), F.sort_array(F.collect_set(F.when(F.col("is_drift"), F.col("feature")))).alias("which")).first()  # one row a monitored feature
     return {"max_psi": one["most"], "drifting": one["which"]}
 
 
 def quality_job(landing: DataFrame, warehouse: jobs.Warehouse, store: Store, now: datetime) -> bool:
-    """Q-6, K14, K7: run the suite, append its results, merge if no critical check fails; says whether it merged."""
+    """Q-6, K14, K7: run the suite, store its results (a run again at the same time stores them once), merge if no critical check fails; says whether it merged."""
     results, ok = jobs.merge_landing(landing, warehouse, now)
-    store.quality.append(results.withColumn("checked_at", F.lit(now).cast("timestamp")))
+    when = F.lit(now).cast("timestamp")
+    numbered = results.withColumns({"n": F.row_number().over(Window.partitionBy("expectation", "column_name").orderBy("severity", "element_count")), "checked_at": when, "checked_date": F.to_date(when)})  # a dozen checks
+    store.quality.upsert(numbered, ("checked_at", "expectation", "column_name", "n"))
     return ok

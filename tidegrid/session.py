@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Instants are stored in UTC; rows are dealt anew at run time; RocksDB holds streaming state.
 SETTINGS = {
@@ -17,3 +20,18 @@ SETTINGS = {
 def build(app: str = "tidegrid", master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset and all runs on this machine."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if not told and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{told}/tables-{uuid.uuid4().hex}" if told else "file://" + tempfile.mkdtemp(prefix="tables-")
+
+
+def kept(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """`df` written and read again: for what is used more than once."""
+    path = work_dir(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
