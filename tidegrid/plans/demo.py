@@ -9,15 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import dim_date, dim_hour, holidays
 from ..operators import asof, quality, refine, serving
 from ..operators.tables import Table
+from ..schemas import MESSAGE
 from ..session import kept, work_dir
-from ..sources import feeds
+from ..sources import feeds, topic
 from ..streaming import ingest
 from . import boosting, features, forecast, gold, jobs, model_jobs
 
@@ -455,12 +456,54 @@ def stream_cdc(spark, d):
     return spark.read.schema("station_id bigint, last_reported bigint, seq bigint, value string").parquet(f"{out}/changes")
 
 
+def _topic(spark, d) -> str:
+    """Messages by time in two batches, in four partitions of which the last gets none."""
+    rows = messages(spark, d)
+    half = F.lit(datetime(2024, 1, 16)).cast("timestamp")
+    where, out = work_dir(spark), work_dir(spark)
+    for k, part in enumerate((F.col("timestamp") < half, F.col("timestamp") >= half)):
+        rows.filter(part).repartition(3, "partition").sortWithinPartitions("timestamp", "offset").write.parquet(f"{where}/{k}")
+        stream = spark.readStream.schema(MESSAGE).option("recursiveFileLookup", True).parquet(where)
+        topic.produce(stream.select("key", "value", "timestamp", "partition"), f"{out}/station_status", f"{out}/checkpoint", 4, "producer", {"availableNow": True}).awaitTermination()
+    return f"{out}/station_status"
+
+
+def topic_newest(spark, d):
+    """S12 on a topic that K1 wrote."""
+    return plain(topic.newest(spark, _topic(spark, d), 4))
+
+
+def topic_messages(spark, d):
+    """All of the topic's messages, and their offsets: each partition's are the numbers from 0 on, in the order of time."""
+    rows = topic.messages(spark, _topic(spark, d), 4).withColumn("raw", F.col("value").cast("string"))
+    by_time = F.row_number().over(Window.partitionBy("partition").orderBy("timestamp", "offset")) - 1
+    told = rows.withColumn("in_order", by_time == F.col("offset"))
+    return plain(told.select(F.col("key").cast("string").alias("key"), "raw", "partition", "timestamp", "topic", "in_order"))
+
+
+def feed_log(spark, d):
+    """A document for each day, polled by a query that is stopped in the middle and started again."""
+    rows = events(spark, d).withColumn("n", F.datediff("ts", F.lit("2024-01-01")))
+    station = F.struct("station_id", F.col("k").alias("num_bikes_available"))
+    documents = rows.groupBy("n").agg(F.to_json(F.struct(F.lit(5).alias("last_updated"), F.struct(F.collect_list(station).alias("stations")).alias("data"))).alias("value"))
+    docs, out = work_dir(spark), work_dir(spark)
+    documents.repartitionByRange("n").write.partitionBy("n").text(docs)
+    spark.dataSource.register(feeds.LoggedFeed)
+    for polls in (4, 1000):
+        feed = spark.readStream.format("station_status_log").options(url=f"{docs}/n={{poll}}", log=f"{out}/log", polls=str(polls)).load()
+        query = feed.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").start(f"{out}/rows")
+        query.processAllAvailable()
+        query.stop()
+    told = spark.read.schema("key string, value string, polled bigint").parquet(f"{out}/rows")
+    return told.select("key", "polled", F.from_json("value", "station STRUCT<num_bikes_available: INT>").getField("station").getField("num_bikes_available").alias("bikes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__.removesuffix("_query"): f
     for f in (
         critical_stations, rank_empty_full, bronze_projection, parse_json, reject_reason, reject_counts, known_flag_join, silver, dedup_latest, map_array_sum, dim_hour_query, dim_date_query, dim_station_zone, holiday_left_join,
         fact_availability, reading_intervals, latest_state, state_classification, hourly_forward_fill, hourly_fill_by_grid, hourly_grid, hourly_incremental, zone_hourly, hourly_profile, time_shift_lags, feature_matrix, temporal_split,
         decile_edges, bin_shares, psi, drift_features, prediction_vs_actual, baseline_metrics, forecast_latest, forecast_search, stored_predictions, stored_bins, stored_drift, window_lookback, overwrite_table, merge_landing, table_columns, merge_insert_absent, upsert_scd1, delete_insert, quality_suite, quarantine_replay, constraint_tests, source_freshness, alerts, nearest_stations,
-        guarded_sql, parse_stations, changed_batch, stream_bronze, stream_cdc,
+        guarded_sql, parse_stations, changed_batch, stream_bronze, stream_cdc, topic_newest, topic_messages, feed_log,
     )
 }

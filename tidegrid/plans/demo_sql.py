@@ -157,6 +157,9 @@ _HELD = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "topic_newest": "SELECT CAST(p AS INTEGER) AS partition, count(user_id) AS high, max(ts) AS newest_at FROM (SELECT unnest(range(4)) AS p) LEFT JOIN events ON user_id % 3 = p GROUP BY p",
+    "topic_messages": _with(("r",), "SELECT CAST(station_id AS VARCHAR) AS key, raw_json AS raw, CAST(station_id % 3 AS INTEGER) AS partition, releve_at AS timestamp, 'station_status' AS topic, true AS in_order FROM m", m=_MESSAGE),
+    "feed_log": _with(("r",), "SELECT CAST(station_id AS VARCHAR) AS key, CAST(date_diff('day', DATE '2024-01-01', CAST(releve_at AS DATE)) AS BIGINT) AS polled, k AS bikes FROM r"),
     "forecast_search": _with(("h", "s"), _FORECAST, **_FEATURES, **_HELD),
     "stored_predictions": _with(("h", "s"), _PREDICTED, **_FEATURES),
     "stored_bins": _with(("h", "s"), _BINNED, **_FEATURES),

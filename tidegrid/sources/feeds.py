@@ -5,13 +5,16 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..schemas import STATION_FEED, STATUS_FEED
+from . import topic
 
 
 class FeedError(ValueError):
@@ -48,11 +51,15 @@ def serialize(value: object) -> bytes:
 
 def fetch(url: str, timeout: float = 15, tries: int = 5, backoff: float = 2, get: Callable[[str, float], tuple[int, bytes]] | None = None, sleep: Callable[[float], None] = time.sleep) -> tuple[int | None, list[dict]]:
     """One poll, tried again on 429 and 5xx with growing pauses. `get` returns status and body."""
+    return parse_status(json.loads(answered(url, timeout, tries, backoff, get, sleep)))
+
+
+def answered(url: str, timeout: float = 15, tries: int = 5, backoff: float = 2, get: Callable[[str, float], tuple[int, bytes]] | None = None, sleep: Callable[[float], None] = time.sleep) -> bytes:
     get = get or _get
     for k in range(tries + 1):
         status, body = get(url, timeout)
         if status == 200:
-            return parse_status(json.loads(body))
+            return body
         if status != 429 and status < 500 or k == tries:
             raise FeedError(f"status {status}")
         sleep(backoff * 2**k)
@@ -109,6 +116,89 @@ class _Poll(SimpleDataSourceStreamReader):
         self.seen = {k: v for k, v in self.seen.items() if k >= end["polls"]}
 
 
+class LoggedFeed(DataSource):
+    """S1 as a source that survives: `format("station_status_log")` with `url` and `log`, a shared folder.
+
+    A poll's document is in the log before its offset is told. So a batch that was planned and not done comes again after a
+    restart, with the same rows, and no poll is lost. `url` may have {poll}, the poll's number, and may be a file or folder
+    of any file system; one that isn't there is no poll.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "station_status_log"
+
+    def schema(self) -> str:
+        return "key string, value string, polled bigint"
+
+    def streamReader(self, schema):
+        return _Logged(self.options)
+
+
+@dataclass
+class _PolledDocument(InputPartition):
+    number: int
+
+
+class _Logged(DataSourceStreamReader):
+    def __init__(self, options: dict):
+        self.url, self.log, self.timeout, self.most = options["url"], options["log"], float(options.get("timeout", 15)), int(options.get("polls", 1 << 62))
+
+    def _next(self) -> int:
+        system, root = topic.opened(self.log)
+        told = topic.names(system, root)
+        return 1 + max((int(x.rpartition("/")[2].removesuffix(".json")) for x in told), default=-1)
+
+    def initialOffset(self) -> dict:
+        return {"polls": 0}
+
+    def latestOffset(self) -> dict:
+        n = self._next()
+        url = self.url.replace("{poll}", str(n))
+        if n >= self.most or (body := _document(url, self.timeout)) is None:
+            return {"polls": n}
+        updated, stations = parse_status(json.loads(body))
+        system, root = topic.opened(self.log)
+        told = {"feed_last_updated": updated, "fetched_at": datetime.now().astimezone().isoformat(), "stations": stations}
+        topic.put(system, f"{root}/{n:012d}.json", json.dumps(told))
+        return {"polls": n + 1}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_PolledDocument(k) for k in range(start["polls"], end["polls"])]
+
+    def read(self, own: _PolledDocument):
+        system, root = topic.opened(self.log)
+        with system.open_input_stream(f"{root}/{own.number:012d}.json") as f:
+            told = json.loads(f.read())
+        for s in told["stations"]:
+            if s.get("station_id") is not None:
+                value = {"feed_last_updated": told["feed_last_updated"], "fetched_at": told["fetched_at"], "source": "station_status", "station": s}
+                yield str(s["station_id"]), serialize(value).decode(), own.number
+
+    def commit(self, end: dict) -> None:
+        """Documents of done batches go, but for the last: the next number comes from it."""
+        system, root = topic.opened(self.log)
+        for x in topic.names(system, root)[:-1]:
+            if int(x.rpartition("/")[2].removesuffix(".json")) < end["polls"] - 1:
+                system.delete_file(x)
+
+
+def _document(url: str, timeout: float) -> bytes | None:
+    """A feed's document: tried again as `fetch` does; or a file, or a folder's files, None if there is none."""
+    if url.startswith("http"):
+        return answered(url, timeout)
+    system, path = topic.opened(url)
+    info = system.get_file_info(path)
+    if info.type == fs.FileType.NotFound:
+        return None
+    files = [path] if info.type == fs.FileType.File else [x for x in topic.names(system, path, "") if not x.rpartition("/")[2].startswith(("_", "."))]
+    out = []
+    for x in files:
+        with system.open_input_stream(x) as f:
+            out.append(f.read())
+    return b"".join(out)
+
+
 def keep_snapshot(spark: SparkSession, body: str, root: str, at: datetime) -> str:
     """The document as it came, in a dated folder. Returns its path."""
     path = f"{root}/snapshot_date={at:%Y-%m-%d}/station_information_{at:%H%M%S}.json"
