@@ -18,7 +18,7 @@ from ..operators import asof, quality, refine, serving
 from ..operators.tables import Table
 from ..schemas import MESSAGE
 from ..session import kept, work_dir
-from ..sources import feeds, topic
+from ..sources import feeds, jdbc, topic
 from ..streaming import ingest
 from . import boosting, features, forecast, gold, jobs, model_jobs
 
@@ -498,12 +498,73 @@ def feed_log(spark, d):
     return told.select("key", "polled", F.from_json("value", "station STRUCT<num_bikes_available: INT>").getField("station").getField("num_bikes_available").alias("bikes"))
 
 
+def jdbc_round_trip(spark, d):
+    """Stations go to a database and come back by ranges, and their ids say which events are known. The database lies in this JVM."""
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("the embedded database serves one JVM only")
+    url, properties = jdbc.embedded()
+    rows = load(spark, d, "customer").select(F.col("c_custkey").alias("station_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    for part in ("station_id % 3 = 0", "station_id % 3 = 1"):
+        jdbc.append(rows.filter(part), url, "stations", properties, parts=4, types="name VARCHAR(100), segment VARCHAR(100)")
+    known = jdbc.known_stations(spark, url, "stations", properties)
+    told = jdbc.scan(spark, url, 'SELECT * FROM stations WHERE "segment" <> \'BUILDING\'', "station_id", 6, properties)
+    flagged = refine.with_known_flag(events(spark, d).select("event_id", "station_id"), known)
+    return flagged.join(told, "station_id", "left").select("event_id", "is_known_station", "name", "segment")
+
+
+def stream_unique(spark, d):
+    """T3 in a stream of daily files: readings come again ten minutes later (once), three days later with a new time (twice), or with the old one (too late)."""
+    rows = events(spark, d).select("station_id", F.col("ts").alias("last_reported"), F.col("ts").alias("kafka_timestamp"), "k")
+    later = lambda when, **by: rows.filter(when).withColumn("kafka_timestamp", F.col("kafka_timestamp") + F.make_dt_interval(**by))
+    day = F.to_date("kafka_timestamp")
+    sent = rows.withColumn("day", day).unionByName(later("k % 2 = 0", mins=F.lit(10)).withColumn("day", day)).unionByName(later("k % 5 = 0", days=F.lit(3)).withColumn("day", day))
+    sent = sent.unionByName(rows.filter("k % 7 = 0").withColumn("day", F.date_add(day, 3)))
+    sent, where, out = kept(spark, sent), work_dir(spark), work_dir(spark)
+    days = [r[0] for r in sent.select("day").distinct().orderBy("day").collect()]  # a row for each day
+    for one in days:
+        sent.filter(F.col("day") == F.lit(one)).drop("day").coalesce(1).write.parquet(f"{where}/{one}")
+    stream = spark.readStream.schema("station_id bigint, last_reported timestamp, kafka_timestamp timestamp, k int").options(recursiveFileLookup=True, maxFilesPerTrigger=1).parquet(where)
+    unique = ingest.unique_readings(stream).select("station_id", "last_reported")
+    unique.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return plain(spark.read.schema("station_id bigint, last_reported timestamp").parquet(f"{out}/rows"))
+
+
+def stream_gauges(spark, d):
+    """T4: figures of a query over four files, one a batch."""
+    rows, where, out = messages(spark, d), work_dir(spark), work_dir(spark)
+    for k in range(4):
+        rows.filter(F.col("offset") % 4 == k).coalesce(1).write.mode("append").parquet(where)
+    gauges, name = ingest.Gauges(), f"gauges_{abs(hash(out))}"
+    spark.streams.addListener(gauges)
+    try:
+        ingest.write_bronze(ingest.source(spark, "files", where, per_trigger=1), f"{out}/bronze", f"{out}/checkpoint", {"availableNow": True}, name=name).awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    finally:
+        spark.streams.removeListener(gauges)
+    last = gauges.of[name]
+    told = (gauges.rows[name], gauges.batches[name], last["behind"], last["batch_ms"] >= 0 and last["out_per_s"] >= 0)
+    return spark.createDataFrame([told], "n_rows long, n_batches int, n_behind int, has_rates boolean")
+
+
+def _commune(lat: float, lon: float) -> tuple[str | None, str | None]:
+    n = round((lat - 48) * 1000)
+    return (None, None) if n % 10 == 0 else (f"Commune {n % 90}", str(92000 + n % 90))
+
+
+def geocode_places(spark, d):
+    """Each place once, and the second time none."""
+    answers, rows = Table(spark, work_dir(spark)), stations(spark, d).select("station_id", "lat", "lon").filter("station_id % 11 <> 0")
+    feeds.geocode_pooled(rows.filter("station_id % 2 = 0"), answers, _commune)
+    told = feeds.geocode_pooled(rows, answers, _commune)
+    return told.select("station_id", "commune", "code_insee", F.lit(answers.read().count()).cast("long").alias("n_asked"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__.removesuffix("_query"): f
     for f in (
         critical_stations, rank_empty_full, bronze_projection, parse_json, reject_reason, reject_counts, known_flag_join, silver, dedup_latest, map_array_sum, dim_hour_query, dim_date_query, dim_station_zone, holiday_left_join,
         fact_availability, reading_intervals, latest_state, state_classification, hourly_forward_fill, hourly_fill_by_grid, hourly_grid, hourly_incremental, zone_hourly, hourly_profile, time_shift_lags, feature_matrix, temporal_split,
         decile_edges, bin_shares, psi, drift_features, prediction_vs_actual, baseline_metrics, forecast_latest, forecast_search, stored_predictions, stored_bins, stored_drift, window_lookback, overwrite_table, merge_landing, table_columns, merge_insert_absent, upsert_scd1, delete_insert, quality_suite, quarantine_replay, constraint_tests, source_freshness, alerts, nearest_stations,
-        guarded_sql, parse_stations, changed_batch, stream_bronze, stream_cdc, topic_newest, topic_messages, feed_log,
+        guarded_sql, parse_stations, changed_batch, stream_bronze, stream_cdc, topic_newest, topic_messages, feed_log, jdbc_round_trip, stream_unique, stream_gauges, geocode_places,
     )
 }

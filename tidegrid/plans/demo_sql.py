@@ -84,14 +84,15 @@ _REASON = "SELECT p.*, CASE WHEN k <= 5 THEN 'json_invalide_ou_station_id_absent
 
 
 def _lags(source: str, value: str, names: dict[str, int], columns: str) -> str:
-    one = "LEFT JOIN (SELECT station_id, heure_fin + to_hours({k}) AS at, {v} FROM {s}) j{i} ON j{i}.station_id = a.station_id AND j{i}.at = a.heure_fin"
-    joins = " ".join(one.format(s=source, v=value, k=k, i=i) for i, k in enumerate(names.values()))
-    return f"SELECT {columns}, {', '.join(f'j{i}.{value} AS {n}' for i, n in enumerate(names))} FROM {source} a {joins}"
+    """The value k hours before, in one pass: a window of that one hour by the hour's number (hours of a station are there once)."""
+    frame = lambda k: f"{abs(k)} {'PRECEDING' if k > 0 else 'FOLLOWING'}"
+    told = ", ".join(f"max({value}) OVER (PARTITION BY station_id ORDER BY hour_number RANGE BETWEEN {frame(k)} AND {frame(k)}) AS {n}" for n, k in names.items())
+    return f"SELECT {columns}, {told} FROM (SELECT *, epoch_us(heure_fin) // 3600000000 AS hour_number FROM {source}) a"
 
 
 _FEATURES = {
     "hx": "SELECT h.station_id, heure_fin, CAST(velos_disponibles AS DOUBLE) AS v, velos_electriques, rate, latitude, longitude, est_paris FROM h JOIN s ON s.station_id = h.station_id WHERE tenths <= 14400 AND heure_fin BETWEEN TIMESTAMP '2024-01-01' AND " + AS_OF,
-    "hl": _lags("hx", "v", {"l1": 1, "l2": 2, "l23": 23, "l167": 167, "nx": -1}, "a.*"),
+    "hl": _lags("hx", "v", {"l1": 1, "l2": 2, "l23": 23, "l167": 167, "nx": -1}, "a.* EXCLUDE (hour_number)"),
     "ft": """SELECT station_id, heure_fin, heure_fin + INTERVAL 1 HOUR AS target_time, CAST(extract(hour FROM heure_fin + INTERVAL 2 HOUR) AS DOUBLE) AS heure_cible, CAST(isodow(heure_fin + INTERVAL 2 HOUR) - 1 AS DOUBLE) AS jour_semaine_cible, CAST(CAST(isodow(heure_fin + INTERVAL 2 HOUR) >= 6 AS INTEGER) AS DOUBLE) AS est_weekend_cible, 0.0::DOUBLE AS est_ferie_cible,
         v AS velos_t0, l1 AS velos_lag_1h, l2 AS velos_lag_2h, l23 AS velos_cible_moins_24h, l167 AS velos_cible_moins_7j, (v + coalesce(l1, 0) + coalesce(l2, 0)) / CAST(1 + CAST(l1 IS NOT NULL AS INTEGER) + CAST(l2 IS NOT NULL AS INTEGER) AS DOUBLE) AS moyenne_3h, v - l1 AS tendance_1h, CASE WHEN v > 0 THEN CAST(velos_electriques AS DOUBLE) / v ELSE 0.0::DOUBLE END AS part_electriques,
         rate / 10000.0::DOUBLE AS taux_remplissage_t0, 99.0::DOUBLE AS capacite, latitude, longitude, CAST(CAST(est_paris AS INTEGER) AS DOUBLE) AS est_paris, nx AS velos_cible FROM hl""",
@@ -157,6 +158,10 @@ _HELD = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "jdbc_round_trip": "SELECT event_id, user_id % 3 <> 2 AS is_known_station, c_name AS name, c_mktsegment AS segment FROM events LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 2 AND c_mktsegment <> 'BUILDING') ON c_custkey = user_id",
+    "stream_unique": _with(("r",), "SELECT * FROM x UNION ALL SELECT DISTINCT station_id, releve_at FROM r WHERE k % 5 = 0", x="SELECT DISTINCT station_id, releve_at AS last_reported FROM r"),
+    "stream_gauges": "SELECT count(*) AS n_rows, CAST(4 AS INTEGER) AS n_batches, CAST(0 AS INTEGER) AS n_behind, true AS has_rates FROM events",
+    "geocode_places": _with(("st",), "SELECT station_id, CASE WHEN n % 10 <> 0 THEN 'Commune ' || CAST(n % 90 AS VARCHAR) END AS commune, CASE WHEN n % 10 <> 0 THEN CAST(92000 + n % 90 AS VARCHAR) END AS code_insee, (SELECT count(*) FROM (SELECT DISTINCT latitude, longitude FROM st WHERE station_id % 11 <> 0)) AS n_asked FROM (SELECT station_id, CAST(round((latitude - 48) * 1000) AS BIGINT) AS n FROM st WHERE station_id % 11 <> 0)"),
     "topic_newest": "SELECT CAST(p AS INTEGER) AS partition, count(user_id) AS high, max(ts) AS newest_at FROM (SELECT unnest(range(4)) AS p) LEFT JOIN events ON user_id % 3 = p GROUP BY p",
     "topic_messages": _with(("r",), "SELECT CAST(station_id AS VARCHAR) AS key, raw_json AS raw, CAST(station_id % 3 AS INTEGER) AS partition, releve_at AS timestamp, 'station_status' AS topic, true AS in_order FROM m", m=_MESSAGE),
     "feed_log": _with(("r",), "SELECT CAST(station_id AS VARCHAR) AS key, CAST(date_diff('day', DATE '2024-01-01', CAST(releve_at AS DATE)) AS BIGINT) AS polled, k AS bikes FROM r"),
@@ -195,7 +200,7 @@ ORACLE_SQL: dict[str, str] = {
     "hourly_incremental": _with(("h",), "SELECT station_id, heure_debut, velos_disponibles, tenths / 10.0::DOUBLE AS minutes_depuis_releve FROM h WHERE heure_debut >= TIMESTAMP '2024-01-19 21:00:00'"),
     "zone_hourly": _with(("h", "s"), f"SELECT heure_debut, date_id, heure_locale AS heure, zone, commune, est_paris, count(*) AS nb_stations, CAST(sum(velos_disponibles) AS BIGINT) AS velos_disponibles, CAST(sum(velos_mecaniques) AS BIGINT) AS velos_mecaniques, CAST(sum(velos_electriques) AS BIGINT) AS velos_electriques, CAST(sum(bornes_libres) AS BIGINT) AS bornes_libres, {_half_up('sum(rate)', 'count(*)', 1)} / 10000.0::DOUBLE AS taux_remplissage_moyen, count(*) FILTER (WHERE velos_disponibles = 0) AS nb_stations_vides, count(*) FILTER (WHERE bornes_libres = 0) AS nb_stations_pleines FROM h JOIN s ON s.station_id = h.station_id GROUP BY ALL"),
     "hourly_profile": _with(("h", "s"), f"SELECT h.station_id, nom_station, zone, type_jour, heure_locale AS heure, {_half_up('sum(rate)', 'count(*)', 1)} / 10000.0::DOUBLE AS taux_remplissage_moyen, {_half_up('sum(velos_disponibles)', 'count(*)', 100)} AS velos_disponibles_moyen, {_half_up('sum(velos_mecaniques)', 'count(*)', 100)} AS velos_mecaniques_moyen, {_half_up('sum(velos_electriques)', 'count(*)', 100)} AS velos_electriques_moyen, count(*) AS nb_heures_observees FROM h JOIN dd ON dd.date_id = h.date_id JOIN s ON s.station_id = h.station_id GROUP BY h.station_id, nom_station, zone, type_jour, heure_locale", dd=_days()),
-    "time_shift_lags": _with(("h",), _lags("hx", "velos_disponibles", {"lag_1": 1, "lag_2": 2, "lag_23": 23, "lag_167": 167, "next_1": -1}, "a.*"), hx="SELECT station_id, heure_fin, velos_disponibles FROM h WHERE station_id % 7 <> 0 OR extract(hour FROM heure_debut) <> 5"),
+    "time_shift_lags": _with(("h",), _lags("hx", "velos_disponibles", {"lag_1": 1, "lag_2": 2, "lag_23": 23, "lag_167": 167, "next_1": -1}, "a.* EXCLUDE (hour_number)"), hx="SELECT station_id, heure_fin, velos_disponibles FROM h WHERE station_id % 7 <> 0 OR extract(hour FROM heure_debut) <> 5"),
     "feature_matrix": _with(("h", "s"), "SELECT * REPLACE (round(moyenne_3h, 6) AS moyenne_3h, round(part_electriques, 6) AS part_electriques, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude) FROM ft", **_FEATURES),
     "temporal_split": _with(("h",), "SELECT count(*) AS n, max(heure_fin) AS newest, CASE WHEN heure_fin < (SELECT c FROM cut) THEN 'train' ELSE 'test' END AS part FROM h GROUP BY 3", x="SELECT heure_fin, row_number() OVER (ORDER BY heure_fin DESC) AS n, count(*) OVER () AS o FROM (SELECT DISTINCT heure_fin FROM h)", cut="SELECT heure_fin AS c FROM x WHERE n = greatest(1, CAST(round_even(o * 0.2, 0) AS INTEGER))"),
     "decile_edges": "SELECT 'o_totalprice' AS feature, CAST(k AS INTEGER) AS k, round(e, 4) AS edge FROM (SELECT unnest(range(11)) AS k, unnest(quantile_cont(o_totalprice, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS e FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01')",

@@ -47,7 +47,7 @@ class _LastSeen(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
-        whole = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        whole = pd.concat(list(rows)).sort_values("seq", kind="stable")  # a key's rows of one batch
         keep = []
         for now in whole["last_reported"]:
             now = None if pd.isna(now) else int(now)
@@ -86,6 +86,7 @@ class Gauges(StreamingQueryListener):
     def __init__(self) -> None:
         self.of: dict[str, dict] = {}
         self.rows: dict[str, int] = {}
+        self.batches: dict[str, int] = {}
 
     def onQueryStarted(self, event) -> None:
         self.rows.setdefault(str(event.name or event.id), 0)
@@ -94,6 +95,7 @@ class Gauges(StreamingQueryListener):
         p = event.progress
         name = str(p.name or p.id)
         self.rows[name] = self.rows.get(name, 0) + p.numInputRows
+        self.batches[name] = self.batches.get(name, 0) + (p.numInputRows > 0)
         behind = sum(int(float((s.metrics or {}).get("maxOffsetsBehindLatest", 0))) for s in p.sources)
         self.of[name] = {"rows": self.rows[name], "batch_rows": p.numInputRows, "in_per_s": p.inputRowsPerSecond, "out_per_s": p.processedRowsPerSecond, "batch_ms": p.durationMs.get("triggerExecution", 0) if p.durationMs else 0, "behind": behind, "at": p.timestamp}
 
