@@ -25,11 +25,24 @@ class Conflict(RuntimeError):
     """Another writer changed the table meanwhile."""
 
 
+#: Bits of each of the two maps that the index keeps of a file's keys: as many as the built-in aggregate has.
+BITS = 32_768
+
+
+def _bits(key: list[F.Column]) -> list[F.Column]:
+    h = F.xxhash64(*key)
+    return [F.pmod(h, F.lit(BITS)), F.pmod(F.shiftright(h, 24), F.lit(BITS))]
+
+
 class Table:
-    """sort_by (K17): files are sorted by these columns, so that row groups' statistics serve look-ups by them."""
+    """sort_by (K17): files are sorted by these columns, so that row groups' statistics serve look-ups by them.
 
-    def __init__(self, spark: SparkSession, path: str, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ()):
-        self.spark, self.path, self.partition_by, self.sort_by = spark, path.rstrip("/"), tuple(partition_by), tuple(sort_by)
+    index (K17): for each file written, the least and greatest value of each of these columns and BITS bits of the whole
+    keys are kept in a table beside the batch; `lookup` asks that before it opens files.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (), index: tuple[str, ...] = ()):
+        self.spark, self.path, self.partition_by, self.sort_by, self.index = spark, path.rstrip("/"), tuple(partition_by), tuple(sort_by), tuple(index)
         jvm = spark._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -74,6 +87,11 @@ class Table:
         batch = f"batch={uuid.uuid4().hex}"
         writer = (df.sortWithinPartitions(*self.partition_by, *self.sort_by) if self.sort_by else df).write
         (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{batch}")
+        if self.index:
+            rows = self.spark.read.schema(df.schema).option("basePath", f"{self.path}/{batch}").parquet(f"{self.path}/{batch}")
+            ends = [f(c).alias(f"{name}_{k}") for k, c in enumerate(self.index) for name, f in (("least", F.min), ("most", F.max))]
+            bits = [F.bitmap_construct_agg(b).alias(f"bits_{k}") for k, b in enumerate(_bits([F.col(c) for c in self.index]))]
+            rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(*ends, *bits).write.parquet(f"{self.path}/_index/{batch}")
         found = [batch]
         for _ in self.partition_by:
             found = [f"{p}/{s.getPath().getName()}" for p in found for s in self._fs.listStatus(self._path(f"{self.path}/{p}")) if s.isDirectory()]
@@ -97,6 +115,42 @@ class Table:
     def _partitions(self, folder: str) -> str:
         return folder.partition("/")[2]
 
+    def files_for(self, values: dict[str, object]) -> list[str]:
+        """The live files that may have rows with these values of index columns; bits are asked if all of them are given."""
+        folders = self._list()["folders"]
+        there = {f: self._path(f"{self.path}/_index/{f.partition('/')[0]}") for f in folders}
+        known = [f for f in folders if self._fs.exists(there[f])]
+        found = [s.getPath().toString() for f in folders if f not in known for s in self._fs.listStatus(self._path(f"{self.path}/{f}")) if s.getPath().getName().endswith(".parquet")]
+        if not known:
+            return found
+        may = F.lit(True)
+        for k, c in enumerate(self.index):
+            if c in values:
+                may = may & (F.col(f"least_{k}") <= F.lit(values[c])) & (F.col(f"most_{k}") >= F.lit(values[c]))
+        if set(self.index) <= set(values):
+            kinds = {f["name"]: f for f in self._list()["schema"]["fields"]}
+            key = [F.lit(values[c]).cast(T.StructField.fromJson(kinds[c]).dataType) for c in self.index]
+            for k, bit in enumerate(self.spark.range(1).select(*_bits(key)).first()):
+                byte = F.conv(F.hex(F.substring(f"bits_{k}", bit // 8 + 1, 1)), 16, 10).cast("int")
+                may = may & (byte.bitwiseAND(F.lit(1 << bit % 8)) != 0)
+        told = self.spark.read.parquet(*sorted({there[f].toString() for f in known})).filter(may).select("file")
+        live = tuple(f"/{f}/" for f in known)
+        return found + sorted(r["file"] for r in told.collect() if any(f in r["file"] for f in live))
+
+    def lookup(self, **values) -> DataFrame | None:
+        """The rows with these values; files that can't have any stay closed."""
+        told = self._list()
+        if told["schema"] is None:
+            return None
+        schema, files = T.StructType.fromJson(told["schema"]), self.files_for(values)
+        rows = self.spark.createDataFrame([], schema)
+        if files:
+            whole = T.StructType([*schema.fields, T.StructField("batch", T.StringType())])
+            rows = self.spark.read.schema(whole).option("basePath", self.path).parquet(*files).select(*schema.names)
+        for c, v in values.items():
+            rows = rows.filter(F.col(c) == F.lit(v))
+        return rows
+
     # -- changes
 
     def _ordered(self, df: DataFrame, schema: T.StructType | None) -> DataFrame:

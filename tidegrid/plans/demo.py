@@ -139,12 +139,18 @@ def map_array_sum(spark, d):
     return events(spark, d).select("event_id", refine.count_of(types, "mechanical").alias("mechanical"), refine.count_of(types, "ebike").alias("ebike"), refine.count_of(types, "cargo").alias("cargo"))
 
 
+def _readings(spark, d, *key: str) -> DataFrame:
+    return facts(spark, d).groupBy(*key).agg(F.count("*").alias("n_readings"))
+
+
 def dim_hour_query(spark, d):
-    return dim_hour(spark)
+    """Each hour of the day, with its readings."""
+    return dim_hour(spark).join(_readings(spark, d, "heure"), "heure", "left").withColumn("n_readings", F.coalesce("n_readings", F.lit(0)).cast("long"))
 
 
 def dim_date_query(spark, d):
-    return dates(spark)
+    """Each day, with its readings."""
+    return dates(spark).join(_readings(spark, d, "date_id"), "date_id", "left").withColumn("n_readings", F.coalesce("n_readings", F.lit(0)).cast("long"))
 
 
 def dim_station_zone(spark, d):
@@ -152,7 +158,8 @@ def dim_station_zone(spark, d):
 
 
 def holiday_left_join(spark, d):
-    return dates(spark).groupBy("annee", "type_jour").agg(F.count("*").alias("n_days"), F.count("nom_ferie").alias("n_holidays"))
+    told = dates(spark).join(_readings(spark, d, "date_id"), "date_id", "left")
+    return told.groupBy("annee", "type_jour").agg(F.count("*").alias("n_days"), F.count("nom_ferie").alias("n_holidays"), F.coalesce(F.sum("n_readings"), F.lit(0)).cast("long").alias("n_readings"))
 
 
 def fact_availability(spark, d):
@@ -183,8 +190,10 @@ def hourly_fill_by_grid(spark, d):
 
 
 def hourly_grid(spark, d):
-    all_hours = spark.createDataFrame([(datetime(2024, 1, 1),)], "a timestamp").select(F.explode(F.sequence("a", F.col("a") + F.expr("interval 23 hours"), asof.one_hour())).alias("heure_debut"))
-    return plain(asof.grid(dims(spark, d), all_hours))
+    """The whole grid of stations and hours, told by hour."""
+    all_hours = gold.grid_bounds(facts(spark, d)).select(F.explode(F.sequence("h0", "h1", asof.one_hour())).alias("heure_debut"))
+    told = asof.grid(dims(spark, d), all_hours).groupBy("heure_debut").agg(F.countDistinct("station_id").alias("n_stations"), F.count("*").alias("n_rows"), F.sum("station_id").alias("sum_ids"))
+    return plain(told)
 
 
 def hourly_incremental(spark, d):
@@ -201,7 +210,7 @@ def hourly_profile(spark, d):
 
 
 def time_shift_lags(spark, d):
-    rows = hours(spark, d).filter("station_id % 7 <> 0 or hour(heure_debut) <> 5").select("station_id", "heure_fin", "velos_disponibles")
+    rows = hours(spark, d).select("station_id", "heure_fin", "velos_disponibles")
     return plain(asof.time_shift(rows, "station_id", "heure_fin", "velos_disponibles", {"lag_1": 1, "lag_2": 2, "lag_23": 23, "lag_167": 167, "next_1": -1}))
 
 
@@ -367,6 +376,17 @@ def delete_insert(spark, d):
     return table.read()
 
 
+def lookup_skipping(spark, d):
+    """The last reading of the first station, in a table of four batches sorted by station and time."""
+    rows = status(spark, d).dropDuplicates(["station_id", "last_reported"]).select("station_id", "last_reported", "num_bikes_available")
+    table = Table(spark, work_dir(spark), sort_by=("station_id", "last_reported"), index=("station_id", "last_reported"))
+    for k in range(4):
+        table.append(rows.filter(F.dayofmonth("last_reported") % 4 == k).repartitionByRange(4, "station_id"))
+    asked = rows.groupBy("station_id").agg(F.max("last_reported").alias("last_reported")).orderBy("station_id").first()
+    told = table.lookup(station_id=asked["station_id"], last_reported=asked["last_reported"])
+    return plain(told.withColumn("few_files", F.lit(len(table.files_for(asked.asDict())) <= 2)))
+
+
 def quality_suite(spark, d):
     """Over messages as they are parsed: with missing ids and times, counts below 0, and late ones."""
     rows = refine.parse(refine.to_bronze(messages(spark, d)))
@@ -402,7 +422,7 @@ def source_freshness(spark, d):
 
 
 def alerts(spark, d):
-    rows = events(spark, d).filter("event_type in ('error', 'purchase')").select(F.col("event_type").alias("alert_type"), (F.col("station_id") % 5).cast("string").alias("title"), F.col("ts").alias("created_at"))
+    rows = events(spark, d).select(F.col("event_type").alias("alert_type"), (F.col("station_id") % 5).cast("string").alias("title"), F.col("ts").alias("created_at"))
     return plain(quality.alerts_to_send(rows.distinct(), 720))
 
 
@@ -564,7 +584,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         critical_stations, rank_empty_full, bronze_projection, parse_json, reject_reason, reject_counts, known_flag_join, silver, dedup_latest, map_array_sum, dim_hour_query, dim_date_query, dim_station_zone, holiday_left_join,
         fact_availability, reading_intervals, latest_state, state_classification, hourly_forward_fill, hourly_fill_by_grid, hourly_grid, hourly_incremental, zone_hourly, hourly_profile, time_shift_lags, feature_matrix, temporal_split,
-        decile_edges, bin_shares, psi, drift_features, prediction_vs_actual, baseline_metrics, forecast_latest, forecast_search, stored_predictions, stored_bins, stored_drift, window_lookback, overwrite_table, merge_landing, table_columns, merge_insert_absent, upsert_scd1, delete_insert, quality_suite, quarantine_replay, constraint_tests, source_freshness, alerts, nearest_stations,
+        decile_edges, bin_shares, psi, drift_features, prediction_vs_actual, baseline_metrics, forecast_latest, forecast_search, stored_predictions, stored_bins, stored_drift, window_lookback, overwrite_table, merge_landing, table_columns, merge_insert_absent, upsert_scd1, delete_insert, lookup_skipping, quality_suite, quarantine_replay, constraint_tests, source_freshness, alerts, nearest_stations,
         guarded_sql, parse_stations, changed_batch, stream_bronze, stream_cdc, topic_newest, topic_messages, feed_log, jdbc_round_trip, stream_unique, stream_gauges, geocode_places,
     )
 }

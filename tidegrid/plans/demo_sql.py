@@ -162,6 +162,7 @@ ORACLE_SQL: dict[str, str] = {
     "stream_unique": _with(("r",), "SELECT * FROM x UNION ALL SELECT DISTINCT station_id, releve_at FROM r WHERE k % 5 = 0", x="SELECT DISTINCT station_id, releve_at AS last_reported FROM r"),
     "stream_gauges": "SELECT count(*) AS n_rows, CAST(4 AS INTEGER) AS n_batches, CAST(0 AS INTEGER) AS n_behind, true AS has_rates FROM events",
     "geocode_places": _with(("st",), "SELECT station_id, CASE WHEN n % 10 <> 0 THEN 'Commune ' || CAST(n % 90 AS VARCHAR) END AS commune, CASE WHEN n % 10 <> 0 THEN CAST(92000 + n % 90 AS VARCHAR) END AS code_insee, (SELECT count(*) FROM (SELECT DISTINCT latitude, longitude FROM st WHERE station_id % 11 <> 0)) AS n_asked FROM (SELECT station_id, CAST(round((latitude - 48) * 1000) AS BIGINT) AS n FROM st WHERE station_id % 11 <> 0)"),
+    "lookup_skipping": _with(("r",), "SELECT station_id, releve_at AS last_reported, k AS num_bikes_available, true AS few_files FROM r WHERE (station_id, releve_at) IN (SELECT station_id, max(releve_at) FROM r WHERE station_id = (SELECT min(station_id) FROM r) GROUP BY 1)"),
     "topic_newest": "SELECT CAST(p AS INTEGER) AS partition, count(user_id) AS high, max(ts) AS newest_at FROM (SELECT unnest(range(4)) AS p) LEFT JOIN events ON user_id % 3 = p GROUP BY p",
     "topic_messages": _with(("r",), "SELECT CAST(station_id AS VARCHAR) AS key, raw_json AS raw, CAST(station_id % 3 AS INTEGER) AS partition, releve_at AS timestamp, 'station_status' AS topic, true AS in_order FROM m", m=_MESSAGE),
     "feed_log": _with(("r",), "SELECT CAST(station_id AS VARCHAR) AS key, CAST(date_diff('day', DATE '2024-01-01', CAST(releve_at AS DATE)) AS BIGINT) AS polled, k AS bikes FROM r"),
@@ -183,10 +184,10 @@ ORACLE_SQL: dict[str, str] = {
     "silver": _with(("r",), "SELECT station_id, last_reported, num_bikes_available, num_mechanical, num_ebike, num_docks_available, is_renting, kafka_offset, CAST(last_reported AS DATE) AS report_date FROM (SELECT *, row_number() OVER (PARTITION BY station_id, last_reported ORDER BY releve_at DESC, kafka_offset DESC) AS n FROM q WHERE rejection_reason IS NULL) WHERE n = 1", p=_PARSED, q=_REASON),
     "dedup_latest": "SELECT * EXCLUDE (n) FROM (SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) AS n FROM lineitem) WHERE n = 1",
     "map_array_sum": _with(("r",), "SELECT event_id, CAST(k % 10 + 1 AS INTEGER) AS mechanical, CAST(k - k % 10 AS INTEGER) AS ebike, CAST(0 AS INTEGER) AS cargo FROM r"),
-    "dim_hour": "SELECT CAST(h AS INTEGER) AS heure, lpad(CAST(h AS VARCHAR), 2, '0') || 'h' AS libelle_heure, CASE WHEN h BETWEEN 6 AND 9 THEN 'matin' WHEN h BETWEEN 10 AND 13 THEN 'midi' WHEN h BETWEEN 14 AND 16 THEN 'après-midi' WHEN h BETWEEN 17 AND 20 THEN 'soir' ELSE 'nuit' END AS tranche_horaire, h IN (7, 8, 9, 17, 18, 19) AS est_heure_pointe FROM (SELECT unnest(range(24)) AS h)",
-    "dim_date": _days(),
+    "dim_hour": _with(("f",), "SELECT x.*, coalesce(n, 0) AS n_readings FROM (SELECT CAST(h AS INTEGER) AS heure, lpad(CAST(h AS VARCHAR), 2, '0') || 'h' AS libelle_heure, CASE WHEN h BETWEEN 6 AND 9 THEN 'matin' WHEN h BETWEEN 10 AND 13 THEN 'midi' WHEN h BETWEEN 14 AND 16 THEN 'après-midi' WHEN h BETWEEN 17 AND 20 THEN 'soir' ELSE 'nuit' END AS tranche_horaire, h IN (7, 8, 9, 17, 18, 19) AS est_heure_pointe FROM (SELECT unnest(range(24)) AS h)) x LEFT JOIN (SELECT heure, count(*) AS n FROM f GROUP BY 1) f ON f.heure = x.heure"),
+    "dim_date": _with(("f",), f"SELECT j.*, coalesce(n, 0) AS n_readings FROM ({_days()}) j LEFT JOIN (SELECT date_id, count(*) AS n FROM f GROUP BY 1) f ON f.date_id = j.date_id"),
     "dim_station_zone": _with(("s",), "SELECT * FROM s"),
-    "holiday_left_join": f"SELECT annee, type_jour, count(*) AS n_days, count(nom_ferie) AS n_holidays FROM ({_days()}) GROUP BY 1, 2",
+    "holiday_left_join": _with(("f",), f"SELECT annee, type_jour, count(*) AS n_days, count(nom_ferie) AS n_holidays, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_readings FROM ({_days()}) j LEFT JOIN (SELECT date_id, count(*) AS n FROM f GROUP BY 1) f ON f.date_id = j.date_id GROUP BY 1, 2"),
     "fact_availability": _with(("f",), "SELECT * EXCLUDE (rate), rate / 10000.0::DOUBLE AS taux_remplissage FROM f"),
     "reading_intervals": _with(("i",), "SELECT * FROM i"),
     "latest_state": _with(("f",), "SELECT station_id, releve_at, velos_disponibles, est_installee FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY releve_at DESC) AS n FROM f) WHERE n = 1"),
@@ -196,11 +197,11 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "hourly_forward_fill": _with(("h",), f"SELECT {HOURS} FROM h"),
     "hourly_fill_by_grid": _with(("h",), "SELECT station_id, heure_debut, dernier_releve_at, velos_disponibles FROM h"),
-    "hourly_grid": "SELECT c_custkey AS station_id, heure_debut FROM customer CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-01 23:00:00', INTERVAL 1 HOUR)) AS heure_debut)",
+    "hourly_grid": _with(("g",), "SELECT heure_debut, count(DISTINCT station_id) AS n_stations, count(*) AS n_rows, CAST(sum(station_id) AS BIGINT) AS sum_ids FROM g GROUP BY 1"),
     "hourly_incremental": _with(("h",), "SELECT station_id, heure_debut, velos_disponibles, tenths / 10.0::DOUBLE AS minutes_depuis_releve FROM h WHERE heure_debut >= TIMESTAMP '2024-01-19 21:00:00'"),
     "zone_hourly": _with(("h", "s"), f"SELECT heure_debut, date_id, heure_locale AS heure, zone, commune, est_paris, count(*) AS nb_stations, CAST(sum(velos_disponibles) AS BIGINT) AS velos_disponibles, CAST(sum(velos_mecaniques) AS BIGINT) AS velos_mecaniques, CAST(sum(velos_electriques) AS BIGINT) AS velos_electriques, CAST(sum(bornes_libres) AS BIGINT) AS bornes_libres, {_half_up('sum(rate)', 'count(*)', 1)} / 10000.0::DOUBLE AS taux_remplissage_moyen, count(*) FILTER (WHERE velos_disponibles = 0) AS nb_stations_vides, count(*) FILTER (WHERE bornes_libres = 0) AS nb_stations_pleines FROM h JOIN s ON s.station_id = h.station_id GROUP BY ALL"),
     "hourly_profile": _with(("h", "s"), f"SELECT h.station_id, nom_station, zone, type_jour, heure_locale AS heure, {_half_up('sum(rate)', 'count(*)', 1)} / 10000.0::DOUBLE AS taux_remplissage_moyen, {_half_up('sum(velos_disponibles)', 'count(*)', 100)} AS velos_disponibles_moyen, {_half_up('sum(velos_mecaniques)', 'count(*)', 100)} AS velos_mecaniques_moyen, {_half_up('sum(velos_electriques)', 'count(*)', 100)} AS velos_electriques_moyen, count(*) AS nb_heures_observees FROM h JOIN dd ON dd.date_id = h.date_id JOIN s ON s.station_id = h.station_id GROUP BY h.station_id, nom_station, zone, type_jour, heure_locale", dd=_days()),
-    "time_shift_lags": _with(("h",), _lags("hx", "velos_disponibles", {"lag_1": 1, "lag_2": 2, "lag_23": 23, "lag_167": 167, "next_1": -1}, "a.* EXCLUDE (hour_number)"), hx="SELECT station_id, heure_fin, velos_disponibles FROM h WHERE station_id % 7 <> 0 OR extract(hour FROM heure_debut) <> 5"),
+    "time_shift_lags": _with(("h",), _lags("hx", "velos_disponibles", {"lag_1": 1, "lag_2": 2, "lag_23": 23, "lag_167": 167, "next_1": -1}, "a.* EXCLUDE (hour_number)"), hx="SELECT station_id, heure_fin, velos_disponibles FROM h"),
     "feature_matrix": _with(("h", "s"), "SELECT * REPLACE (round(moyenne_3h, 6) AS moyenne_3h, round(part_electriques, 6) AS part_electriques, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude) FROM ft", **_FEATURES),
     "temporal_split": _with(("h",), "SELECT count(*) AS n, max(heure_fin) AS newest, CASE WHEN heure_fin < (SELECT c FROM cut) THEN 'train' ELSE 'test' END AS part FROM h GROUP BY 3", x="SELECT heure_fin, row_number() OVER (ORDER BY heure_fin DESC) AS n, count(*) OVER () AS o FROM (SELECT DISTINCT heure_fin FROM h)", cut="SELECT heure_fin AS c FROM x WHERE n = greatest(1, CAST(round_even(o * 0.2, 0) AS INTEGER))"),
     "decile_edges": "SELECT 'o_totalprice' AS feature, CAST(k AS INTEGER) AS k, round(e, 4) AS edge FROM (SELECT unnest(range(11)) AS k, unnest(quantile_cont(o_totalprice, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS e FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01')",
@@ -217,7 +218,7 @@ ORACLE_SQL: dict[str, str] = {
     "constraint_tests": """SELECT (SELECT count(*) FROM orders WHERE o_orderdate IS NULL) AS n_broken, 'not_null' AS test UNION ALL SELECT (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)), 'unique' UNION ALL SELECT (SELECT count(DISTINCT o_orderstatus) FROM orders WHERE o_orderstatus NOT IN ('O', 'F')), 'accepted_values' UNION ALL SELECT (SELECT count(*) FROM lineitem WHERE l_quantity < 5 OR l_quantity > 45), 'accepted_range'
         UNION ALL SELECT (SELECT count(*) FROM lineitem WHERE l_quantity <= 5 OR l_quantity >= 45), 'accepted_range_open' UNION ALL SELECT (SELECT count(*) FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)), 'relationships' UNION ALL SELECT (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)), 'relationships_ok'""",
     "source_freshness": f"SELECT max(ts) AS newest, round((epoch_us({AS_OF}) - epoch_us(max(ts))) / 60e6, 6) AS age_minutes, CASE WHEN (epoch_us({AS_OF}) - epoch_us(max(ts))) / 60e6 <= 30 THEN 'pass' WHEN (epoch_us({AS_OF}) - epoch_us(max(ts))) / 60e6 <= 120 THEN 'warn' ELSE 'error' END AS status FROM events",
-    "alerts": """WITH RECURSIVE a AS (SELECT DISTINCT event_type AS alert_type, CAST(user_id % 5 AS VARCHAR) AS title, ts FROM events WHERE event_type IN ('error', 'purchase')), w AS (SELECT alert_type, title, min(ts) AS created_at FROM a GROUP BY 1, 2
+    "alerts": """WITH RECURSIVE a AS (SELECT DISTINCT event_type AS alert_type, CAST(user_id % 5 AS VARCHAR) AS title, ts FROM events), w AS (SELECT alert_type, title, min(ts) AS created_at FROM a GROUP BY 1, 2
         UNION ALL SELECT w.alert_type, w.title, (SELECT min(a.ts) FROM a WHERE a.alert_type = w.alert_type AND a.title = w.title AND a.ts >= w.created_at + INTERVAL 720 MINUTE) FROM w WHERE w.created_at IS NOT NULL) SELECT alert_type, title, created_at FROM w WHERE created_at IS NOT NULL""",
     "parse_stations": "SELECT c_custkey AS station_id, 'x' AS station_code, CASE WHEN c_custkey % 3 = 0 THEN 'Station ' || CAST(c_custkey AS VARCHAR) ELSE trim(c_name) END AS station_name, c_acctbal AS lat, 2.0::DOUBLE AS lon, CAST(30 AS INTEGER) AS capacity FROM customer WHERE c_custkey % 7 <> 0",
     "changed_batch": _with(("r",), "SELECT station_id, CAST(k AS BIGINT) AS last_reported, epoch_us(releve_at) AS seq, event_type AS value FROM (SELECT *, lag(k) OVER (PARTITION BY station_id ORDER BY releve_at) AS b FROM r) WHERE b IS DISTINCT FROM k"),
