@@ -107,3 +107,15 @@ def test_ties_and_repeated_rows(spark):
 def test_columns_of_any_name_go_through(spark):
     df = spark.createDataFrame([("x", "token=abcdef12 y", 1), (None, None, None)], "`a.b` string, text string, spans int").withColumn("doc_id", F.lit(1).cast("long"))
     assert [(r["a.b"], r["text"], r["spans"]) for r in secret_scan.redact(df).collect()] == [("x", "<assign> y", 1), (None, None, None)]
+
+
+def test_narrow_encodings_are_found_and_paths_are_not(spark):
+    """Of keys in one case and digits, at 32 signs, nine in ten; none of the paths and names of words."""
+    r, up = random.Random(9), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    plain = ["lib64/python3/site-packages/numpy/core", "src/main/java/com/example/App2", "HTTP_STATUS_CODE_404_NOT_FOUND", "release-candidate-2024-05-17", "utf8_general_ci_v2_extended", "someVariableNameThatIsLong1"]
+    keys = ["".join(r.choices(a, k=32)) for a in (up + "234567", "0123456789ABCDEF") for _ in range(30)]
+    rows = list(enumerate([f"see {x} there" for x in [*keys, *plain * 5]]))
+    told = {x["doc_id"] for x in secret_scan.digests(spark.createDataFrame(rows, "doc_id bigint, text string")).filter("spans <> ''").collect()}
+    for first in (0, 30):
+        assert len(told & set(range(first, first + 30))) >= 27
+    assert not told & set(range(60, 90))
