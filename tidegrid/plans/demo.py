@@ -579,12 +579,26 @@ def geocode_places(spark, d):
     return told.select("station_id", "commune", "code_insee", F.lit(answers.read().count()).cast("long").alias("n_asked"))
 
 
+def station_reference(spark, d):
+    """Two days' documents of stations: some come on the second day only, some are moved then, some have no name or place."""
+    k = F.col("c_custkey")
+    table, answers, docs = Table(spark, work_dir(spark)), Table(spark, work_dir(spark)), work_dir(spark)
+    for day, here, moved in ((1, k % 3 != 0, F.lit(0)), (2, k % 4 != 1, F.when(k % 8 == 0, 7).otherwise(0))):
+        name = F.when(k % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), "c_name"))
+        lat = F.when(k % 7 != 0, 48.0 + (k % 1000 + moved) / 1000.0)
+        one = F.struct(k.alias("station_id"), k.cast("string").alias("stationCode"), name.alias("name"), lat.alias("lat"), F.lit(2.0).alias("lon"), (F.lit(30) + day).alias("capacity"))
+        load(spark, d, "customer").filter(here).agg(F.to_json(F.struct(F.struct(F.collect_list(one).alias("stations")).alias("data"))).alias("value")).write.text(f"{docs}/{day}")
+        for _ in range(day):
+            jobs.station_reference(spark, f"{docs}/{day}", table, answers, _commune, date(2024, 1, day))
+    return table.read().select("station_id", "station_name", "capacity", "commune", "code_insee", "first_seen", "last_seen")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__.removesuffix("_query"): f
     for f in (
         critical_stations, rank_empty_full, bronze_projection, parse_json, reject_reason, reject_counts, known_flag_join, silver, dedup_latest, map_array_sum, dim_hour_query, dim_date_query, dim_station_zone, holiday_left_join,
         fact_availability, reading_intervals, latest_state, state_classification, hourly_forward_fill, hourly_fill_by_grid, hourly_grid, hourly_incremental, zone_hourly, hourly_profile, time_shift_lags, feature_matrix, temporal_split,
         decile_edges, bin_shares, psi, drift_features, prediction_vs_actual, baseline_metrics, forecast_latest, forecast_search, stored_predictions, stored_bins, stored_drift, window_lookback, overwrite_table, merge_landing, table_columns, merge_insert_absent, upsert_scd1, delete_insert, lookup_skipping, quality_suite, quarantine_replay, constraint_tests, source_freshness, alerts, nearest_stations,
-        guarded_sql, parse_stations, changed_batch, stream_bronze, stream_cdc, topic_newest, topic_messages, feed_log, jdbc_round_trip, stream_unique, stream_gauges, geocode_places,
+        guarded_sql, parse_stations, changed_batch, stream_bronze, stream_cdc, topic_newest, topic_messages, feed_log, jdbc_round_trip, stream_unique, stream_gauges, geocode_places, station_reference,
     )
 }

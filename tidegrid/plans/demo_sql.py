@@ -163,6 +163,11 @@ ORACLE_SQL: dict[str, str] = {
     "stream_gauges": "SELECT count(*) AS n_rows, CAST(4 AS INTEGER) AS n_batches, CAST(0 AS INTEGER) AS n_behind, true AS has_rates FROM events",
     "geocode_places": _with(("st",), "SELECT station_id, CASE WHEN n % 10 <> 0 THEN 'Commune ' || CAST(n % 90 AS VARCHAR) END AS commune, CASE WHEN n % 10 <> 0 THEN CAST(92000 + n % 90 AS VARCHAR) END AS code_insee, (SELECT count(*) FROM (SELECT DISTINCT latitude, longitude FROM st WHERE station_id % 11 <> 0)) AS n_asked FROM (SELECT station_id, CAST(round((latitude - 48) * 1000) AS BIGINT) AS n FROM st WHERE station_id % 11 <> 0)"),
     "lookup_skipping": _with(("r",), "SELECT station_id, releve_at AS last_reported, k AS num_bikes_available, true AS few_files FROM r WHERE (station_id, releve_at) IN (SELECT station_id, max(releve_at) FROM r WHERE station_id = (SELECT min(station_id) FROM r) GROUP BY 1)"),
+    "station_reference": """WITH x AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'Station ' || CAST(c_custkey AS VARCHAR) ELSE c_name END AS name, c_custkey % 3 <> 0 AS first, c_custkey % 4 <> 1 AS second, c_custkey % 1000 AS n FROM customer WHERE c_custkey % 7 <> 0 AND (c_custkey % 3 <> 0 OR c_custkey % 4 <> 1)),
+        y AS (SELECT *, CASE WHEN second THEN n + CASE WHEN k % 8 = 0 THEN 7 ELSE 0 END END AS new, CASE WHEN first THEN n END AS old FROM x),
+        z AS (SELECT *, CASE WHEN new % 10 <> 0 THEN new WHEN old % 10 <> 0 THEN old END AS told FROM y)
+        SELECT k AS station_id, name AS station_name, CAST(CASE WHEN second THEN 32 ELSE 31 END AS INTEGER) AS capacity, CASE WHEN told IS NOT NULL THEN 'Commune ' || CAST(told % 90 AS VARCHAR) END AS commune, CAST(92000 + told % 90 AS VARCHAR) AS code_insee,
+        CASE WHEN first THEN DATE '2024-01-01' ELSE DATE '2024-01-02' END AS first_seen, CASE WHEN second THEN DATE '2024-01-02' ELSE DATE '2024-01-01' END AS last_seen FROM z""",
     "topic_newest": "SELECT CAST(p AS INTEGER) AS partition, count(user_id) AS high, max(ts) AS newest_at FROM (SELECT unnest(range(4)) AS p) LEFT JOIN events ON user_id % 3 = p GROUP BY p",
     "topic_messages": _with(("r",), "SELECT CAST(station_id AS VARCHAR) AS key, raw_json AS raw, CAST(station_id % 3 AS INTEGER) AS partition, releve_at AS timestamp, 'station_status' AS topic, true AS in_order FROM m", m=_MESSAGE),
     "feed_log": _with(("r",), "SELECT CAST(station_id AS VARCHAR) AS key, CAST(date_diff('day', DATE '2024-01-01', CAST(releve_at AS DATE)) AS BIGINT) AS polled, k AS bikes FROM r"),

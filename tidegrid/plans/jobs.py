@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import dim_date, dim_hour, holidays
 from ..operators import quality
+from ..sources import feeds
 from . import features, gold
 
 #: Result of a step that had nothing to do.
@@ -63,6 +64,16 @@ def build_gold(spark: SparkSession, warehouse: Warehouse, as_of: datetime, full:
     return models
 
 
+def station_reference(spark: SparkSession, snapshot: str, stations, answers, resolve: Callable[[float, float], tuple[str | None, str | None]], today: date) -> int:
+    """S6, S7, S8, J11, K8 as one run: a kept document's stations get their communes, of places not asked yet, and go to the table `stations`.
+
+    Stations that the document lacks stay as they are; names, places and capacities are the newest, a commune once known stays
+    until another is found, and first_seen is the first day. The same document again changes last_seen alone.
+    """
+    rows = feeds.parse_stations(feeds.read_snapshot(spark, snapshot))
+    return feeds.upsert_stations(stations, feeds.geocode_pooled(rows, answers, resolve), today)
+
+
 def drift_run(hours: DataFrame, stations: DataFrame, reference: DataFrame, as_of: datetime, hours_back: int = 24, threshold: float = 0.2) -> DataFrame:
     """M6: drift of the last `hours_back` hours (two more are read for the lags)."""
     start = as_of - timedelta(hours=hours_back)
