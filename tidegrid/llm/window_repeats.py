@@ -11,7 +11,7 @@ once from each task. Buckets of hashes are solved exactly in sorted order: all o
 start later than another. Places that start later are gathered by parts of the documents and mark the words to remove.
 
 The sketch's cells follow the corpus, two or more for each word (by its bytes), up to CELLS a row; so its merged bits,
-ROWS * CELLS / 8 bytes at most (64 MB), are what is broadcast, at any size of corpus. Beyond that more single windows
+ROWS * CELLS / 8 bytes at most (128 MB), are what is broadcast, at any size of corpus. Beyond that more single windows
 pass the first pass and are told apart by the second, whose cost is linear; none is lost either way.
 
 Words are maximal runs without blanks (space, U+0009 to U+000D). Nulls and blank texts have no words; texts of fewer words
@@ -33,7 +33,7 @@ SIZE = 20
 ROWS = 2
 CHUNK = 1 << 20
 #: Most cells of a row.
-CELLS = 1 << 28
+CELLS = 1 << 29
 #: Windows that a task holds before it sends what it has.
 HELD = 1 << 22
 #: Bytes of texts that are hashed at one time.
@@ -184,7 +184,7 @@ def sketch(texts: DataFrame, size: int, cells: int) -> np.ndarray:
     parts = texts.select("text").mapInArrow(sketch_parts(size, cells), "chunk int, met binary, again binary")
     told = parts.repartitionById(n, F.col("chunk") % n).mapInArrow(merged(cells), "chunk int, bits binary")
     bits = np.zeros((chunks, min(CHUNK, cells) // 8), np.uint8)
-    for row in told.collect():  # ROWS * cells / 8 bytes in all
+    for row in told.toLocalIterator():  # ROWS * cells / 8 bytes in all, a partition's at a time
         bits[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
     return bits.reshape(ROWS, cells // 8)
 
