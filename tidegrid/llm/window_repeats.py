@@ -339,11 +339,16 @@ def remove(docs: DataFrame, size: int = SIZE, most_cells: int = CELLS) -> DataFr
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     there = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     cells = 1 << min(max(16, (there // 3 - 1).bit_length() if there > 3 else 0), most_cells.bit_length() - 1)
-    shared = spark.sparkContext.broadcast(sketch(rows, size, cells))
+    shared = spark.sparkContext.broadcast(pa.compress(sketch(rows, size, cells), "zstd", asbytes=True))
+
+    def bits() -> np.ndarray:
+        told = pa.decompress(shared.value, decompressed_size=ROWS * cells // 8, codec="zstd")
+        return np.frombuffer(told, np.uint8).reshape(ROWS, cells // 8)
+
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), there // 6 // BUCKET)
     parts = 4 * buckets + 1
     keyed = rows.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("mark"), "doc_id", "text")
-    sent = keyed.select("id", "mark", "text").mapInArrow(candidates(size, lambda: shared.value, buckets, parts), FOUND)
+    sent = keyed.select("id", "mark", "text").mapInArrow(candidates(size, bits, buckets, parts), FOUND)
     later = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(solved(parts), FOUND).select("part", "data")
     dealt = keyed.withColumn("part", F.pmod(F.col("id").bitwiseXOR(F.col("mark")), F.lit(parts)).cast("int"))
     return dealt.groupBy("part").cogroup(later.groupBy("part")).applyInArrow(lambda docs, places: _kept(docs, places, size), "doc_id long, n_words long, n_removed long, kept string")
