@@ -22,6 +22,7 @@ hashes. Empty tables give empty results; columns but doc_id and text are never l
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -189,6 +190,18 @@ def sketch(texts: DataFrame, size: int, cells: int) -> np.ndarray:
     return bits.reshape(ROWS, cells // 8)
 
 
+_held: dict[str, np.ndarray] = {}
+
+
+def _held_bits(name: str, data: Callable[[], bytes], cells: int) -> np.ndarray:
+    """The sketch of this name; a Python worker holds the last one asked for alone."""
+    if name not in _held:
+        _held.clear()
+        told = pa.decompress(data(), decompressed_size=ROWS * cells // 8, codec="zstd")
+        _held[name] = np.frombuffer(told, np.uint8).reshape(ROWS, cells // 8)
+    return _held[name]
+
+
 def estimated(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Which windows have no cell below two."""
     out = np.ones(len(h), bool)
@@ -341,9 +354,10 @@ def remove(docs: DataFrame, size: int = SIZE, most_cells: int = CELLS) -> DataFr
     cells = 1 << min(max(16, (there // 3 - 1).bit_length() if there > 3 else 0), most_cells.bit_length() - 1)
     shared = spark.sparkContext.broadcast(pa.compress(sketch(rows, size, cells), "zstd", asbytes=True))
 
+    name = uuid.uuid4().hex
+
     def bits() -> np.ndarray:
-        told = pa.decompress(shared.value, decompressed_size=ROWS * cells // 8, codec="zstd")
-        return np.frombuffer(told, np.uint8).reshape(ROWS, cells // 8)
+        return _held_bits(name, lambda: shared.value, cells)
 
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), there // 6 // BUCKET)
     parts = 4 * buckets + 1
