@@ -130,25 +130,33 @@ def test_newest_message_of_a_key(spark):
     assert told.columns == rows.columns and sorted(str(r["m"]) for r in told.collect()) == ["None", "{'a': 3}", "{'a': 4}"]
 
 
-def test_alerts_go_out_again_after_the_gap(spark):
+@pytest.mark.parametrize("gaps", [1, 2, 24])
+def test_alerts_go_out_again_after_the_gap(spark, monkeypatch, gaps):
     import random
     from datetime import timedelta
 
     from tidegrid.operators import quality
 
-    r, start = random.Random(1), datetime(2026, 3, 1)
+    monkeypatch.setattr(quality, "GAPS", gaps)
+    r, start = random.Random(gaps), datetime(2026, 3, 1)
     rows = [(r.choice(("a", "b", None)), r.choice(("x", None)), start + timedelta(minutes=r.randrange(3000))) for _ in range(400)] + [("a", "x", None)]
+    rows += [("hot", "x", start + timedelta(seconds=r.randrange(400_000))) for _ in range(2000)]  # one key with most rows, over blocks
+    rows += [("even", "x", datetime(1969, 12, 30) + timedelta(minutes=20 * k)) for k in range(300)] * 2  # exact gaps, before and after 1970, repeated
     want, last = set(), {}
     for kind, title, at in sorted((x for x in rows if x[2]), key=lambda x: x[2]):
         if (kind, title) not in last or at - last[kind, title] >= timedelta(minutes=60):
             last[kind, title] = at
             want.add((kind, title, at))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups over several batches
+    df = spark.createDataFrame(rows, "alert_type string, title string, created_at timestamp")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # keys over several batches
     try:
-        got = [tuple(x) for x in quality.alerts_to_send(spark.createDataFrame(rows, "alert_type string, title string, created_at timestamp"), 60).collect()]
+        got = [tuple(x) for x in quality.alerts_to_send(df, 60).collect()]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == len(want) and set(got) == want
+    if gaps == 1:
+        assert quality.alerts_to_send(df, 0).count() == len(rows) - 1  # no gap: all with a time
+        assert quality.alerts_to_send(df.limit(0), 60).count() == 0
 
 
 def test_quantiles_equal_the_built_in_ones(spark):

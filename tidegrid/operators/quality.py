@@ -10,6 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
+#: Gaps between alerts that one block of alerts spans, and a time before all others.
+GAPS, NEVER = 24, -(1 << 63)
+
 
 @dataclass(frozen=True)
 class Check:
@@ -120,31 +125,54 @@ def freshness(df: DataFrame, column: str, as_of: datetime, warn_minutes: float,
 def alerts_to_send(events: DataFrame, minutes: float = 60) -> DataFrame:
     """Q-13 in batch form: an alert goes out unless one of its type and title *went out* less than `minutes` before.
 
-    Which went out depends on the one before, so each (type, title) is passed in order of time. Rows stream through
-    sorted, and from one that goes out the next is found by a search; no (type, title) is ever held as a whole.
+    Which go out depends on those before, but only by one time, from when the next may. So each (type, title) is cut into
+    blocks of GAPS times `minutes`, and each block tells by itself at what time the next may go out after it for every
+    time of entry: entries that end alike are one, so that this takes a few numbers a block. One pass in order over these
+    gives each block its entry, and the blocks are passed by themselves again. A (type, title) with most of the alerts is
+    so spread over tasks; one task holds the distinct times of a block. A null type or title is a value like others, an
+    alert without time is none, and of alerts of one time one goes out (all, if `minutes` is 0).
     """
     gap = int(minutes * 60e6)
-
-    def run(frames):
-        key, least = None, 0  # of the rows so far: the last type and title, and from when its next may go out
+    named = events.filter("created_at is not null").select("alert_type", "title", F.unix_micros("created_at").alias("t"))
+    if gap <= 0:
+        return named.select("alert_type", "title", F.timestamp_micros("t").alias("created_at"))
+
+    @F.pandas_udf("struct<upto:array<bigint>,next:array<bigint>>")
+    def ways(blocks: pd.Series, times: pd.Series) -> pd.DataFrame:
+        upto, following = [], []
+        for block, own in zip(blocks, times):
+            to = np.searchsorted(own, own + gap)
+            to = np.where(to < len(own), to, np.arange(len(own)))  # the one sent next; the last one sent stays where it is
+            while not np.array_equal(further := to[to], to):
+                to = further
+            n = np.searchsorted(own, (block * GAPS + 1) * gap) + 1  # an entry is less than a gap after the block's start
+            ends = own[to][:n] + gap
+            last = np.flatnonzero(np.append(ends[1:] != ends[:-1], True))
+            upto.append(own[last])
+            following.append(ends[last])
+        return pd.DataFrame({"upto": upto, "next": following})
+
+    def enter(frames):
+        key, least = None, NEVER
         for frame in frames:
-            times = frame["t"].to_numpy()
-            same = (frame["alert_type"].eq(frame["alert_type"].shift()) | frame["alert_type"].isna() & frame["alert_type"].shift().isna()).to_numpy()
-            same = same & (frame["title"].eq(frame["title"].shift()) | frame["title"].isna() & frame["title"].shift().isna()).to_numpy()
-            firsts = [0, *(k for k in np.flatnonzero(~same).tolist() if k)]
-            keep = []
-            for first, stop in zip(firsts, [*firsts[1:], len(frame)]):
-                own = tuple(None if pd.isna(x) else x for x in frame.iloc[first, :2])
-                at = first if own != key else first + int(np.searchsorted(times[first:stop], least))
-                while at < stop:
-                    keep.append(at)
-                    least = int(times[at]) + gap
-                    at += max(1, int(np.searchsorted(times[at:stop], least)))
-                key = own
-            yield frame.iloc[keep]
-
-    rows = events.filter("created_at is not null").select("alert_type", "title", F.unix_micros("created_at").alias("t"))
-    sent = rows.repartition("alert_type", "title").sortWithinPartitions("alert_type", "title", "t").mapInPandas(run, "alert_type string, title string, t long")
+            entries = []
+            for kind, title, upto, following in zip(frame["alert_type"], frame["title"], frame["upto"], frame["next"]):
+                own = tuple(None if pd.isna(x) else x for x in (kind, title))
+                key, least = own, least if own == key else NEVER
+                entries.append(least)
+                at = np.searchsorted(upto, least)
+                least = int(following[at]) if at < len(upto) else least
+            yield frame[["alert_type", "title", "block"]].assign(least=entries)
+
+    block = ((F.col("t") - F.pmod("t", F.lit(GAPS * gap))) / F.lit(GAPS * gap)).cast("long")
+    blocks = named.groupBy("alert_type", "title", block.alias("block")).agg(F.sort_array(F.collect_set("t")).alias("times"))  # the times of GAPS gaps
+    blocks = kept(events.sparkSession, blocks.withColumn("way", ways("block", "times")))
+    ordered = blocks.select("alert_type", "title", "block", "way.*").repartition("alert_type", "title").sortWithinPartitions("alert_type", "title", "block")
+    entries = ordered.mapInPandas(enter, "alert_type string, title string, block long, least long")
+    same = F.col("a.alert_type").eqNullSafe(F.col("b.alert_type")) & F.col("a.title").eqNullSafe(F.col("b.title")) & (F.col("a.block") == F.col("b.block"))
+    none = F.struct(F.col("least"), F.array().cast("array<bigint>").alias("sent"))
+    send = lambda so_far, t: F.when(t < so_far["least"], so_far).otherwise(F.struct((t + gap).alias("least"), F.array_append(so_far["sent"], t).alias("sent")))
+    sent = blocks.alias("a").join(entries.alias("b"), same).select("a.alert_type", "a.title", F.explode(F.aggregate("times", none, send)["sent"]).alias("t"))
     return sent.select("alert_type", "title", F.timestamp_micros("t").alias("created_at"))
 
 

@@ -20,7 +20,7 @@ SKIPPED = "skipped"
 
 @dataclass
 class Warehouse:
-    """Tables (operators.tables) of the layers."""
+    """Tables (operators.tables) of the layers; `status` may be partitioned by report_date, so that a landing meets its own days only."""
 
     status: object
     stations: object
@@ -33,7 +33,8 @@ def merge_landing(landing: DataFrame, warehouse: Warehouse, now: datetime, loade
     results = quality.run_suite(quality.with_derived(landing, now), quality.READINGS_SUITE)
     ok = quality.passes(results)
     if ok:
-        warehouse.status.insert_absent(landing.withColumn("loaded_at", F.lit(loaded_at or now).cast("timestamp")), ("station_id", "last_reported"))
+        dated = landing.withColumns({"loaded_at": F.lit(loaded_at or now).cast("timestamp"), "report_date": F.to_date("last_reported")})
+        warehouse.status.insert_absent(dated, ("report_date", "station_id", "last_reported"))
     return results, ok
 
 

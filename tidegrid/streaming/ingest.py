@@ -47,7 +47,7 @@ class _LastSeen(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
-        whole = pd.concat(list(rows)).sort_values("seq", kind="stable")  # a key's rows of one batch
+        whole = pd.concat(list(rows)).sort_values("seq", kind="stable")  # a key's rows of one batch, whose size the source's setting bounds
         keep = []
         for now in whole["last_reported"]:
             now = None if pd.isna(now) else int(now)
