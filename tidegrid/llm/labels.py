@@ -1,4 +1,4 @@
-"""Bounded samples of labelled texts for fitting."""
+"""Labelled rows for fitting: all of them, or a bounded sample of their texts."""
 
 from __future__ import annotations
 
@@ -20,3 +20,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, teaches: Column, per_
     ids = known.filter(chosen).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(int(2.2 * per_class))  # the same whatever the order of rows
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y").collect()
     return sorted((r["text"] or "", r["y"]) for r in rows), counts.get(1, 0) / max(1, sum(counts.values()))
+
+
+def taught(rows: DataFrame, labels: DataFrame, label: str, teaches: Column) -> DataFrame:
+    """All of `rows` that `teaches` marks, once for each of their labels 0 and 1, with it as y. Rows without a label teach nothing."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(teaches & F.col("y").isin(0, 1))
+    return rows.join(known, "doc_id")
