@@ -30,7 +30,8 @@ class Warehouse:
 
 def merge_landing(landing: DataFrame, warehouse: Warehouse, now: datetime, loaded_at: datetime | None = None) -> tuple[DataFrame, bool]:
     """Gate and K7: run the suite; unless a critical check fails, insert readings that the warehouse lacks. Returns results and whether it merged."""
-    results = quality.run_suite(quality.with_derived(landing, now), quality.READINGS_SUITE)
+    told = quality.run_suite(quality.with_derived(landing, now), quality.READINGS_SUITE)
+    results = landing.sparkSession.createDataFrame(told.collect(), told.schema)  # a row a check: else each use would read the landing again
     ok = quality.passes(results)
     if ok:
         dated = landing.withColumns({"loaded_at": F.lit(loaded_at or now).cast("timestamp"), "report_date": F.to_date("last_reported")})
