@@ -32,6 +32,18 @@ def test_refinement_classes():
     assert repeats.refine(np.frombuffer(b"abcdefghijklmnop", np.uint8), np.arange(5), 12).tolist() == [0, 1, 2, 3, 4]
 
 
+def test_refinement_keeps_to_columns_and_segments():
+    """Equal bytes in other columns are other classes, and places whose strings leave their segment make none."""
+    r = random.Random(3)
+    parts = [bytes(r.choice(b"ab") for _ in range(30)) for _ in range(3)]
+    segments = [b"".join(r.choice(parts) for _ in range(3)) for _ in range(12)]
+    text, place = np.frombuffer(b"".join(segments), np.uint8), np.arange(12 * 90)
+    starts = place[place % 90 <= 40]
+    kinds = repeats.refine(text, starts, 50, place % 90 + 90 * (place // 540), 90 - place % 90)
+    strings = [(s // 540, s % 90, text[s : s + 50].tobytes()) for s in starts.tolist()]
+    assert len(set(zip(kinds.tolist(), strings))) == len(set(strings)) == len(set(kinds.tolist()))
+
+
 @pytest.mark.parametrize("hot", [1024, 2])
 def test_removal_equals_brute_force(spark, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)

@@ -6,10 +6,13 @@ anchor. A run's segment is the text from its first start to the end of its last
 twice can hold repeats; equal segments are one row with a count, so copies cost nothing more.
 
 Those segments are dealt by anchor, and in each task their starts are put into classes of equal strings by
-bucket-pointer refinement: starts are first in buckets of their first q bytes; a bucket is refined by sorting its
-members on the buckets of the starts that follow them by the depth reached, and since these have been refined as deep
-by then, the depth doubles with every round (the last round takes the offset that ends at `length`). Buckets of one
-member need no more rounds. A class that holds two starts or more, counted with the segments' counts, is a repeat.
+bucket-pointer refinement: starts are first in buckets of their distance from the anchor and their first q bytes; a
+bucket is refined by sorting its members on the buckets of the starts that follow them by the depth reached, and since
+these have been refined as deep by then, the depth doubles with every round (the last round takes the offset that ends
+at `length`). A bucket's number is its first member's place in the order reached, so members stay in order and only
+buckets are sorted inside; buckets of one member, and places whose string would leave their segment, need no more
+rounds. A class that holds two starts or more, counted with the segments' counts, is a repeat. An anchor whose segments
+are all equal needs no rounds: all its starts are repeats.
 
 An anchor with more than HOT different segments isn't gathered in one task. Its bucket is refined first by what all
 strings have in common whose starts lie in the same WIDTHS[0] places before the anchor: equal strings lie at the same
@@ -45,7 +48,7 @@ WIDTHS = (32, 4, 1)
 PIECE = 1 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _PLACE_BITS = 21
-RUNS = "doc_id long, mark long, anchor long, seg_a long, seg_b long, first int, starts int"
+RUNS = "doc_id long, mark long, anchor long, seg_a long, seg_b long, first int, starts int, back int"
 PIECES = RUNS + ", n long"
 
 
@@ -88,60 +91,39 @@ def runs(raw: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def refine(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """A class number for each of `starts`: equal where the `length` bytes from there are equal. All strings must end inside `text`."""
-    n = len(text)
-    padded = np.concatenate((text, np.zeros(length + 8, np.uint8)))
-    # Buckets of the first eight bytes, for every place that a later round may ask for.
-    q = np.zeros(n, np.uint64)
-    for k in range(8):
-        q = (q << np.uint64(8)) | padded[k : n + k].astype(np.uint64)
-    depth = min(8, length)
-    if depth < 8:
-        q >>= np.uint64(8 * (8 - depth))
-    bucket = _numbers(q)
-    active = None
-    while depth < length:
-        step = min(depth, length - depth)
-        after = np.zeros(n, np.int64)
-        after[: n - step] = bucket[step:]
-        if active is None:
-            size = np.bincount(bucket)
-            active = np.flatnonzero(size[bucket] > 1)
-        if not len(active):
-            break
-        key = bucket[active] * np.int64(n + 1) + after[active]
-        order = np.argsort(key)
-        sorted_key = key[order]
-        new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
-        group = np.cumsum(new) - 1
-        # A bucket keeps its number for its first part; the others get numbers that no bucket has.
-        told = np.empty(len(active), np.int64)
-        old = bucket[active][order]
-        first_of_old = np.concatenate(([True], old[1:] != old[:-1]))
-        fresh = np.cumsum(new & ~first_of_old)
-        lead = new & first_of_old
-        heads = np.flatnonzero(new)
-        number = np.where(lead[heads], old[heads], int(bucket.max()) + fresh[heads])
-        told[order] = number[group]
-        bucket = bucket.copy()
+def refine(text: np.ndarray, starts: np.ndarray, length: int, column: np.ndarray | None = None, left: np.ndarray | None = None) -> np.ndarray:
+    """A class number for each of `starts`: equal where the `length` bytes from there are equal, and the columns.
+
+    column: of each place, under 2**31; by default all have one. left: bytes from each place on that its strings may have,
+    by default all that follow. All strings of `starts` must fit.
+    """
+    n, depth = len(text), min(4, length)
+    left = np.arange(n, 0, -1) if left is None else left
+    padded = np.concatenate((text, np.zeros(depth, np.uint8)))
+    key = np.zeros(n, np.int64) if column is None else column.astype(np.int64)
+    for k in range(depth):
+        key = (key << np.int64(8)) | padded[k : n + k].astype(np.int64)
+    bucket, active = np.zeros(n, np.int64), np.flatnonzero(left >= depth)
+    key, old = key[active], np.zeros(len(active), np.int64)
+    while len(active):
+        order = np.argsort(key, kind="stable")  # members are in the order of their buckets: sorted nearly in one pass
+        active, key = active[order], key[order]
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(heads, len(key)))
+        lead = np.concatenate(([True], old[heads[1:]] != old[heads[:-1]]))
+        number = old[heads] + heads - heads[np.maximum.accumulate(np.where(lead, np.arange(len(heads)), 0))]
+        told = np.repeat(number, sizes)
         bucket[active] = told
-        count = np.bincount(group)
-        keep = np.empty(len(active), bool)
-        keep[order] = count[group] > 1
-        active = active[keep]
+        if depth == length:
+            break
+        step = min(depth, length - depth)
+        keep = np.repeat(sizes > 1, sizes) & (left[active] >= depth + step)
+        active, old = active[keep], told[keep]
+        key = old * np.int64(n + 1) + bucket[active + step]
         depth += step
     return bucket[starts]
 
 
-def _numbers(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys)
-    told = keys[order]
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(np.concatenate(([False], told[1:] != told[:-1])))
-    return out
-
-
 def _ranges(marks: np.ndarray) -> list[dict]:
     """Maximal runs of true marks as from, upto."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], marks.view(np.int8), [0]))))
@@ -161,11 +143,11 @@ def _table(columns: list[list[int]], schema: str) -> pa.RecordBatch:
 def find_runs(docs: DataFrame, length: int) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            columns: list[list[int]] = [[] for _ in range(7)]
+            columns: list[list[int]] = [[] for _ in range(8)]
             for doc_id, mark, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 view = memoryview(raw or b"")
-                for anchor, first, starts, _ in runs(np.frombuffer(view, np.uint8), length) if len(view) >= length else ():
-                    for c, v in zip(columns, (doc_id, mark, anchor, *_keys(view[first : first + starts - 1 + length]), first, starts)):
+                for anchor, first, starts, at in runs(np.frombuffer(view, np.uint8), length) if len(view) >= length else ():
+                    for c, v in zip(columns, (doc_id, mark, anchor, *_keys(view[first : first + starts - 1 + length]), first, starts, at - first)):
                         c.append(v)
             return _table(columns, RUNS)
 
@@ -193,7 +175,9 @@ def pieces(segment: bytes, anchor: int, length: int, width: int) -> list[tuple[i
     return out
 
 
-CUT = "anchor long, seg_a long, seg_b long, n long, hot boolean, segment binary, starts int"
+CUT = "anchor long, seg_a long, seg_b long, n long, hot boolean, segment binary, starts int, back int"
+#: Segments that are refined at one time, about: what their places need stays in a core's cache.
+SEGMENTS = 200
 
 
 def _repeats(found: DataFrame, texts: DataFrame, length: int, widths: tuple[int, ...]) -> DataFrame:
@@ -201,39 +185,45 @@ def _repeats(found: DataFrame, texts: DataFrame, length: int, widths: tuple[int,
 
     found: staged; RUNS and n, how often the run occurs. texts: doc_id, mark, raw.
     """
-    at = F.min(F.struct("doc_id", "mark", "first", "starts")).alias("at")
+    at = F.min(F.struct("doc_id", "mark", "first", "starts", "back")).alias("at")
     segments = found.groupBy("anchor", "seg_a", "seg_b").agg(F.sum("n").alias("n"), at)
     anchors = segments.groupBy("anchor").agg(F.sum("n").alias("met"), F.count("*").alias("kinds")).filter("met > 1")
-    wanted = segments.join(anchors.select("anchor", (F.col("kinds") > HOT).alias("hot")), "anchor")
-    wanted = stage(wanted.select("anchor", "seg_a", "seg_b", "n", "hot", "at.doc_id", "at.mark", "at.first", "at.starts"), "segments")
+    wanted = segments.join(anchors.select("anchor", (F.col("kinds") > HOT).alias("hot"), (F.col("kinds") == 1).alias("alone")), "anchor")
+    wanted = stage(wanted.select("anchor", "seg_a", "seg_b", "n", "hot", "alone", "at.doc_id", "at.mark", "at.first", "at.starts", "at.back"), "segments")
     any_hot = not wanted.filter("hot").isEmpty()
-    asked = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "seg_a", "seg_b", "n", "hot", "first", "starts")).alias("asked"))  # bounded by the document's own length
+    whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("starts").alias("hi"))).alias("ranges")
+    alone = wanted.filter("alone").select("seg_a", "seg_b", whole)
+    asked = wanted.filter("not alone").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "seg_a", "seg_b", "n", "hot", "first", "starts", "back")).alias("asked"))  # bounded by the document's own length
 
     def cut(batches):
         for rows in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             out: dict[str, list] = {x.split()[0]: [] for x in CUT.split(", ")}
             for raw, asked_ in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                 for x in asked_:
-                    for c in ("anchor", "seg_a", "seg_b", "n", "hot", "starts"):
+                    for c in ("anchor", "seg_a", "seg_b", "n", "hot", "starts", "back"):
                         out[c].append(x[c])
                     out["segment"].append(raw[x["first"] : x["first"] + x["starts"] - 1 + length])
-            kinds = (*(pa.int64(),) * 4, pa.bool_(), pa.binary(), pa.int32())
+            kinds = (*(pa.int64(),) * 4, pa.bool_(), pa.binary(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
     segs = texts.join(asked, ["doc_id", "mark"]).select("raw", "asked").mapInArrow(cut, CUT)
     segs = stage(segs, "hot-and-other", compression="zstd") if any_hot else segs
 
     def classes(batches):
-        for t in grouped(batches, "anchor", 2000):
+        for t in grouped(batches, "anchor", SEGMENTS):
             seg = t.column("segment").to_pylist()
             starts = t.column("starts").to_numpy()
             counts = t.column("n").to_numpy()
             text = np.frombuffer(b"".join(seg), np.uint8)
-            base = np.concatenate(([0], np.cumsum([len(x) for x in seg])[:-1])).astype(np.int64)
+            anchor = t.column("anchor").to_numpy()
+            size = starts.astype(np.int64) - 1 + length
+            base = np.cumsum(size) - size
+            group = np.cumsum(np.concatenate(([False], anchor[1:] != anchor[:-1])))
+            place = np.arange(len(text))
+            column = place + np.repeat((2 * group + 1) * length - t.column("back").to_numpy() - base, size)
             own = np.repeat(np.arange(len(seg)), starts)
             within = np.arange(len(own)) - np.repeat(np.cumsum(starts) - starts, starts)
-            kind = refine(text, base[own] + within, length)
-            _, kind = np.unique(kind, return_inverse=True)
+            kind = refine(text, base[own] + within, length, column, np.repeat(base + size, size) - place)
             marks = np.bincount(kind, weights=counts[own])[kind] > 1.5
             ends = np.cumsum(starts)
             ranges = [_ranges(marks[b - s : b]) for b, s in zip(ends, starts)]
@@ -241,24 +231,25 @@ def _repeats(found: DataFrame, texts: DataFrame, length: int, widths: tuple[int,
             told = pa.array([ranges[k] for k in keep], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
             yield pa.RecordBatch.from_arrays([pa.array(t.column(c).to_numpy()[keep]) for c in ("seg_a", "seg_b")] + [told], ["seg_a", "seg_b", "ranges"])
 
-    cool = segs.filter("not hot").select("anchor", "n", "seg_a", "seg_b", "starts", "segment").repartition("anchor").sortWithinPartitions("anchor")
+    cool = segs.filter("not hot").select("anchor", "n", "seg_a", "seg_b", "starts", "back", "segment").repartition("anchor").sortWithinPartitions("anchor")
     cool = cool.mapInArrow(classes, "seg_a long, seg_b long, ranges array<struct<lo:int,hi:int>>")
+    cool = cool.unionByName(alone)
     if not any_hot:
         return cool
     width, *rest = widths
 
     def split(batches):
         for rows in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
-            columns: list[list[int]] = [[] for _ in range(8)]
-            for a, b, anchor, n, segment in zip(*(c.to_pylist() for c in rows.columns)):
+            columns: list[list[int]] = [[] for _ in range(9)]
+            for a, b, anchor, n, back, segment in zip(*(c.to_pylist() for c in rows.columns)):
                 for told, lo, starts in pieces(segment, anchor, length, width):
                     key = _keys(memoryview(segment)[lo : lo + starts - 1 + length])
-                    for c, v in zip(columns, (a, b, told, *key, lo, starts, n)):
+                    for c, v in zip(columns, (a, b, told, *key, lo, starts, back - lo, n)):
                         c.append(v)
             yield _table(columns, PIECES)
 
     hot = segs.filter("hot")
-    parts = stage(hot.select("seg_a", "seg_b", "anchor", "n", "segment").mapInArrow(split, PIECES), "pieces")
+    parts = stage(hot.select("seg_a", "seg_b", "anchor", "n", "back", "segment").mapInArrow(split, PIECES), "pieces")
     inner = _repeats(parts, hot.select(F.col("seg_a").alias("doc_id"), F.col("seg_b").alias("mark"), F.col("segment").alias("raw")), length, tuple(rest))
     moved = F.transform("ranges", lambda r: F.struct((r["lo"] + F.col("first")).alias("lo"), (r["hi"] + F.col("first")).alias("hi")))
     back = parts.join(inner, ["seg_a", "seg_b"]).select("doc_id", "mark", moved.alias("ranges")).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
