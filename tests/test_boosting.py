@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from tidegrid.plans import boosting, features, model_jobs
+from tidegrid.plans import boosting, features, forecast, model_jobs
 
 POINT = {"learning_rate": 0.2, "num_leaves": 8, "min_child_samples": 5, "feature_fraction": 1.0, "bagging_fraction": 0.9, "lambda_l2": 0.1}
 
@@ -72,6 +72,26 @@ def test_it_learns_steps_and_nulls(spark, rows, monkeypatch):
     assert boosting.train(rows.filter("hour(heure_fin) < 3 and to_date(heure_fin) = '2026-01-01'")) is None
 
 
+def test_hours_split_as_rows_do(spark, rows):
+    """Hours in order give the parts that temporal_split gives, halves included."""
+    for share in (0.2, 0.0625, 0.3):
+        for part in (rows, rows.filter("heure_fin < timestamp '2026-01-01 07:00:00'")):
+            hours = [r[0] for r in part.select("heure_fin").distinct().orderBy("heure_fin").collect()]
+            told = [[r[0] for r in x.select("heure_fin").distinct().orderBy("heure_fin").collect()] for x in features.temporal_split(part, share=share)]
+            assert list(features.split_hours(hours, share)) == told
+
+
+def test_a_stored_table_is_read_without_a_copy(spark, rows, monkeypatch):
+    """The parts are those of temporal_split, and the rows are not copied."""
+    monkeypatch.setattr(boosting, "ROUNDS", 2)
+    _, test = features.temporal_split(rows)
+    want, copies = forecast.baseline_metrics(test).first()["mae"], []
+    monkeypatch.setattr(boosting, "kept", lambda spark, df: copies.append(df.columns) or df)
+    got = boosting.train(rows, trials=1, stored=True)
+    assert got.baseline_mae == pytest.approx(want) and got.point["trials"] == 1
+    assert all("bins" in c for c in copies)
+
+
 def test_rounds_end_without_gain():
     """Where nothing can be learned no tree stays."""
     r = np.random.default_rng(1)
