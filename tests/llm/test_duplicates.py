@@ -66,6 +66,17 @@ def test_near_copies_over_the_limit(spark, monkeypatch):
     assert [tuple(x)[1:] for x in repeats.digests(df, 50).orderBy("doc_id").collect()] == brute_removal(texts, 50)
 
 
+def test_short_passages_are_told(spark):
+    """51 words of under 400 bytes in two documents are told of both; 31 words, and what one document repeats alone, of none."""
+    r = random.Random(8)
+    own = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    long, short, alone = ["".join(r.choice("abc") for _ in range(4)) for _ in range(51)], own(31), own(60)
+    texts = [own(30) + long + own(9), own(3) + long, own(80) + short, short + own(70), alone + own(5) + alone, own(51), None, []]
+    df = spark.createDataFrame([(k, None if t is None else " \n".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    told = {x["doc_id"]: (x["passages"] > 0, x["n_removed"]) for x in repeats.digests(df, 400, 51).collect()}
+    assert [told[k][0] for k in range(8)] == [True, True] + [False] * 6 and told[0][1] == told[1][1] == 0
+
+
 def test_pieces_share_an_anchor():
     r = random.Random(6)
     base = bytes(r.choice(b"abcdefgh") for _ in range(300))

@@ -21,6 +21,10 @@ distance from it, so such a piece of a segment gets a new anchor, the hash of th
 in few of them. A piece's anchor that is still over HOT is refined again by the next width, at last by single starts,
 whose shared bytes are the whole string.
 
+Passages shorter than `length` bytes can be told apart (`passages`): of each `words` adjacent words the piece of PIECE_WORDS
+with the least hash is chosen, so two documents with the same `words` words have a piece in common, and a document
+without PIECE_WORDS words of another one has none (hashes of 64 bits).
+
 Nulls count as empty texts; rows without doc_id stay whole and make nothing a repeat. Texts shorter than `length` have
 no starts. Copies of a document remove each other wholly (from `length` bytes on), and so do repeated rows; where an id
 is repeated with other texts, each text is treated by itself. Empty tables give empty results; columns but doc_id and
@@ -34,7 +38,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import grouped, map_batches, stage
@@ -44,6 +48,8 @@ GRAM = 32
 HOT = 1024
 #: Starts that a piece of a hot anchor's segment may have, at each refinement; the last must be 1.
 WIDTHS = (32, 4, 1)
+#: Words of a piece, a power of two.
+PIECE_WORDS = 32
 #: Bytes that are hashed at one time, of long texts.
 PIECE = 1 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -265,13 +271,58 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
     return found.join(ranges, ["seg_a", "seg_b"]).select("doc_id", "mark", "first", "ranges")
 
 
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_POWERS = np.cumprod(np.full(4096, _MIX[1]))
+
+
+def word_pieces(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pieces chosen of each `words` adjacent words, and the texts that they are of."""
+    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    space = _SPACE[raw]
+    first = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    if len(first) < words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of = np.searchsorted(np.cumsum([len(x) + 1 for x in texts]), first, "right")
+    inside = np.arange(first[0], len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw))))
+    value = (raw[first[0] :].astype(np.uint64) + np.uint64(1)) * _POWERS[inside % 4096]
+    value[space[first[0] :]] = 0
+    h = np.add.reduceat(value, first - first[0])
+    h, size = (h ^ (h >> np.uint64(32))) * _MIX[0], 1
+    while size < PIECE_WORDS:
+        h = (h[:-size] ^ (h[:-size] >> np.uint64(29))) * _MIX[1] + h[size:] * _MIX[2]
+        size *= 2
+    h = (h ^ (h >> np.uint64(32))) * _MIX[0]
+    whole = of[: len(first) - words + 1] == of[words - 1 :]
+    told, of = least(h, words - PIECE_WORDS + 1)[whole], of[: len(whole)][whole]
+    fresh = np.flatnonzero(np.concatenate(([True], (told[1:] != told[:-1]) | (of[1:] != of[:-1])))[: len(told)])
+    return told[fresh].view(np.int64), of[fresh]
+
+
+def passages(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, mark, passages: how many chosen pieces other documents have, too; only rows that have one."""
+    if words < PIECE_WORDS:
+        raise ValueError(f"words must be at least {PIECE_WORDS}")
+
+    def run(batches):
+        for rows in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
+            piece, of = word_pieces([x or b"" for x in rows.column(2).to_pylist()], words)
+            yield pa.RecordBatch.from_arrays([pa.array(piece), rows.column(0).take(pa.array(of)), rows.column(1).take(pa.array(of))], ["piece", "doc_id", "mark"])
+
+    chosen = texts_of(docs).filter("doc_id is not null").mapInArrow(run, "piece long, doc_id long, mark long")
+    same = Window.partitionBy("piece")
+    met = chosen.withColumn("met", F.min("doc_id").over(same) < F.max("doc_id").over(same)).filter("met")
+    return met.groupBy("doc_id", "mark").agg(F.count("*").alias("passages"))
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, spans (byte ranges lo, hi that go), kept (the bytes that stay) for each row."""
+def remove(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
+    """doc_id, spans (byte ranges lo, hi that go), kept (the bytes that stay) for each row; with `words` its passages, too."""
     marks = repeated(docs, length).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "ranges")).alias("marks"))  # bounded by the document's own length
-    both = texts_of(docs).join(marks, ["doc_id", "mark"], "left").select("doc_id", "raw", "marks")
+    both = texts_of(docs).join(marks, ["doc_id", "mark"], "left")
+    both = both.join(passages(docs, words), ["doc_id", "mark"], "left") if words else both.withColumn("passages", F.lit(0).cast("long"))
+    both = both.select("doc_id", "raw", "marks", F.coalesce("passages", F.lit(0)).alias("passages"))
 
     def run(batches):
         for batch in batches:
@@ -287,9 +338,10 @@ def remove(docs: DataFrame, length: int = 400) -> DataFrame:
                         at = hi
                     spans.append([{"lo": a, "hi": b} for a, b in told])
                     kept.append(b"".join([*parts, raw[at:]]))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(kept, pa.binary()), rows.column(3)], ["doc_id", "spans", "kept", "passages"])
 
-    return both.mapInArrow(run, "doc_id long, spans array<struct<lo:long,hi:long>>, kept binary")
+    told = both.mapInArrow(run, "doc_id long, spans array<struct<lo:long,hi:long>>, kept binary, passages long")
+    return told if words else told.drop("passages")
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -302,6 +354,6 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def digests(docs: DataFrame, length: int = 400) -> DataFrame:
+def digests(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
     gone = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"]), F.lit(0).cast("long"))
-    return remove(docs, length).select("doc_id", (F.length("kept") + gone).cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    return remove(docs, length, words).select("doc_id", (F.length("kept") + gone).cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"), *(["passages"] if words else []))
