@@ -92,6 +92,19 @@ def test_a_stored_table_is_read_without_a_copy(spark, rows, monkeypatch):
     assert all("bins" in c for c in copies)
 
 
+def test_trials_learn_from_all_rows(spark, rows, monkeypatch):
+    """Told of ten million rows, the search takes each row there is, and finds what a trial over them all finds; without bagging."""
+    for name, value in (("ROUNDS", 5), ("BLOCK_ROWS", 170), ("FOLD_IN", 2), ("PARAMS", boosting.PARAMS | {"bagging_fraction": (1.0, 1.0, "line")})):
+        monkeypatch.setattr(boosting, name, value)
+    edges, parts = boosting.bin_edges(rows), (rows.filter("hour(heure_fin) < 18").repartition(3), rows.filter("hour(heure_fin) >= 18").repartition(2))
+    told = boosting.search(*parts, edges, trials=3, sizes=(10**7, 10**7))
+    learn, valid = (boosting._arrays(part, edges) for part in parts)
+    assert (len(learn[0]), len(valid[0])) == tuple(part.count() for part in parts)
+    for point, rounds, error in told:
+        want = boosting.trial(point, learn, valid, np.abs(learn[1]).max() / boosting.STEPS)
+        assert rounds == want[0] > 0 and error == pytest.approx(want[1], rel=1e-12)
+
+
 def test_rounds_end_without_gain():
     """Where nothing can be learned no tree stays."""
     r = np.random.default_rng(1)
