@@ -21,7 +21,9 @@ two documents link when 100 * |intersection| >= percent * |union|. Nothing is ap
 A list of over LIST_BLOCK sets, or a component of over BLOCK shingles, never meets in one task (`split_links`). It is
 dealt in blocks, each of which is solved by itself; then the set with the most links is held against all blocks as a
 pivot, which joins nearly all of a group of near copies. Only sets of blocks' groups that the pivot doesn't reach
-are held against all other blocks. So the work grows with the group's size, and links are still exact. Components of
+visit other blocks, a few blocks at first, and more of them as long as they meet none that the pivot reached. A visitor
+is held against a block's own sets alone, by parity sketches, and exactly where these allow a link. So the work grows with
+the group's size but for sets that link with none of it, and links are still exact. Components of
 over BLOCK shingles are first taken apart in the same way by the wide sketches of their sets.
 
 A null or blank text has an empty set and links with nothing, not even its copies. Repeated rows are copies of each
@@ -116,8 +118,86 @@ def _set(node: int, n: int, bits: bytes) -> tuple[int, int, int, int]:
     return node, n, int.from_bytes(bits, "little"), 8 * len(bits)
 
 
+def _words(bits: list[bytes]) -> np.ndarray:
+    """Sketches of one size as rows of words."""
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
+
+
+class _Sketches:
+    """`_compatible` of one set with many at a time, whatever the sizes of their sketches."""
+
+    def __init__(self, n: list[int], bits: list[bytes], percent: int):
+        self.n, self.percent = np.array(n, np.int64), percent
+        width = np.array([len(b) // 8 for b in bits], np.int64)
+        self.rows = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
+        self.words = {w: _words([bits[k] for k in rows]) for w, rows in self.rows.items()}
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def _fold(self, width: int, to: int) -> np.ndarray:
+        if width == to:
+            return self.words[width]
+        if (width, to) not in self.folded:
+            wide = self._fold(width, 2 * to)
+            self.folded[width, to] = wide[:, :to] ^ wide[:, to:]
+        return self.folded[width, to]
+
+    def fits(self, n: int, bits: bytes) -> np.ndarray:
+        """Whether each may link with that one."""
+        small, large = np.minimum(self.n, n), np.maximum(self.n, n)
+        out = small * 100 >= self.percent * large
+        told = np.frombuffer(bits, np.uint64)[None]
+        for width, rows in self.rows.items():
+            if not out[rows].any():
+                continue
+            one = told
+            while one.shape[1] > width:
+                half = one.shape[1] // 2
+                one = one[:, :half] ^ one[:, half:]
+            flips = np.bitwise_count(self._fold(width, one.shape[1]) ^ one).sum(axis=1, dtype=np.int64)
+            out[rows] &= flips <= (self.n[rows] + n) * (100 - self.percent) // (100 + self.percent)
+        return out
+
+
+def _many_roots(ids: list[int], n: list[int], bits: list[bytes], percent: int) -> tuple[list[int], list[int]]:
+    """`list_roots` of long lists."""
+    order = sorted(range(len(ids)), key=lambda k: (n[k], ids[k]))
+    told = _Sketches([n[k] for k in order], [bytes(bits[k]) for k in order], percent)
+    open_ = np.ones(len(ids), bool)
+    roots, scores = [0] * len(ids), [0] * len(ids)
+    for first in range(len(ids)):
+        if not open_[first]:
+            continue
+        open_[first] = False
+        group, at = [first], 0
+        while at < len(group) and open_.any():
+            u = order[group[at]]
+            met = np.flatnonzero(told.fits(n[u], bytes(bits[u])) & open_)
+            open_[met] = False
+            group.extend(met.tolist())
+            at += 1
+        for k in group:
+            roots[order[k]] = ids[order[first]]
+        scores[order[sorted(group)[len(group) // 2]]] = len(group)
+    return roots, scores
+
+
+def list_between(n: list[int], bits: list[bytes], ns: list[int], others: list[bytes], roots: list[int], percent: int) -> list[tuple[int, int]]:
+    """Which of the first sets may link with which of the others, one of each root."""
+    told, roots, out = _Sketches(ns, [bytes(b) for b in others], percent), np.array(roots, np.int64), []
+    for k, one in enumerate(zip(n, bits)):
+        met = np.flatnonzero(told.fits(one[0], bytes(one[1])))
+        out.extend((k, int(met[j])) for j in np.unique(roots[met], return_index=True)[1])
+    return out
+
+
+#: Sets of a list from which many are held against one at a time.
+MANY = 64
+
+
 def list_roots(ids: list[int], n: list[int], bits: list[bytes], percent: int) -> tuple[list[int], list[int]]:
     """For each set the first of those that it goes together with by sizes and sketches, and the number of these where the set is the middle one by size (else 0)."""
+    if len(ids) >= MANY and len(set(ids)) == len(ids):
+        return _many_roots(ids, n, bits, percent)
     left = sorted(map(_set, ids, n, bits), key=lambda s: (s[1], s[0]))
     root: dict[int, int] = {}
     score: dict[int, int] = {}
@@ -149,8 +229,21 @@ def list_against(one: tuple[int, bytes], n: list[int], bits: list[bytes], percen
     return [_compatible(min(it, x, key=lambda s: s[0]), max(x, it, key=lambda s: s[0]), percent) for x in others]
 
 
+def _fine(most: int):
+    """A parity sketch of one size for sets of up to `most` hashes, wide enough that bits that differ are nearly as many as the hashes that do."""
+    power = min(16, max(10, int(4 * most).bit_length()))
+    return lambda s: np.packbits((np.bincount((s >> np.uint64(7)).astype(np.int64) & ((1 << power) - 1), minlength=1 << power) & 1).astype(np.uint8)).view(np.uint64)
+
+
+#: Sets from which on those that are connected already are passed over.
+CROWD = 256
+
+
 def exact_roots(ids: list[int], sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
-    """For each set the least id of those it is connected with by exact links, and its number of links."""
+    """For each set the least id of those it is connected with by exact links, and its number of links (in a crowd, of those that were looked at).
+
+    In a crowd a set is held against those alone that it isn't connected with and that sketches allow a link with, where these are few.
+    """
     n = len(ids)
     links = np.zeros(n, np.int64)
     order = sorted(range(n), key=lambda k: (len(sets[k]), ids[k]))
@@ -185,12 +278,36 @@ def exact_roots(ids: list[int], sets: list[np.ndarray], percent: int) -> tuple[l
         flat = np.repeat(a - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(total)
         return np.bincount(place[flat] - lo, minlength=hi - lo)
 
+    crowd = n >= CROWD
+    if crowd:
+        flips = _fine(int(sizes[-1]))
+        words, label = np.stack([flips(sets[k]) for k in order]), np.arange(n)  # label: each place's component
+
+    def join(k: int, z: int) -> None:
+        a, b = root(order[k]), root(order[z])
+        if a != b:
+            parent[max(a, b, key=lambda x: ids[x])] = min(a, b, key=lambda x: ids[x])
+            if crowd:
+                label[label == label[z]] = label[k]
+
     done: dict[int, tuple[int, np.ndarray]] = {}  # of sets that later ones may derive from: from, overlaps
     base_of: dict[int, int] = {}
     for k in range(n):
         lo, hi = k + 1, int(np.searchsorted(sizes, int(sizes[k]) * 100 // percent, side="right"))
         if lo >= hi:
             continue
+        if crowd:
+            rest = np.flatnonzero(label[lo:hi] != label[k]) + lo
+            apart = np.bitwise_count(words[rest] ^ words[k]).sum(axis=1, dtype=np.int64)
+            fits = rest[apart <= (sizes[rest] + sizes[k]) * (100 - percent) // (100 + percent)]
+            if 8 * len(fits) <= hi - lo:
+                for z in fits.tolist():
+                    if label[z] != label[k]:
+                        both = len(np.intersect1d(own[k], own[z], assume_unique=True))
+                        if 100 * both >= percent * (sizes[k] + sizes[z] - both):
+                            links[[order[k], order[z]]] += 1
+                            join(k, z)
+                continue
         base = base_of.get(k)
         if base in done:
             first, known = done[base]
@@ -212,10 +329,8 @@ def exact_roots(ids: list[int], sets: list[np.ndarray], percent: int) -> tuple[l
                 base_of[z] = k
             if len(done) > 64:
                 done.pop(next(iter(done)))
-        for z in linked:
-            a, b = root(order[k]), root(order[int(z)])
-            if a != b:
-                parent[max(a, b, key=lambda x: ids[x])] = min(a, b, key=lambda x: ids[x])
+        for z in linked.tolist():
+            join(k, z)
     return [ids[root(k)] for k in range(n)], links.tolist()
 
 
@@ -228,6 +343,26 @@ def exact_against(one: np.ndarray, sets: list[np.ndarray], percent: int) -> list
     return (100 * both >= percent * (sizes + len(one) - both)).tolist()
 
 
+def exact_between(sets: list[np.ndarray], others: list[np.ndarray], roots: list[int], percent: int) -> list[tuple[int, int]]:
+    """Which of the first sets link with which of the others, one of each root; those that sketches put nearest are looked at first."""
+    flips = _fine(max(map(len, (*sets, *others))))
+    words, roots = np.stack([flips(s) for s in others]), np.array(roots, np.int64)
+    sizes, out = np.array([len(s) for s in others], np.int64), []
+    for k, one in enumerate(sets):
+        near = np.flatnonzero(np.minimum(sizes, len(one)) * 100 >= percent * np.maximum(sizes, len(one)))
+        apart = np.bitwise_count(words[near] ^ flips(one)).sum(axis=1, dtype=np.int64)
+        fits = apart <= (sizes[near] + len(one)) * (100 - percent) // (100 + percent)
+        near, apart = near[fits], apart[fits]
+        met: set[int] = set()
+        for j in near[np.argsort(apart, kind="stable")].tolist():
+            if roots[j] not in met:
+                both = len(np.intersect1d(one, others[j], assume_unique=True))
+                if 100 * both >= percent * (len(one) + len(others[j]) - both):
+                    met.add(int(roots[j]))
+                    out.append((k, j))
+    return out
+
+
 SETS = "doc_id long, mark long, n long, key_a long, key_b long, first array<long>, sketch binary, wide binary"
 
 
@@ -264,25 +399,25 @@ def find_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
 ITEM = ("task", "key", "block", "node", "n", "bits", "pivot")
 
 
-def _groups(batches, rows: int):
-    """The rows of ITEM of each task, as lists."""
+def _groups(batches, rows: int, columns: tuple[str, ...] = ITEM):
+    """The rows of each task, as lists."""
     for t in grouped(batches, "task", rows):
         task = t.column("task").to_numpy()
         edge = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
         for a, b in zip(edge[:-1], edge[1:]):
             part = t.slice(a, b - a)
-            yield {c: part.column(c).to_pylist() if c != "bits" else [x.as_buffer() for x in part.column(c)] for c in ITEM}
+            yield {c: part.column(c).to_pylist() if c != "bits" else [x.as_buffer() for x in part.column(c)] for c in columns}
 
 
 def _rows(columns: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns.values()], list(columns))
 
 
-def _dealt(items: DataFrame) -> DataFrame:
+def _dealt(items: DataFrame, columns: tuple[str, ...] = ITEM) -> DataFrame:
     """Rows of a task side by side. The number of partitions is given, as few bytes may be much work."""
     told = items if "pivot" in items.columns else items.withColumn("pivot", F.lit(False))
     n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return told.withColumn("task", F.xxhash64("key", "block")).select(*ITEM).repartition(n, "task").sortWithinPartitions("task")
+    return told.withColumn("task", F.xxhash64("key", "block")).select(*columns).repartition(n, "task").sortWithinPartitions("task")
 
 
 def solved(items: DataFrame, solve, rows: int) -> DataFrame:
@@ -296,10 +431,14 @@ def solved(items: DataFrame, solve, rows: int) -> DataFrame:
     return _dealt(items).mapInArrow(run, "key long, block long, a long, b long, score long")
 
 
-def split_links(items: DataFrame, solve, against, rows: int, name: str) -> DataFrame:
+#: Blocks whose visitors come to one task, and how many times as many blocks a visitor goes to from one round to the next.
+SPAN, MORE = 8, 4
+
+
+def split_links(items: DataFrame, solve, against, between, rows: int, name: str) -> DataFrame:
     """a, b: edges that connect all linked sets of each key. items: staged; key, blocks (in how many it is dealt), node, n, bits.
 
-    Two sets of a key are in one block, or both in groups that the pivot reaches, or one of them is held against all blocks.
+    Two sets of a key are in one block, or both connected with the pivot, or one of them has been to all blocks.
     """
     own = items.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     alone = stage(solved(own, solve, rows), f"{name}-blocks")
@@ -317,14 +456,39 @@ def split_links(items: DataFrame, solve, against, rows: int, name: str) -> DataF
     both = own.withColumn("pivot", F.lit(False)).unionByName(sent)
     reached = stage(_dealt(both).mapInArrow(hold, "key long, a long, b long"), f"{name}-pivots")
     groups = alone.join(reached.select("key", "a", F.lit(True).alias("met")), ["key", "a"], "left").groupBy("key", "block", "b").agg(F.max("met").alias("met"))
-    apart = alone.join(groups.filter("met is null").drop("met"), ["key", "block", "b"]).select("key", F.col("a").alias("node")).distinct()
-    apart = stage(apart, f"{name}-apart")
+    placed = alone.join(groups, ["key", "block", "b"]).select("key", "block", F.col("a").alias("node"), F.col("b").alias("root"), F.coalesce("met", F.lit(False)).alias("met"))
+    placed = stage(placed.distinct(), f"{name}-groups")
     edges = alone.select("a", "b").unionByName(reached.select("a", "b"))
-    if apart.isEmpty():
-        return edges
-    other = own.join(apart, ["key", "node"], "left_semi").withColumn("to", every).filter("to <> block").drop("block").withColumnRenamed("to", "block")
-    last = own.join(apart.select("key").distinct(), "key", "left_semi").unionByName(other)
-    return edges.unionByName(stage(solved(last, solve, rows), f"{name}-last").select("a", "b"))
+    columns = (*ITEM, "root", "met")
+
+    def meet(batches):
+        for g in _groups(batches, rows, columns):
+            there = [[x for x, p in enumerate(g["pivot"]) if p is kind] for kind in (True, False)]
+            (n, bits), (ns, others) = ([[g[c][k] for k in ks] for c in ("n", "bits")] for ks in there)
+            roots = [g["root"][k] for k in there[1]]
+            told = between(n, bits, ns, others, roots) if n and ns else []
+            yield _rows({"key": g["key"][:1] * len(told), "a": [g["node"][there[0][i]] for i, _ in told], "b": [roots[j] for _, j in told], "met": [int(g["met"][there[1][j]]) for _, j in told]})
+
+    apart = placed.filter("not met").drop("met")
+    most = 0 if apart.isEmpty() else items.agg(F.max("blocks")).first()[0]
+    low, high = 1, 2
+    while low < most:
+        part = F.floor(F.col("step") / SPAN).cast("long") * F.col("blocks")  # makes a task of its own
+        steps = F.explode(F.sequence(F.lit(low).cast("long"), F.least(F.lit(high), F.col("blocks") - 1)))
+        guests = items.filter(F.col("blocks") > low).join(apart, ["key", "node"]).withColumn("step", steps).withColumn("block", F.pmod(F.col("block") + F.col("step"), F.col("blocks")) + part)
+        spans = F.explode(F.sequence(F.lit(low // SPAN).cast("long"), F.floor(F.least(F.lit(high), F.col("blocks") - 1) / SPAN).cast("long")))
+        hosts = items.filter(F.col("blocks") > low).join(placed, ["key", "node"]).join(apart.select("key").distinct(), "key", "left_semi")
+        hosts = hosts.withColumn("span", spans).withColumn("block", F.col("block") + F.col("span") * F.col("blocks"))
+        cut = lambda df, guest: df.select("key", "block", "node", "n", "bits", "root", F.lit(guest).alias("pivot"), (F.lit(False) if guest else F.col("met")).alias("met"))
+        met = stage(_dealt(cut(guests, True).unionByName(cut(hosts, False)), columns).mapInArrow(meet, "key long, a long, b long, met long"), f"{name}-met")
+        edges = edges.unionByName(met.select("a", "b"))
+        joined = met.filter("met > 0").select("key", F.col("a").alias("node")).distinct()
+        joined = apart.join(joined, ["key", "node"], "left_semi").select("key", "block", "root").distinct()
+        apart = stage(apart.join(joined, ["key", "block", "root"], "left_anti"), f"{name}-apart")
+        if apart.isEmpty():
+            break
+        low, high = high + 1, high * MORE
+    return edges
 
 
 def _needed_column(n, percent: int):
@@ -342,10 +506,11 @@ def by_sketches(items: DataFrame, percent: int, name: str) -> DataFrame:
     """a, b: edges of sets that may link by sizes and sketches; items: key, blocks, node, n, bits."""
     solve = lambda ids, n, bits: list_roots(ids, n, bits, percent)
     against = lambda n, bits, ns, others: list_against((n, bits), ns, others, percent)
+    between = lambda n, bits, ns, others, roots: list_between(n, bits, ns, others, roots, percent)
     one = items.filter("blocks = 1").withColumn("block", F.lit(0).cast("long"))
     edges = solved(one, solve, 20_000).filter("a <> b").select("a", "b").distinct()
     large = items.filter("blocks > 1")
-    return edges if large.isEmpty() else edges.unionByName(split_links(stage(large, f"{name}-large"), solve, against, 20_000, name))
+    return edges if large.isEmpty() else edges.unionByName(split_links(stage(large, f"{name}-large"), solve, against, between, 20_000, name))
 
 
 def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
@@ -421,11 +586,12 @@ def linked_roots(docs: DataFrame, told: DataFrame, sets: DataFrame, words: int,
     arrays = lambda bits: [np.frombuffer(x, np.uint64) for x in bits]
     solve = lambda ids, _, bits: exact_roots(ids, arrays(bits), percent)
     against = lambda _, one, __, bits: exact_against(np.frombuffer(one, np.uint64), arrays(bits), percent)
+    between = lambda _, bits, __, others, roots: exact_between(arrays(bits), arrays(others), roots, percent)
     edges = stage(solved(items(members.filter("blocks = 1")).withColumn("block", F.lit(0).cast("long")), solve, 500), "links").select("a", "b")
     large = members.filter("blocks > 1")
     if large.isEmpty():
         return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))  # a row that is repeated comes once
-    return components(edges.unionByName(split_links(stage(items(large), "held"), solve, against, 500, "links")))
+    return components(edges.unionByName(split_links(stage(items(large), "held"), solve, against, between, 500, "links")))
 
 
 def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
